@@ -1,0 +1 @@
+"""Empty: every job of this library is batch."""
