@@ -58,11 +58,10 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
 
     ``vertices`` (id) adds the vertices without an edge, each its own component.
     """
-    state = (
-        edges.where(F.col("src") != F.col("dst"))
-        .select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-        .distinct()
+    edges = cut_lineage(
+        edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     )
+    state = edges.where(F.col("src") != F.col("dst"))
     loops = edges.where(F.col("src") == F.col("dst")).select(F.col("src").alias("id"))
     while True:
         state = cut_lineage(_small_star(_large_star(state)))

@@ -7,21 +7,30 @@ and every pair of blocks becomes a join key of its own.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from collabnet.session import cut_lineage
+
 BLOCK = 512
 
 
 def participations(credits: DataFrame, entity: str, event: str) -> DataFrame:
     """Distinct (event, entity) rows, without nulls."""
-    return (
-        credits.select(F.col(event).alias("event"), F.col(entity).alias("entity"))
-        .where(F.col("event").isNotNull() & F.col("entity").isNotNull())
-        .distinct()
+    return _named(credits, entity, event).distinct()
+
+
+def _named(credits: DataFrame, entity: str, event: str) -> DataFrame:
+    return credits.select(F.col(event).alias("event"), F.col(entity).alias("entity")).where(
+        F.col("event").isNotNull() & F.col("entity").isNotNull()
     )
 
 
+def _has_large_events(rows: DataFrame, block: int) -> bool:
+    """True if some event has more than ``block`` rows; one narrow pass with map-side combine."""
+    return not rows.groupBy("event").count().where(F.col("count") > block).isEmpty()
+
+
 def _block_cells(parts: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     """Each participant once per block pair (lo, hi) it belongs to, as left and right side."""
     sizes = parts.groupBy("event").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
@@ -31,20 +40,17 @@ def _block_cells(parts: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
         .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("own", F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int"))
     )
-    carried = [c for c in parts.columns if c not in ("event", "entity")]
     left = placed.select(
         "event",
         F.col("own").alias("lo"),
         F.explode(F.sequence("own", F.col("blocks") - 1)).alias("hi"),
         F.col("entity").alias("a"),
-        *[F.col(c).alias(f"a_{c}") for c in carried],
     )
     right = placed.select(
         "event",
         F.explode(F.sequence(F.lit(0), F.col("own"))).alias("lo"),
         F.col("own").alias("hi"),
         F.col("entity").alias("b"),
-        *[F.col(c).alias(f"b_{c}") for c in carried],
     )
     return left, right
 
@@ -55,13 +61,26 @@ def _meetings(parts: DataFrame, block: int) -> DataFrame:
     met = left.join(right, ["event", "lo", "hi"]).where(
         ((F.col("lo") < F.col("hi")) & (F.col("a") != F.col("b"))) | (F.col("a") < F.col("b"))
     )
-    extra = [c for c in met.columns if c.startswith(("a_", "b_"))]
-    return met.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "event", *extra)
+    return met.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "event")
+
+
+def _small_meetings(rows: DataFrame) -> DataFrame:
+    """The same where no event is large: one shuffle by event serves the distinct and the join."""
+    parts = rows.repartition("event").distinct()
+    return (
+        parts.withColumnRenamed("entity", "src")
+        .join(parts.withColumnRenamed("entity", "dst"), "event")
+        .where(F.col("src") < F.col("dst"))
+        .select("src", "dst", "event")
+    )
 
 
 def pair_events(credits: DataFrame, entity: str, event: str, block: int = BLOCK) -> DataFrame:
     """Long form of the played-with relation: (src, dst, event), ``src < dst``."""
-    return _meetings(participations(credits, entity, event), block)
+    rows = _named(credits, entity, event)
+    if _has_large_events(rows, block):
+        return _meetings(rows.distinct(), block)
+    return _small_meetings(rows)
 
 
 def pair_counts(
@@ -69,18 +88,23 @@ def pair_counts(
 ) -> DataFrame:
     """(src, dst, n_common) for the pairs with at least ``min_common`` common events.
 
-    With ``min_common = n > 1`` the n - 1 most crowded events of every entity
-    are left out when candidates are made: two entities that share n events
-    share at least one beyond these. The left-out events are then looked up for
-    the candidates only, so the crowded events are never expanded and the
-    counts stay exact.
+    Where large events exist and ``min_common = n > 1``, the n - 1 most crowded
+    events of every entity are left out when candidates are made: two entities
+    that share n events share at least one beyond these. The left-out events are
+    then looked up for the candidates only, so the crowded events are never
+    expanded and the counts stay exact.
     """
-    parts = participations(credits, entity, event)
+    rows = _named(credits, entity, event)
+    if not _has_large_events(rows, block):
+        met = _small_meetings(rows).groupBy("src", "dst").agg(F.count("*").alias("n_common"))
+        return met.where(F.col("n_common") >= min_common)
+    parts = rows.distinct()
     if min_common <= 1:
         return _meetings(parts, block).groupBy("src", "dst").agg(F.count("*").alias("n_common"))
 
+    parts = cut_lineage(parts)
     kept, left_out = _split_crowded(parts, min_common - 1)
-    met = _meetings(kept, block).groupBy("src", "dst").agg(F.count("*").alias("n_kept"))
+    met = cut_lineage(_meetings(kept, block).groupBy("src", "dst").agg(F.count("*").alias("n_common")))
     # At most min_common - 1 rows per entity are probed here.
     a_out = left_out.select(F.col("entity").alias("src"), "event")
     b_out = left_out.select(F.col("entity").alias("dst"), "event")
@@ -90,11 +114,12 @@ def pair_counts(
     via_b = met.select("src", "dst").join(b_out, "dst").join(
         kept.select(F.col("entity").alias("src"), "event"), ["src", "event"], "left_semi"
     )
-    probed = via_a.select("src", "dst").unionByName(via_b.select("src", "dst"))
+    one = F.lit(1).cast("bigint").alias("n_common")
     return (
-        met.unionByName(probed.withColumn("n_kept", F.lit(1).cast("bigint")))
+        met.unionByName(via_a.select("src", "dst", one))
+        .unionByName(via_b.select("src", "dst", one))
         .groupBy("src", "dst")
-        .agg(F.sum("n_kept").alias("n_common"))
+        .agg(F.sum("n_common").alias("n_common"))
         .where(F.col("n_common") >= min_common)
     )
 
@@ -102,18 +127,19 @@ def pair_counts(
 def _split_crowded(parts: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """Split (event, entity) rows into all but, and only, the ``k`` most crowded events per entity.
 
-    The k largest (size, event) per entity come from ``max`` rounds with map-side
-    combine, so an entity with very many events never sits in one sort group.
+    Spark limits the groups of such a rank filter before the shuffle, so even an
+    entity with very many events brings only k rows per map task to its window.
     """
     sizes = parts.groupBy("event").agg(F.count("*").alias("size"))
-    kept = parts.join(sizes, "event")
-    out = None
-    for _ in range(k):
-        top = kept.groupBy("entity").agg(F.max(F.struct("size", "event")).alias("top"))
-        picked = top.select("entity", F.col("top.event").alias("event"))
-        kept = kept.join(picked, ["event", "entity"], "left_anti")
-        out = picked if out is None else out.unionByName(picked)
-    return kept.select("event", "entity"), out
+    crowded = Window.partitionBy("entity").orderBy(F.col("size").desc(), F.col("event").desc())
+    left_out = cut_lineage(
+        parts.join(sizes, "event")
+        .withColumn("place", F.row_number().over(crowded))
+        .where(F.col("place") <= k)
+        .select("event", "entity")
+    )
+    kept = parts.join(left_out, ["event", "entity"], "left_anti")
+    return kept, left_out
 
 
 def pair_lists(credits: DataFrame, entity: str, event: str, out: str = "id_releases") -> DataFrame:

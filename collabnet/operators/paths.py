@@ -92,12 +92,9 @@ def search_levels(
     pair = groups + ["landmark", "id"]
     open_pairs = None
     if targets is not None:
-        open_pairs = levels[0].select(*groups, "landmark").count() * targets.select("id").distinct().count()
-    while max_len is None or len(levels) <= max_len:
-        if open_pairs is not None:
-            open_pairs -= levels[-1].join(targets.select("id").distinct(), "id", "left_semi").count()
-            if open_pairs <= 0:
-                break
+        targets = targets.select("id").distinct()
+        open_pairs = levels[0].count() * targets.count() - levels[0].join(targets, "id", "left_semi").count()
+    while (max_len is None or len(levels) <= max_len) and (open_pairs is None or open_pairs > 0):
         reached = (
             _expand(levels[-1], adjacency, groups, ["landmark"])
             .groupBy(*groups, "landmark", F.col("dst").alias("id"))
@@ -106,9 +103,12 @@ def search_levels(
         for known in levels[-2:]:
             reached = reached.join(known.select(*pair), pair, "left_anti")
         reached = cut_lineage(reached)
-        if reached.isEmpty():
+        met = 0 if open_pairs is None else reached.join(targets, "id", "left_semi").count()
+        if met == 0 and reached.isEmpty():
             break
         levels.append(reached)
+        if open_pairs is not None:
+            open_pairs -= met
     return DistanceLevels(adjacency, groups, levels)
 
 

@@ -54,8 +54,8 @@ def collective_influence(spark, sf):
 
 
 def collective_initialized_influence(spark, sf):
-    edges = b.part_edges(spark, sf, 2)
-    return g.influence(edges, b.relevants(edges))
+    net = b.PartNetwork(b.part_edges(spark, sf, 2))
+    return g.influence(net.edges, net.relevants)
 
 
 def undirected_edges(spark, sf):
