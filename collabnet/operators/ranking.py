@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from collabnet.operators.paths import inner_steps, path_steps
+from collabnet.operators.paths import inner_steps, path_edges, path_steps
 
 PAIR = ["relevant", "guest"]
 
@@ -64,3 +64,13 @@ def selected_vertex_ids(ranked: DataFrame, max_rank: int) -> DataFrame:
     """Distinct vertex ids over paths with rank_ci or rank_cii up to ``max_rank``."""
     chosen = ranked.where((F.col("rank_ci") <= max_rank) | (F.col("rank_cii") <= max_rank))
     return path_steps(chosen).select("id").distinct()
+
+
+def selected_release_ids(ranked: DataFrame, max_rank: int, edge_events: DataFrame) -> DataFrame:
+    """Distinct release ids behind the edges of the same paths.
+
+    ``edge_events`` is the long form (src, dst, event) of the edges, src < dst.
+    """
+    chosen = ranked.where((F.col("rank_ci") <= max_rank) | (F.col("rank_cii") <= max_rank))
+    used = path_edges(chosen).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    return edge_events.join(used.distinct(), ["src", "dst"], "left_semi").select(F.col("event").alias("id")).distinct()
