@@ -67,3 +67,11 @@ def tree_documents(rows: DataFrame, attributes: DataFrame, max_pos: int, max_chi
     return below.join(attributes, "id").select(
         "guest", _with_children(F.col("json"), F.col("children")).alias("json")
     )
+
+
+def root_document(documents: DataFrame, name: str) -> DataFrame:
+    """One text row with all guests under a root; for a checked number of guests."""
+    root = F.to_json(F.struct(F.lit(name).alias("name")))
+    return documents.agg(F.array_sort(F.collect_list("json")).alias("children")).select(
+        _with_children(root, F.col("children")).alias("value")
+    )

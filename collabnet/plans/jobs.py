@@ -15,7 +15,7 @@ from collabnet.operators import importcsv as ic
 from collabnet.operators import lookup, pairs, paths, ranking, resolve, subgraph, tree
 from collabnet.operators import update as up
 from collabnet.operators.components import connected_components
-from collabnet.session import cut_lineage
+from collabnet.session import cut_lineage, has_more_than
 from collabnet.sources import files, sinks
 
 # ---------------------------------------------------------------- ingest
@@ -426,17 +426,20 @@ def tree_attributes(vertices: DataFrame) -> DataFrame:
 def export_tree(
     ranked: DataFrame, graph: gr.Graph, releases: DataFrame, out: str, label: str, max_children: int = 10_000
 ) -> None:
-    """Trees of the best path of every pair, one JSON document per guest, and the link file."""
+    """Trees of the best paths of every pair, one JSON document per guest, and the link file.
+
+    The document of all guests under one root is written where their number allows.
+    """
     best = cut_lineage(subgraph.select_paths(ranked, "rank_cii", 1))
     rows = cut_lineage(tree.tree_rows(best))
     depth = rows.agg(F.max("pos")).first()[0]
     if depth is not None:
         on_tree = paths.path_steps(best).select("id").distinct()
         attributes = tree_attributes(graph.vertices.join(on_tree, "id", "left_semi"))
-        documents = tree.tree_documents(rows, cut_lineage(attributes), depth, max_children)
-        documents.select(
-            F.concat(F.lit(f'{{"name":"{label}","child":'), "json", F.lit("}")).alias("value")
-        ).write.mode("overwrite").text(f"{out}/tree_graph_{label}")
+        documents = cut_lineage(tree.tree_documents(rows, cut_lineage(attributes), depth, max_children))
+        documents.select(F.col("json").alias("value")).write.mode("overwrite").text(f"{out}/tree_graph_{label}")
+        if not has_more_than(documents, max_children):
+            sinks.write_file(tree.root_document(documents, label), f"{out}/tree_graph_{label}.json", "text")
     used = paths.path_edges(best).select("src", "dst").distinct()
     info = gr.both_ways(graph.edges.select("src", "dst", "id_title_list"))
     long = info.join(used, ["src", "dst"], "left_semi").select(
