@@ -58,7 +58,7 @@ def longer(a: Column, b: Column) -> Column:
 
 def split_roles(c: Column) -> Column:
     """Comma-separated roles -> trimmed non-empty list; null -> empty."""
-    parts = F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim)
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda r: F.trim(r))
     return F.filter(parts, lambda r: r != "")
 
 

@@ -25,7 +25,8 @@ def _listed(credits: Column, role: Column | None = None) -> Column:
     """Credits of one list as (id, name, role); a missing list is empty."""
 
     def one(c: Column) -> Column:
-        return F.struct(c.id.alias("id"), c.name.alias("name"), (c.role if role is None else role).alias("role"))
+        given = c.getField("role") if role is None else role
+        return F.struct(c.getField("id").alias("id"), c.getField("name").alias("name"), given.alias("role"))
 
     empty = F.array().cast("array<struct<id:bigint,name:string,role:string>>")
     return F.coalesce(F.transform(credits, one), empty)
