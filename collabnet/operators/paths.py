@@ -54,6 +54,10 @@ class DistanceLevels:
         self.groups = groups
         self.levels = levels
 
+    def release(self) -> None:
+        """Drop the cached adjacency; the levels are stored and stay readable."""
+        self.adjacency.unpersist()
+
     def distances(self) -> DataFrame:
         return union_all(
             [
@@ -79,8 +83,10 @@ def search_levels(
     """
     groups = list(groups)
     width = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Stored partitioned by the expansion key: the rounds shuffle frontiers, not edges.
-    adjacency = cut_lineage(sharded_adjacency(links, groups).repartition(width, *groups, "src", "shard"))
+    # Cached partitioned and sorted by the expansion key: the rounds shuffle and sort
+    # frontiers, not edges. Blocks lost with an executor are computed again.
+    by = groups + ["src", "shard"]
+    adjacency = sharded_adjacency(links, groups).repartition(width, *by).sortWithinPartitions(*by).persist()
     vertex = adjacency.groupBy(*groups, F.col("src").alias("id")).agg(F.max("src_shards").alias("shards"))
     start = (
         landmarks.select(*groups, "id")
@@ -116,7 +122,9 @@ def landmark_distances(
     links: DataFrame, landmarks: DataFrame, max_len: int | None = None, groups: list[str] = ()
 ) -> DataFrame:
     """(groups, landmark, id, dist) for every reachable pair; a landmark has distance 0 to itself."""
-    return search_levels(links, landmarks, max_len, groups=groups).distances()
+    search = search_levels(links, landmarks, max_len, groups=groups)
+    search.release()
+    return search.distances()
 
 
 def all_shortest_paths(
@@ -160,6 +168,8 @@ def all_shortest_paths(
         through = down[d].select("landmark", F.col("dst").alias("id"), F.col("dst_shards").alias("shards"))
         active = through.unionByName(at_guest[d - 1].select("landmark", "id", "shards")).distinct()
 
+    search.release()
+
     # Upwards: path tails per level.
     tails = levels[0].select("landmark", "id", F.array("id").alias("vertices"))
     found = [

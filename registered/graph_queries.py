@@ -8,6 +8,7 @@ from collabnet.operators import components as cc
 from collabnet.operators import graph as g
 from collabnet.operators import pairs as pr
 from collabnet.operators import paths as sp
+from collabnet.session import cut_lineage
 from registered import bindings as b
 
 
@@ -50,7 +51,7 @@ def neighbor_sum(spark, sf):
 
 
 def collective_influence(spark, sf):
-    return g.influence(b.part_edges(spark, sf, 1))
+    return g.influence(cut_lineage(b.part_edges(spark, sf, 1)))
 
 
 def collective_initialized_influence(spark, sf):
