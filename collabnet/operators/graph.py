@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Graph:
-    """Vertices (id, ...) and canonical edges (src, dst, ...)."""
+    """Vertices (id, ...), canonical edges (src, dst, n_common) and, in long form, the
+    events behind the edges: titles (src, dst, event, title)."""
 
     vertices: DataFrame
     edges: DataFrame
+    titles: DataFrame | None = None
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

@@ -34,7 +34,8 @@ def dense_index(df: DataFrame, order: list[str], groups: list[str] = (), out: st
         .agg(F.count("*").alias("_n"))
         .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     )
-    numbered = placed.join(shifts, "_part").withColumn("_global", F.col("_row") + F.col("_shift"))
+    # One row per partition of ``placed``, so the broadcast is bounded by their number.
+    numbered = placed.join(F.broadcast(shifts), "_part").withColumn("_global", F.col("_row") + F.col("_shift"))
     if not groups:
         return numbered.withColumn(out, F.col("_global")).drop("_mono", "_part", "_row", "_shift", "_global")
     firsts = numbered.groupBy(*groups).agg(F.min("_global").alias("_first"))

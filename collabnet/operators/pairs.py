@@ -58,7 +58,8 @@ def _block_cells(parts: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
 def _meetings(parts: DataFrame, block: int) -> DataFrame:
     """One row (src, dst, event) per event and unordered pair of its participants, ``src < dst``."""
     left, right = _block_cells(parts, block)
-    met = left.join(right, ["event", "lo", "hi"]).where(
+    # The cells repeat rows, which size estimates do not see: never broadcast them.
+    met = left.join(right.hint("merge"), ["event", "lo", "hi"]).where(
         ((F.col("lo") < F.col("hi")) & (F.col("a") != F.col("b"))) | (F.col("a") < F.col("b"))
     )
     return met.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "event")
@@ -143,7 +144,10 @@ def _split_crowded(parts: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
 
 
 def pair_lists(credits: DataFrame, entity: str, event: str, out: str = "id_releases") -> DataFrame:
-    """Pairs with the sorted array of their common events (the stored form of the relation)."""
+    """Pairs with the sorted array of their common events.
+
+    A view for readers of the array form; the operators work on the long form.
+    """
     return (
         pair_events(credits, entity, event)
         .groupBy("src", "dst")
@@ -161,7 +165,10 @@ def pair_titles(pairs: DataFrame, titles: DataFrame, event: str = "event", title
 
 
 def title_lists(titled: DataFrame) -> DataFrame:
-    """Edges with ``id_title_list``, the array of (id_release, title) of their common events."""
+    """Edges with ``id_title_list``, the array of (id_release, title) of their common events.
+
+    A view for readers of the array form; the operators work on the long form.
+    """
     return titled.groupBy("src", "dst").agg(
         F.array_sort(
             F.collect_list(F.struct(F.col("event").alias("id_release"), F.col("title").alias("title")))

@@ -15,7 +15,7 @@ from collabnet.functions.arrays import (
     tagged,
     tail,
 )
-from collabnet.session import full_join
+from collabnet.session import left_join
 
 COUNTRY_TYPE = 1  # fixed value: area type of a country
 MAX_LEVELS = 5  # fixed value: ancestors looked at above an area
@@ -55,21 +55,25 @@ def area_countries(
 
 
 def url_columns(artist_urls: DataFrame, urls: DataFrame, key: str = "id") -> DataFrame:
-    """Per artist: ids and addresses found among its URLs, and the other URLs."""
-    listed = (
-        artist_urls.join(urls, "urlID", "left")
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list("url")).alias("urls"))
+    """Per artist: ids and addresses found among its URLs, and the other URLs.
+
+    Of several addresses of one source the first in text order counts.
+    """
+    listed = artist_urls.join(urls, "urlID", "left")
+    url = F.col("url")
+    is_primary, is_kb = F.contains(url, F.lit(u.PRIMARY_PROFILE)), F.contains(url, F.lit(u.KB_PROFILE))
+    found = listed.groupBy(key).agg(
+        F.min(F.when(is_primary, url)).alias("discogs_url"),
+        F.min(F.when(is_kb, url)).alias("wikidata_url"),
+        F.array_sort(F.collect_list(F.when(~is_primary & ~is_kb, url))).alias("other_urls"),
     )
-    primary = u.first_with(F.col("urls"), u.PRIMARY_PROFILE)
-    kb = u.first_with(F.col("urls"), u.KB_PROFILE)
-    return listed.select(
+    return found.select(
         key,
-        u.last_segment(primary).alias("discogs_id"),
-        u.last_segment(kb).alias("wikidata_id"),
-        primary.alias("discogs_url"),
-        kb.alias("wikidata_url"),
-        u.without(F.col("urls"), [u.KB_PROFILE, u.PRIMARY_PROFILE]).alias("other_urls"),
+        u.last_segment(F.col("discogs_url")).alias("discogs_id"),
+        u.last_segment(F.col("wikidata_url")).alias("wikidata_id"),
+        "discogs_url",
+        "wikidata_url",
+        "other_urls",
     )
 
 
@@ -166,7 +170,15 @@ def resolve_sources(kb: DataFrame, mb: DataFrame) -> DataFrame:
     by_mb = _mb_by(mb, "musicbrainz_id", ["discogs_id", "wikidata_id"], "1")
     by_primary = _mb_by(mb, "discogs_id", ["musicbrainz_id", "wikidata_id"], "2")
     by_kb = _mb_by(mb, "wikidata_id", ["discogs_id", "musicbrainz_id"], "3")
-    matched = full_join(full_join(full_join(kb, by_mb, "musicbrainz_id"), by_primary, "discogs_id"), by_kb, "wikidata_id")
+    # The full outer chain kb - by_mb - by_primary - by_kb. Rows that enter from one of the
+    # roll-ups have no other id to match on, so the chain is kb left-joined three times,
+    # plus the rows of each roll-up that no kb row has the id of.
+    matched = kb
+    for rolled, key in ((by_mb, "musicbrainz_id"), (by_primary, "discogs_id"), (by_kb, "wikidata_id")):
+        matched = left_join(matched, rolled, key)
+    for rolled, key in ((by_mb, "musicbrainz_id"), (by_primary, "discogs_id"), (by_kb, "wikidata_id")):
+        alone = rolled.join(kb.select(key).distinct(), key, "left_anti")
+        matched = matched.unionByName(alone, allowMissingColumns=True)
     c = F.col
     mb_id = F.coalesce("musicbrainz_id", "musicbrainz_id2", "musicbrainz_id3")
     return matched.select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from collabnet.operators import importcsv as ic
 from collabnet.operators import lookup, pairs, paths, ranking, resolve, subgraph, tree
 from collabnet.operators import update as up
 from collabnet.operators.components import connected_components
-from collabnet.session import cut_lineage, has_more_than
+from collabnet.session import cut_lineage
 from collabnet.sources import files, sinks
 
 # ---------------------------------------------------------------- ingest
@@ -153,10 +155,17 @@ def build_credits(credits: DataFrame, artists: DataFrame) -> tuple[DataFrame, Da
 
 
 def build_played_with(joined: DataFrame) -> DataFrame:
-    """Filtered credits -> pairs with the list of their common releases."""
+    """Filtered credits -> (id_artist_out, id_artist_in, id_release), a row per pair and common release."""
     collapsed = cr.version_collapse(joined)
-    return pairs.pair_lists(collapsed, "id_artist", "id_release").select(
-        F.col("src").alias("id_artist_out"), F.col("dst").alias("id_artist_in"), "id_releases"
+    return pairs.pair_events(collapsed, "id_artist", "id_release").select(
+        F.col("src").alias("id_artist_out"), F.col("dst").alias("id_artist_in"), F.col("event").alias("id_release")
+    )
+
+
+def played_with_lists(relations: DataFrame) -> DataFrame:
+    """The same with ``id_releases`` as a list, one row per pair."""
+    return relations.groupBy("id_artist_out", "id_artist_in").agg(
+        F.array_sort(F.collect_list("id_release")).alias("id_releases")
     )
 
 
@@ -203,18 +212,14 @@ def create_graph(
 ) -> gr.Graph:
     """Unified tables -> vertices with degree, component and influence, edges with titles."""
     long = relations.select(
-        F.col("id_artist_out").alias("src"), F.col("id_artist_in").alias("dst"), F.explode("id_releases").alias("event")
-    )
-    titled = pairs.pair_titles(long, releases, "id_release", "title")
-    edges = cut_lineage(
-        pairs.title_lists(titled).withColumn("n_common", F.size("id_title_list").cast("bigint"))
+        F.col("id_artist_out").alias("src"), F.col("id_artist_in").alias("dst"), F.col("id_release").alias("event")
     )
+    titles = cut_lineage(pairs.pair_titles(long, releases, "id_release", "title"))
+    edges = cut_lineage(titles.groupBy("src", "dst").agg(F.count("*").alias("n_common")))
     scores = gr.influence(edges, relevants)
     components = connected_components(edges)
-    vertices = (
-        artists.withColumnRenamed("discogs_id", "id").join(scores, "id").join(components, "id")
-    )
-    return gr.Graph(vertices, edges)
+    vertices = artists.withColumnRenamed("discogs_id", "id").join(scores, "id").join(components, "id")
+    return gr.Graph(vertices, edges, titles)
 
 
 def compute_paths(
@@ -254,12 +259,11 @@ def rank_paths(found: DataFrame, vertices: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- exports
 
 
-def export_ids(ranked: DataFrame, edges: DataFrame, max_rank: int, out: str, label: str) -> None:
+def export_ids(ranked: DataFrame, graph: gr.Graph, max_rank: int, out: str, label: str) -> None:
     """Vertex and release id lists of the best paths."""
-    events = edges.select("src", "dst", F.explode("id_title_list.id_release").alias("event"))
     sinks.write_file(ranking.selected_vertex_ids(ranked, max_rank), f"{out}/vertices_id_list_{label}.json", "json")
     sinks.write_file(
-        ranking.selected_release_ids(ranked, max_rank, events), f"{out}/edges_id_list_{label}.json", "json"
+        ranking.selected_release_ids(ranked, max_rank, graph.titles), f"{out}/edges_id_list_{label}.json", "json"
     )
 
 
@@ -279,14 +283,26 @@ def profile_columns() -> list[Column]:
     ]
 
 
-def _threshold_lists(best: DataFrame, nodes: DataFrame, max_rank: int, groups: list[str]) -> DataFrame:
-    """``links1 .. links<R>``: indexes of the vertices met on paths up to each rank."""
-    linked = subgraph.indexed_rank_links(subgraph.rank_links(best, groups), nodes, groups)
-    lists = [
-        F.array_sort(F.collect_list(F.when(F.col("rank") <= r, F.col("linked_index")))).alias(f"links{r}")
-        for r in range(1, max_rank + 1)
-    ]
-    return linked.groupBy(*groups, "id").agg(*lists)
+@dataclass(frozen=True)
+class GraphRows:
+    """Rows of one or many exported graphs.
+
+    ``nodes`` and ``links`` are one row each; ``link_titles`` has a row per link
+    and release, ``rank_links`` a row per node and linked node with the best rank
+    of a path through both.
+    """
+
+    nodes: DataFrame
+    links: DataFrame
+    link_titles: DataFrame
+    rank_links: DataFrame
+
+    def write(self, path: str, groups: list[str]) -> None:
+        for name, rows in vars(self).items():
+            sinks.write_groups(rows, f"{path}/{name}", groups)
+
+
+LINK = ["source", "target"]
 
 
 def graph_rows(
@@ -299,70 +315,76 @@ def graph_rows(
     groups: list[str] = (),
     centralities: bool = True,
     profiles: bool = False,
-    link_lists: bool = True,
-) -> tuple[DataFrame, DataFrame]:
-    """Node and link rows of the graphs spanned by the best paths.
+) -> GraphRows:
+    """The graphs spanned by the best paths.
 
     ``groups``: none for one graph, ``["guest"]`` or ``["relevant"]`` for one each.
     """
     groups = list(groups)
+    key = groups + ["id"]
     best = cut_lineage(subgraph.select_paths(ranked, rank, max_rank))
-    listed = guests.select("id", "ordinal")
-    rows = subgraph.edge_rows(best, graph.edges, groups)
+    rows = cut_lineage(subgraph.edge_rows(best, graph.edges, groups))
     rolled = subgraph.vertex_rows(best, guests, relevants, groups)
     if centralities:
-        ends = cut_lineage(rolled.select(*groups, "id"))
-        key = groups + ["id"]
+        ends = cut_lineage(rolled.select(*key))
         rolled = (
             rolled.join(subgraph.subgraph_degree(rows, groups), key)
             .join(subgraph.path_load(best, groups), key)
             .join(subgraph.closeness(rows, ends, groups), key)
         )
-    known = graph.vertices.withColumnRenamed("degree", "degree_origin")
-    described = known.select(
+    described = graph.vertices.select(
         "id",
         (display_name(F.col("name")) if profiles else F.col("name")).alias("name"),
-        "degree_origin",
+        F.col("degree").alias("degree_origin"),
         "ci",
         "cii",
         "citizenships",
         "instruments",
         *(profile_columns() + [F.col("profile")] if profiles else profile_columns()[:2]),
     )
-    nodes = subgraph.indexed_nodes(rolled.join(described, "id"), groups)
-    if link_lists:
-        nodes = nodes.join(_threshold_lists(best, nodes, max_rank, groups), groups + ["id"], "left")
-    first = ["index", "id"]
-    nodes = nodes.select(*groups, *first, *[c for c in nodes.columns if c not in first + groups])
-
-    links = subgraph.indexed_links(subgraph.relative_weight(rows), nodes, groups)
-    guest_number = listed.select(F.col("id").alias("guest"), F.col("ordinal").alias("path_id"))
-    links = links.join(guest_number, "guest", "left").select(
-        *groups,
-        "source",
-        "target",
-        "weight",
-        F.col("id_title_list.id_release").alias("releases"),
-        F.col("id_title_list.title").alias("titles"),
-        F.transform("id_title_list.id_release", urls.image_file).alias("images"),
-        "path_id",
-        F.col("rank").alias(rank),
+    nodes = cut_lineage(subgraph.indexed_nodes(rolled.join(described, "id"), groups))
+    first = groups + ["index", "id"]
+    nodes = nodes.select(*first, *[c for c in nodes.columns if c not in first])
+
+    linked = subgraph.indexed_rank_links(subgraph.rank_links(best, groups), nodes, groups)
+    links = cut_lineage(subgraph.indexed_links(subgraph.relative_weight(rows), nodes, groups))
+    number = guests.select(F.col("id").alias("guest"), F.col("ordinal").alias("path_id"))
+    shown = links.join(number, "guest", "left").select(
+        *dict.fromkeys([*groups, *LINK, "weight", "n_common", "path_id", "guest"]), F.col("rank").alias(rank)
+    )
+    used = links.select(*groups, *LINK, "src", "dst").distinct()
+    titles = used.join(gr.both_ways(graph.titles), ["src", "dst"]).select(
+        *groups, *LINK, F.col("event").alias("id_release"), "title", urls.image_file(F.col("event")).alias("image")
     )
-    return nodes, links
+    return GraphRows(nodes, shown, titles, linked)
+
+
+def nested_graph(rows: GraphRows, max_rank: int, groups: list[str] = ()) -> DataFrame | None:
+    """One document per graph: nodes with ``links1 .. links<R>``, links with their releases.
+
+    None where a graph is too large for one row.
+    """
+    groups = list(groups)
+    if not all(sinks.fits_document(part, groups) for part in vars(rows).values()):
+        return None
+    lists = [
+        F.array_sort(F.collect_list(F.when(F.col("rank") <= r, F.col("linked_index")))).alias(f"links{r}")
+        for r in range(1, max_rank + 1)
+    ]
+    per_node = rows.rank_links.groupBy(*groups, "id").agg(*lists)
+    nodes = rows.nodes.join(per_node, groups + ["id"], "left").select(*rows.nodes.columns, *per_node.columns[len(groups) + 1 :])
+    titles = sinks.nested(rows.link_titles, groups + LINK, "releases")
+    return sinks.graph_documents(nodes, rows.links.join(titles, groups + LINK, "left"), groups)
 
 
 def export_graph(ranked, graph, guests, relevants, max_rank: int, out: str, label: str) -> None:
     """Node/link graph for both rankings (E15): row files, and a document where the size allows."""
     for rank, name in (("rank_ci", f"ED{label}_RANKCI"), ("rank_cii", f"ED{label}_RANKCII")):
-        nodes, links = graph_rows(ranked, graph, guests, relevants, max_rank, rank)
-        nodes, links = cut_lineage(nodes), cut_lineage(links)
-        nodes.write.mode("overwrite").json(f"{out}/{name}/nodes")
-        links.write.mode("overwrite").json(f"{out}/{name}/links")
-        try:
-            document = sinks.graph_documents(nodes, links)
-        except ValueError:
-            continue
-        sinks.write_file(document, f"{out}/{name}.json", "json")
+        rows = graph_rows(ranked, graph, guests, relevants, max_rank, rank)
+        rows.write(f"{out}/{name}", [])
+        document = nested_graph(rows, max_rank)
+        if document is not None:
+            sinks.write_file(document, f"{out}/{name}.json", "json")
 
 
 def release_details(links: DataFrame, releases: DataFrame, keys: list[str]) -> DataFrame:
@@ -381,14 +403,12 @@ def release_details(links: DataFrame, releases: DataFrame, keys: list[str]) -> D
 
 def export_graph_by_guest(ranked, graph, guests, relevants, releases, max_rank: int, out: str, label: str) -> None:
     """One graph per guest with release details and profiles (E16), all guests in one job."""
-    nodes, links = graph_rows(
-        ranked, graph, guests, relevants, max_rank, "rank_cii", ["guest"], profiles=True
-    )
-    keys = ["guest", "source", "target", "weight", "path_id", "rank_cii"]
-    detailed = release_details(links.select(*keys, F.explode("releases").alias("id_release")), releases, keys)
     base = f"{out}/ED{label}_RANKCII_by_guest"
-    sinks.write_groups(nodes, f"{base}/nodes", ["guest"])
-    sinks.write_groups(detailed, f"{base}/links", ["guest"])
+    rows = graph_rows(ranked, graph, guests, relevants, max_rank, "rank_cii", ["guest"], profiles=True)
+    rows.write(base, ["guest"])
+    keys = ["guest", *LINK]
+    detailed = release_details(rows.link_titles.select(*keys, "id_release"), releases, keys)
+    sinks.write_groups(detailed, f"{base}/releases", ["guest"])
 
 
 def export_graph_by_relevant(ranked, graph, guests, relevants, max_rank: int, out: str, label: str) -> None:
@@ -398,12 +418,14 @@ def export_graph_by_relevant(ranked, graph, guests, relevants, max_rank: int, ou
     )
     sinks.write_file(selector, f"{out}/relevant_selector.json", "json")
     for rank in ("rank_ci", "rank_cii"):
-        nodes, links = graph_rows(
+        rows = graph_rows(
             ranked, graph, guests, relevants, max_rank, rank, ["relevant"], centralities=False
         )
         base = f"{out}/ED{label}_BY_RELEVANT_{rank}"
-        sinks.write_groups(nodes, f"{base}/nodes", ["relevant"])
-        sinks.write_groups(links, f"{base}/links", ["relevant"])
+        rows.write(base, ["relevant"])
+        documents = nested_graph(rows, max_rank, ["relevant"])
+        if documents is not None:
+            sinks.write_groups(documents, f"{base}/documents", ["relevant"])
 
 
 def tree_attributes(vertices: DataFrame) -> DataFrame:
@@ -439,12 +461,11 @@ def export_tree(
         attributes = tree_attributes(graph.vertices.join(on_tree, "id", "left_semi"))
         documents = cut_lineage(tree.tree_documents(rows, cut_lineage(attributes), depth, max_children))
         documents.select(F.col("json").alias("value")).write.mode("overwrite").text(f"{out}/tree_graph_{label}")
-        if not has_more_than(documents, max_children):
+        if documents.count() <= max_children:
             sinks.write_file(tree.root_document(documents, label), f"{out}/tree_graph_{label}.json", "text")
     used = paths.path_edges(best).select("src", "dst").distinct()
-    info = gr.both_ways(graph.edges.select("src", "dst", "id_title_list"))
-    long = info.join(used, ["src", "dst"], "left_semi").select(
-        "src", "dst", F.explode("id_title_list.id_release").alias("id_release")
+    long = gr.both_ways(graph.titles.select("src", "dst", F.col("event").alias("id_release"))).join(
+        used, ["src", "dst"], "left_semi"
     )
     release_details(long, releases, ["src", "dst"]).write.mode("overwrite").json(
         f"{out}/tree_graph_links_{label}"

@@ -39,22 +39,24 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def has_more_than(df: DataFrame, n: int) -> bool:
-    """True if ``df`` has more than ``n`` rows; stops counting after ``n + 1``."""
-    return df.limit(n + 1).count() > n
+def left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join on ``key`` with the null keys of the left side spread over the partitions.
+
+    Null never matches; without the second key all such rows would hash to one partition.
+    """
+    plain = [f.name for f in left.schema if not isinstance(f.dataType, T.MapType)]
+    salt = F.pmod(F.xxhash64(*plain), F.lit(NULL_KEY_SPREAD))
+    none = F.lit(0).cast("bigint")
+    spread = left.withColumn("_spread", F.when(F.col(key).isNull(), salt).otherwise(none))
+    return spread.join(right.withColumn("_spread", none), [key, "_spread"], "left").drop("_spread")
 
 
 def full_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Full outer join on ``key`` that spreads the null keys of both sides.
+    """Full outer join on ``key`` that survives hot and null keys.
 
-    Null never equals null, so those rows only pass through; without the second
-    key they would all hash to one partition, and a full outer join cannot be
-    split at run time.
+    A full outer join cannot be split at run time, so it is written as a left
+    join, which can, plus the right rows without a partner. ``left`` is read
+    twice: cut its lineage first if it is costly.
     """
-
-    def spread(df: DataFrame) -> DataFrame:
-        plain = [f.name for f in df.schema if not isinstance(f.dataType, T.MapType)]
-        salt = F.pmod(F.xxhash64(*plain), F.lit(NULL_KEY_SPREAD))
-        return df.withColumn("_null_spread", F.when(F.col(key).isNull(), salt).otherwise(F.lit(0).cast("bigint")))
-
-    return spread(left).join(spread(right), [key, "_null_spread"], "full").drop("_null_spread")
+    alone = right.join(left.select(key).distinct(), key, "left_anti")
+    return left_join(left, right, key).unionByName(alone, allowMissingColumns=True)

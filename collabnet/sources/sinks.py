@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from collabnet.operators.graph import Graph
-from collabnet.session import has_more_than
+from collabnet.session import cut_lineage
 
 SINGLE_FILE_ROWS = 1_000_000
 DOCUMENT_ITEMS = 100_000
@@ -22,9 +22,11 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def write_graph(graph: Graph, path: str) -> None:
-    """The vertex and edge tables of a graph (K7)."""
+    """The vertex and edge tables of a graph, and the titles behind the edges (K7)."""
     write_table(graph.vertices, f"{path}/vertices")
     write_table(graph.edges, f"{path}/edges")
+    if graph.titles is not None:
+        write_table(graph.titles, f"{path}/titles")
 
 
 def write_paths(paths: DataFrame, path: str) -> None:
@@ -61,19 +63,33 @@ def write_file(df: DataFrame, target: str, kind: str, max_rows: int = SINGLE_FIL
     A result of more than ``max_rows`` rows is left as a directory of part files
     next to the asked name.
     """
-    if has_more_than(df, max_rows):
+    stored = cut_lineage(df)
+    if stored.count() > max_rows:
         folder = f"{target}.parts"
-        _write(df, kind, folder)
+        _write(stored, kind, folder)
         return folder
     folder = f"{target}.tmp"
-    _write(df.coalesce(1), kind, folder)
+    _write(stored.coalesce(1), kind, folder)
     _publish(df.sparkSession, folder, target)
     return target
 
 
 def write_groups(df: DataFrame, path: str, groups: list[str]) -> None:
-    """JSON lines, one directory per group value, in one write."""
-    df.write.mode("overwrite").partitionBy(*groups).json(path)
+    """JSON lines, in one write, with one directory per group value if there are groups."""
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(*groups) if groups else writer).json(path)
+
+
+def fits_document(items: DataFrame, groups: list[str], max_items: int = DOCUMENT_ITEMS) -> bool:
+    """True if no graph has more than ``max_items`` of these rows."""
+    counts = items.groupBy(*groups).count() if groups else items.groupBy().count()
+    return counts.where(F.col("count") > max_items).isEmpty()
+
+
+def nested(items: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """One row per ``keys`` with the other columns as a sorted list of structs."""
+    fields = [c for c in items.columns if c not in keys]
+    return items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(out))
 
 
 def graph_documents(
@@ -86,17 +102,11 @@ def graph_documents(
     """
     groups = list(groups)
     for name, items in (("nodes", nodes), ("links", links)):
-        if not items.groupBy(*groups).count().where(F.col("count") > max_items).isEmpty():
+        if not fits_document(items, groups, max_items):
             raise ValueError(f"a graph has more than {max_items} {name}; write the rows instead")
-
-    def nested(items: DataFrame, out: str) -> DataFrame:
-        fields = [c for c in items.columns if c not in groups]
-        return items.groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(out))
-
-    n, k = nested(nodes, "nodes"), nested(links, "links")
     if groups:
-        return n.join(k, groups, "left")
-    return n.crossJoin(k)  # two one-row frames
+        return nested(nodes, groups, "nodes").join(nested(links, groups, "links"), groups, "left")
+    return nested(nodes, [], "nodes").withColumn("links", nested(links, [], "links").scalar())
 
 
 def import_csv(df: DataFrame, path: str) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from collabnet.functions import urls
 from collabnet.operators import importcsv as ic
+from collabnet.operators import pairs as pr
 from collabnet.plans import jobs
 from collabnet.sources import files, sinks
 from collabnet import schemas
@@ -126,6 +127,7 @@ def world(spark, tmp_path_factory):
         "relevants": relevants, "unified": unified, "graph": graph, "paths": found,
         "ranked": files.read_ranked(spark, at("ranked")),
         "releases": spark.read.parquet(at("final/dfReleases")),
+        "relations": spark.read.parquet(at("final/dfArtistsRel")),
     }
 
 
@@ -160,8 +162,11 @@ def test_unified(world):
 
 
 def test_graph(world):
-    edges = {(r.src, r.dst): [x.id_release for x in r.id_title_list] for r in world["graph"].edges.collect()}
+    edges = {(r.src, r.dst): [x.id_release for x in r.id_title_list] for r in pr.title_lists(world["graph"].titles).collect()}
     assert edges[1, 2] == [1, 2] and edges[3, 4] == [4, 5, 6] and edges[2, 3] == [3, 4] and edges[2, 4] == [4]
+    assert {(r.src, r.dst): r.n_common for r in world["graph"].edges.collect()} == {k: len(v) for k, v in edges.items()}
+    lists = jobs.played_with_lists(world["relations"])
+    assert {(r.id_artist_out, r.id_artist_in): r.id_releases for r in lists.collect()} == edges
     vertices = {r.id: r for r in world["graph"].vertices.collect()}
     assert {v.component for v in vertices.values()} == {1}
     assert vertices[2].degree == 3
@@ -191,7 +196,7 @@ def _json_lines(path):
 
 def test_exports(world):
     at, w = world["at"], world
-    jobs.export_ids(w["ranked"], w["graph"].edges, 1, at("ids"), "2019")
+    jobs.export_ids(w["ranked"], w["graph"], 1, at("ids"), "2019")
     ids = [json.loads(x)["id"] for x in Path(at("ids/vertices_id_list_2019.json")).read_text().splitlines()]
     assert sorted(ids) == [1, 2, 3, 4]
     releases = [json.loads(x)["id"] for x in Path(at("ids/edges_id_list_2019.json")).read_text().splitlines()]
@@ -202,6 +207,7 @@ def test_exports(world):
     assert [n["index"] for n in doc["nodes"]] == [0, 1, 2, 3]
     assert {n["id"]: n["class"] for n in doc["nodes"]} == {1: "guest", 2: "relevant", 3: "other", 4: "guest"}
     assert max(x["weight"] for x in doc["links"]) == 1.0
+    assert {r["title"] for x in doc["links"] for r in x["releases"]} == {"T1", "T2", "T3", "T4", "T5", "T6"}
     one = next(n for n in doc["nodes"] if n["id"] == 1)
     assert one["mbLink"] == urls.MB_PROFILE + "g1" and one["links1"] and one["cc"] > 0 and one["bc"] > 0
     assert len(_json_lines(at("graphs/ED2019_RANKCII/nodes"))) == 4
@@ -211,12 +217,14 @@ def test_exports(world):
     assert sorted(n["id"] for n in nodes) == [1, 2, 3, 4]
     born = next(n for n in nodes if n["id"] == 1)
     assert born["yearOfBirth"] == 1961 and born["homePageUrl"] == "http://www.bo.com"
-    links = _json_lines(at("by_guest/ED2019_RANKCII_by_guest/links/guest=4"))
+    links = _json_lines(at("by_guest/ED2019_RANKCII_by_guest/releases/guest=4"))
     assert {x["title"] for x in links} >= {"T1", "T2", "T3", "T4"} and all(x["country"] == "AR" for x in links)
 
     jobs.export_graph_by_relevant(w["ranked"], w["graph"], w["guests"], w["relevants"], 2, at("by_rel"), "2019")
     assert len(Path(at("by_rel/relevant_selector.json")).read_text().splitlines()) == 2
     assert _json_lines(at("by_rel/ED2019_BY_RELEVANT_rank_cii/nodes/relevant=2"))
+    (two,) = _json_lines(at("by_rel/ED2019_BY_RELEVANT_rank_cii/documents/relevant=2"))
+    assert [n["id"] for n in two["nodes"]] == [1, 2, 3, 4] and len(two["links"]) == 3
 
     jobs.export_tree(w["ranked"], w["graph"], w["releases"], at("tree"), "2019")
     root = json.loads(Path(at("tree/tree_graph_2019.json")).read_text())
