@@ -28,10 +28,17 @@ def edge_rows(paths: DataFrame, edges: DataFrame, groups: list[str] = ()) -> Dat
     """
     keys = list(dict.fromkeys([*groups, "src", "dst", "rank", "guest"]))
     steps = path_edges(paths).join(paths.select("path_id", "rank"), "path_id").select(*keys).distinct()
-    lo, hi = F.least("src", "dst"), F.greatest("src", "dst")
+    return with_edge_columns(steps, edges)
+
+
+def with_edge_columns(steps: DataFrame, edges: DataFrame) -> DataFrame:
+    """Join rows with (src, dst) in any direction to canonical edge rows (src < dst)."""
     info = edges.withColumnRenamed("src", "_lo").withColumnRenamed("dst", "_hi")
     return (
-        steps.withColumn("_lo", lo).withColumn("_hi", hi).join(info, ["_lo", "_hi"]).drop("_lo", "_hi")
+        steps.withColumn("_lo", F.least("src", "dst"))
+        .withColumn("_hi", F.greatest("src", "dst"))
+        .join(info, ["_lo", "_hi"])
+        .drop("_lo", "_hi")
     )
 
 

@@ -353,7 +353,7 @@ def graph_rows(
         *dict.fromkeys([*groups, *LINK, "weight", "n_common", "path_id", "guest"]), F.col("rank").alias(rank)
     )
     used = links.select(*groups, *LINK, "src", "dst").distinct()
-    titles = used.join(gr.both_ways(graph.titles), ["src", "dst"]).select(
+    titles = subgraph.with_edge_columns(used, graph.titles).select(
         *groups, *LINK, F.col("event").alias("id_release"), "title", urls.image_file(F.col("event")).alias("image")
     )
     return GraphRows(nodes, shown, titles, linked)
@@ -464,9 +464,7 @@ def export_tree(
         if documents.count() <= max_children:
             sinks.write_file(tree.root_document(documents, label), f"{out}/tree_graph_{label}.json", "text")
     used = paths.path_edges(best).select("src", "dst").distinct()
-    long = gr.both_ways(graph.titles.select("src", "dst", F.col("event").alias("id_release"))).join(
-        used, ["src", "dst"], "left_semi"
-    )
+    long = subgraph.with_edge_columns(used, graph.titles.select("src", "dst", F.col("event").alias("id_release")))
     release_details(long, releases, ["src", "dst"]).write.mode("overwrite").json(
         f"{out}/tree_graph_links_{label}"
     )

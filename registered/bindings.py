@@ -29,6 +29,11 @@ def forget() -> None:
     _made.clear()
 
 
+def longs(df: DataFrame, *names: str) -> DataFrame:
+    """Cast integer columns to the type SQL counts in."""
+    return df.withColumns({n: F.col(n).cast("bigint") for n in names})
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

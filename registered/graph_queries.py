@@ -75,7 +75,7 @@ def components(spark, sf):
 
 def landmark_distances(spark, sf):
     net = b.PartNetwork(b.part_edges(spark, sf, 2))
-    return sp.landmark_distances(net.links, net.relevants, 10)
+    return b.longs(sp.landmark_distances(net.links, net.relevants, 10), "dist")
 
 
 def distance_lists(spark, sf):
@@ -84,13 +84,11 @@ def distance_lists(spark, sf):
         F.col("p_partkey").alias("id"), F.translate("p_name", " ", "_").alias("name")
     )
     far = sp.landmark_distances(net.links, net.relevants, 10)
-    return sp.distance_lists(far, names, net.relevants.join(names, "id")).select(
-        "guest", "guest_name", "relevant", "relevant_name", "distance"
-    )
+    return b.longs(sp.distance_lists(far, names, net.relevants.join(names, "id")), "distance")
 
 
 def _shown(paths):
-    return paths.select("guest", "relevant", "key", F.array_join("vertices", "-").alias("path"))
+    return b.longs(paths, "key").select("guest", "relevant", "key", F.array_join("vertices", "-").alias("path"))
 
 
 def all_shortest_paths(spark, sf):

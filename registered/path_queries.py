@@ -39,8 +39,9 @@ def _path_text():
 
 
 def rank_paths(spark, sf):
-    return _parts(spark, sf).paths.select(
-        "guest", "relevant", "key", _path_text(), "path_count", F.col("cb").cast("bigint").alias("cb"),
+    ranked = b.longs(_parts(spark, sf).paths, "key", "cb", "rank_cb", "rank_ci", "rank_cii")
+    return ranked.select(
+        "guest", "relevant", "key", _path_text(), "path_count", "cb",
         "sum_CI", "sum_CII", "rank_cb", "rank_ci", "rank_cii",
     )
 
@@ -71,7 +72,8 @@ def selected_release_ids(spark, sf):
 
 
 def path_edges(spark, sf):
-    return sp.path_edges(_parts(spark, sf).paths).select("guest", "relevant", "key", "pos", "src", "dst")
+    edges = b.longs(sp.path_edges(_parts(spark, sf).paths), "key", "pos")
+    return edges.select("guest", "relevant", "key", "pos", "src", "dst")
 
 
 def path_vertices(spark, sf):
@@ -84,7 +86,7 @@ def path_vertices(spark, sf):
 
 
 def rank_links(spark, sf):
-    return sg.rank_links(_parts(spark, sf).best())
+    return b.longs(sg.rank_links(_parts(spark, sf).best()), "rank")
 
 
 def path_load(spark, sf):
@@ -94,7 +96,9 @@ def path_load(spark, sf):
 def subgraph_edges(spark, sf):
     r = _parts(spark, sf)
     rows = sg.relative_weight(sg.edge_rows(r.best(), r.net.edges))
-    return rows.select("src", "dst", "rank", "guest", "n_common", F.round(F.col("weight").cast("double"), 4).alias("weight"))
+    return b.longs(rows, "rank").select(
+        "src", "dst", "rank", "guest", "n_common", F.round(F.col("weight").cast("double"), 4).alias("weight")
+    )
 
 
 def subgraph_degree(spark, sf):
@@ -123,13 +127,13 @@ def links_by_relevant(spark, sf):
     best = r.best()
     nodes = sg.indexed_nodes(sp.path_steps(best).select("relevant", "id").distinct(), ["relevant"])
     rows = sg.edge_rows(best, r.net.edges, ["relevant"])
-    return sg.indexed_links(rows, nodes, ["relevant"]).select(
+    return b.longs(sg.indexed_links(rows, nodes, ["relevant"]), "rank").select(
         "relevant", "source", "target", "rank", "guest", "n_common"
     )
 
 
 def tree_rows(spark, sf):
-    return tree.tree_rows(_parts(spark, sf).best(max_rank=1))
+    return b.longs(tree.tree_rows(_parts(spark, sf).best(max_rank=1)), "pos")
 
 
 QUERIES = {

@@ -232,7 +232,7 @@ links as (select n_nationkey + 100 as id, n_regionkey + 1 as parent from nation
 walk as (select id, id as at, t, 0 as d from areas
   union select w.id, l.parent, a.t, w.d + 1 from walk w join links l on l.id = w.at join areas a on a.id = l.parent
   where w.t <> 1 and w.d < 5)
-select distinct w.id as areaID, a.name as country from walk w join areas a on a.id = w.at where w.t = 1""",
+select distinct w.id::bigint as areaID, a.name as country from walk w join areas a on a.id = w.at where w.t = 1""",
     "url_ids": f"""with p as (select length(url) as id, page_id,
     case when starts_with(url, 'http://') then '{u.PRIMARY_PROFILE}' || page_id
          when contains(url, '.net/') then '{u.KB_PROFILE}Q' || page_id else url end as url from pages),
@@ -259,6 +259,6 @@ select c_custkey as discogs_id, k[1] as wikidata_id, m[1] as musicbrainz_id, c_n
   '{u.PRIMARY_PROFILE}' || c_custkey || '-' || c_name as url_discogs,
   {_sorted('list_distinct([c_mktsegment] || coalesce(genres3, []))', 'genres')}, c_mktsegment as roles,
   {_sorted('coalesce(citizenships, [])', 'citizenships')},
-  {_sorted(f"[ '{u.MB_PROFILE}' || x for x in coalesce(m, [])]", 'musicbrainz_url')}, 0 as n_image_links
+  {_sorted(f"[ '{u.MB_PROFILE}' || x for x in coalesce(m, [])]", 'musicbrainz_url')}, 0::bigint as n_image_links
 from customer left join rolled on discogs_id = c_custkey""",
 }
