@@ -250,9 +250,31 @@ def path_edges(paths: DataFrame) -> DataFrame:
     )
 
 
-def wide_paths(paths: DataFrame, key: int) -> DataFrame:
-    """Paths of one key as columns ``from, v1 .. v<key>, to``."""
-    names = ["from"] + [f"v{i}" for i in range(1, key + 1)] + ["to"]
-    return paths.where(F.col("key") == key).select(
-        "path_id", *[F.get("vertices", F.lit(i)).alias(n) for i, n in enumerate(names)]
+def described_paths(paths: DataFrame, vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """Add the vertex rows and edge rows of each path as lists of structs in path order.
+
+    Searches carry ids only; the attributes are joined to the positions
+    afterwards. ``edges`` is canonical. The lists are as long as the path.
+    """
+
+    def listed(steps: DataFrame, rows: DataFrame, key: list[str], out: str) -> DataFrame:
+        one = F.struct("pos", F.struct(*[F.col(c) for c in rows.columns]).alias("row"))
+        joined = steps.join(rows, key).groupBy("path_id").agg(F.array_sort(F.collect_list(one)).alias(out))
+        return joined.withColumn(out, F.col(f"{out}.row"))
+
+    steps = path_steps(paths).select("path_id", "pos", "id")
+    hops = path_edges(paths).select(
+        "path_id", "pos", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")
     )
+    return paths.join(listed(steps, vertices, ["id"], "vertex_rows"), "path_id", "left").join(
+        listed(hops, edges, ["src", "dst"], "edge_rows"), "path_id", "left"
+    )
+
+
+def wide_paths(described: DataFrame, key: int) -> DataFrame:
+    """Paths of one key as columns ``from, e0, v1, e1 .. to`` of structs."""
+    names = ["from"] + [f"v{i}" for i in range(1, key + 1)] + ["to"]
+    vertex = [F.get("vertex_rows", F.lit(i)).alias(n) for i, n in enumerate(names)]
+    edge = [F.get("edge_rows", F.lit(i)).alias(f"e{i}") for i in range(key + 1)]
+    ordered = [c for pair in zip(vertex, edge) for c in pair] + vertex[-1:]
+    return described.where(F.col("key") == key).select("path_id", *ordered)

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from collabnet.operators import pairs as pr
 from collabnet.operators import paths as sp
 from collabnet.operators import ranking as rk
 from collabnet.operators import subgraph as sg
 from collabnet.operators import tree
+from collabnet.operators.graph import Graph
+from collabnet.plans import jobs
 from collabnet.session import cut_lineage
 from registered import bindings as b
 from registered.graph_queries import paths_sql
@@ -76,6 +79,37 @@ def path_edges(spark, sf):
     return edges.select("guest", "relevant", "key", "pos", "src", "dst")
 
 
+def described_paths(spark, sf):
+    """Paths with the names of their vertices and the weights of their edges."""
+    r = _parts(spark, sf)
+    names = b.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_name")
+    wide = sp.described_paths(r.paths, names, r.net.edges)
+    return wide.select(
+        "guest", "relevant", _path_text(), F.array_join(F.col("vertex_rows.p_name"), "-").alias("names"),
+        F.array_join(F.col("edge_rows.n_common").cast("array<string>"), "-").alias("weights"),
+    )
+
+
+def create_graph(spark, sf):
+    """Artists, pairs and releases to scored vertices with their component."""
+    met = pr.pair_events(b.table(spark, sf, "lineitem"), "l_partkey", "l_orderkey")
+    relations = met.select(
+        F.col("src").alias("id_artist_out"), F.col("dst").alias("id_artist_in"), F.col("event").alias("id_release")
+    )
+    artists = b.table(spark, sf, "part").select(F.col("p_partkey").alias("discogs_id"), F.col("p_name").alias("name"))
+    releases = b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id_release"), F.col("o_orderpriority").alias("title"))
+    r = b.relevants(b.part_edges(spark, sf, 1))
+    return jobs.create_graph(artists, relations, releases, r).vertices
+
+
+def compute_paths(spark, sf):
+    """The path job with its rows for guests without a path."""
+    r = _parts(spark, sf)
+    named = b.table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
+    paths = jobs.compute_paths(Graph(named, r.net.edges), named, r.net.relevants, 2)
+    return b.longs(paths, "key").groupBy("guest", "key").agg(F.count("relevant").alias("n_paths"))
+
+
 def path_vertices(spark, sf):
     r = _parts(spark, sf)
     rows = sg.vertex_rows(r.best(), r.net.guests, r.net.relevants)
@@ -143,6 +177,9 @@ QUERIES = {
     "selected_vertex_ids": selected_vertex_ids,
     "selected_release_ids": selected_release_ids,
     "path_edges": path_edges,
+    "described_paths": described_paths,
+    "create_graph": create_graph,
+    "compute_paths": compute_paths,
     "path_vertices": path_vertices,
     "rank_links": rank_links,
     "path_load": path_load,
@@ -197,6 +234,22 @@ select distinct x.e as id from h join edges_p x on x.v = lo join edges_p y on y.
   from ranked where guest <> relevant)
 select a.guest, a.relevant, cast(a.key as bigint) as key, a.pos, a.id as src, n.id as dst
 from v a join v n on n.pid = a.pid and n.pos = a.pos + 1""",
+    "described_paths": _RANKED + f""", n as (select pid, guest, relevant, {_TEXT}, vertices, unnest(range(0, len(vertices))) as pos,
+    unnest(vertices) as id from ranked),
+names as (select pid, string_agg(p_name, '-' order by pos) as names from n join part on p_partkey = id group by pid),
+weights as (select a.pid, string_agg(n_common, '-' order by a.pos) as weights from n a join n c on c.pid = a.pid and c.pos = a.pos + 1
+  join edges e on e.src = least(a.id, c.id) and e.dst = greatest(a.id, c.id) group by a.pid)
+select guest, relevant, {_TEXT}, names, weights from ranked join names using (pid) left join weights using (pid)""",
+    "create_graph": f"""with recursive {b.edges_sql(min_common=1)}, {b.relevants_sql()}, {b.influence_sql()},
+label as (select id, id as c from edges_deg
+  union select e.dst, l.c from label l join edges_both e on e.src = l.id where l.c < e.dst),
+comp as (select id, min(c) as component from label group by id)
+select id, p_name as name, cast(degree as bigint) as degree, cast(sum_neighbor_degree as bigint) as sum_neighbor_degree,
+  cast(ci as bigint) as ci, cast(sum_neighbor_relevance as bigint) as sum_neighbor_relevance, cast(cii as bigint) as cii, component
+from scores join part on p_partkey = id join comp using (id)""",
+    "compute_paths": f"""with recursive {b.edges_sql()}, {b.relevants_sql()}, {paths_sql('edges')}
+select guest, key, count(*) as n_paths from paths group by all
+union all select id, -1, 0 from edges_deg where id not in (select guest from paths)""",
     "path_vertices": _RANKED + f"""select s.id, coalesce(any_value(r.category), 0) as category, 'guest' as class,
   {_LEVELS} as levels,
   string_agg(distinct case when ends.category = 1 then key else -1 end, '|' order by case when ends.category = 1 then key else -1 end) as cat1_distances

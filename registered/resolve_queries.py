@@ -56,6 +56,54 @@ def url_ids(spark, sf):
     return found.withColumn("other_urls", F.array_join("other_urls", "|"))
 
 
+def mb_artists(spark, sf):
+    """Customers as dump artists: their area's country and the URLs of the page of the same number."""
+    areas, links = _areas(spark, sf)
+    artists = b.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("id"),
+        F.concat(F.lit("m"), "c_custkey").alias("musicbrainz_id"),
+        F.col("c_name").alias("artist_name"),
+        F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_custkey") + 1000).alias("areaID"),
+    )
+    _, urls = _page_urls(spark, sf)
+    owned = b.table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("page_id").alias("urlID"))
+    found = rs.mb_artists(artists, areas, links, owned, urls)
+    return found.withColumn("other_urls", F.array_join("other_urls", "|"))
+
+
+def kb_artists(spark, sf):
+    """Orders as entities: parts as genres, suppliers as instruments, the customer's nation as citizenship."""
+    line = b.table(spark, sf, "lineitem")
+    ids = line.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.collect_list(F.concat(F.lit("P"), "l_partkey")).alias("genre_ids"),
+        F.collect_list(F.concat(F.lit("S"), "l_suppkey")).alias("instrument_ids"),
+    )
+    part = b.table(spark, sf, "part").select(F.concat(F.lit("P"), "p_partkey").alias("id"), F.col("p_name").alias("label"))
+    supplier = b.table(spark, sf, "supplier").select(
+        F.concat(F.lit("S"), "s_suppkey").alias("id"), F.col("s_name").alias("label")
+    )
+    shown = F.col("o_custkey").cast("string")
+    entities = b.table(spark, sf, "orders").join(ids, "o_orderkey", "left").select(
+        F.concat(F.lit("Q"), "o_orderkey").alias("wikidata_id"),
+        F.when(F.col("o_orderstatus") == "F", F.concat(F.lit(u.PRIMARY_PROFILE), shown, F.lit("-x")))
+        .when(F.col("o_orderstatus") == "O", shown)
+        .alias("discogs_id"),
+        F.col("o_orderpriority").alias("musicbrainz_id"),
+        F.col("o_orderstatus").alias("name"),
+        "genre_ids",
+        "instrument_ids",
+        F.array(F.concat(F.lit("P"), shown), F.lit("unknown")).alias("citizenship_ids"),
+        F.lit(None).cast("array<string>").alias("images"),
+        F.array("o_orderstatus", F.lit(None)).alias("links"),
+        F.lit(None).cast("array<struct<time:string,calendar:string>>").alias("date_of_birth_calendar"),
+    )
+    named = rs.kb_artists(entities, part.unionByName(supplier))
+    return named.select(
+        "wikidata_id", "discogs_id", "musicbrainz_id", "name", _text("genres3"), _text("instruments"),
+        _text("citizenships"), _text("wikidata_links"), F.size("images").cast("bigint").alias("n_images"),
+    )
+
+
 def labels_regroup(spark, sf):
     line = b.table(spark, sf, "lineitem")
     entities = line.groupBy(F.col("l_orderkey").alias("wikidata_id")).agg(
@@ -170,6 +218,8 @@ def unify_artists(spark, sf):
 QUERIES = {
     "hierarchy_country": hierarchy_country,
     "url_ids": url_ids,
+    "mb_artists": mb_artists,
+    "kb_artists": kb_artists,
     "labels_regroup": labels_regroup,
     "three_way_resolve": three_way_resolve,
     "resolved_rollup": resolved_rollup,
@@ -221,8 +271,7 @@ rolled as (select discogs_id, list_sort(list(distinct wikidata_id) filter (wikid
     {_all('genres3')} as genres3, {_all('other_urls')} as other_urls, {_all('wikidata_links')} as wikidata_links
   from resolved where discogs_id is not null group by 1)"""
 
-SQL = {
-    "hierarchy_country": """with recursive
+_AREAS = """
 areas as (select r_regionkey + 1 as id, r_name as name, 1 as t from region
   union all select n_nationkey + 100, n_name, 2 from nation
   union all select c_custkey + 1000, c_name, 3 from customer),
@@ -231,8 +280,31 @@ links as (select n_nationkey + 100 as id, n_regionkey + 1 as parent from nation
   union all select c_custkey + 1000, c_custkey % 5 + 1 from customer where c_acctbal < 0),
 walk as (select id, id as at, t, 0 as d from areas
   union select w.id, l.parent, a.t, w.d + 1 from walk w join links l on l.id = w.at join areas a on a.id = l.parent
-  where w.t <> 1 and w.d < 5)
-select distinct w.id::bigint as areaID, a.name as country from walk w join areas a on a.id = w.at where w.t = 1""",
+  where w.t <> 1 and w.d < 5),
+country as (select distinct w.id, a.name as country from walk w join areas a on a.id = w.at where w.t = 1)"""
+
+_PAGES = f"""
+p as (select length(url) as n, page_id,
+    case when starts_with(url, 'http://') then '{u.PRIMARY_PROFILE}' || page_id
+         when contains(url, '.net/') then '{u.KB_PROFILE}Q' || page_id else url end as url from pages)"""
+
+SQL = {
+    "hierarchy_country": f"with recursive {_AREAS} select id::bigint as areaID, country from country",
+    "mb_artists": f"""with recursive {_AREAS}, {_PAGES}
+select 'm' || c_custkey as musicbrainz_id, c_name as artist_name,
+  case when contains(url, '{u.PRIMARY_PROFILE}') then page_id::varchar end as discogs_id,
+  case when contains(url, '{u.KB_PROFILE}') then 'Q' || page_id end as wikidata_id,
+  case when contains(url, '{u.PRIMARY_PROFILE}') then url end as discogs_url,
+  case when contains(url, '{u.KB_PROFILE}') then url end as wikidata_url,
+  case when contains(url, '{u.PRIMARY_PROFILE}') or contains(url, '{u.KB_PROFILE}') then '' else url end as other_urls, country
+from customer left join p on page_id = c_custkey
+left join country on id = c_custkey + 1000 and c_mktsegment <> 'MACHINERY'""",
+    "kb_artists": """with l as (select l_orderkey, string_agg(p_name, '|' order by p_name) as g, string_agg(s_name, '|' order by s_name) as i
+  from lineitem join part on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey group by 1)
+select 'Q' || o_orderkey as wikidata_id, case when o_orderstatus <> 'P' then o_custkey end as discogs_id,
+  o_orderpriority as musicbrainz_id, o_orderstatus as name, coalesce(g, '') as genres3, coalesce(i, '') as instruments,
+  coalesce(p_name, '') as citizenships, o_orderstatus as wikidata_links, 0::bigint as n_images
+from orders left join l on l_orderkey = o_orderkey left join part on p_partkey = o_custkey""",
     "url_ids": f"""with p as (select length(url) as id, page_id,
     case when starts_with(url, 'http://') then '{u.PRIMARY_PROFILE}' || page_id
          when contains(url, '.net/') then '{u.KB_PROFILE}Q' || page_id else url end as url from pages),

@@ -115,8 +115,13 @@ def test_path_views(spark):
     )
     assert rows(sp.path_edges(paths), "path_id", "pos", "src", "dst") == [(0, 0, 1, 2), (0, 1, 2, 3), (1, 0, 1, 2)]
     assert rows(sp.inner_steps(paths), "path_id", "id") == [(0, 2)]
-    assert sp.wide_paths(paths, 1).columns == ["path_id", "from", "v1", "to"]
-    assert rows(sp.wide_paths(paths, 0)) == [(1, 1, 2), (2, 5, 5)]
+    vertices = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (5, "e")], "id bigint, name string")
+    edges = spark.createDataFrame([(1, 2, 4), (2, 3, 6)], "src bigint, dst bigint, n_common int")
+    wide = sp.described_paths(paths, vertices, edges)
+    assert sp.wide_paths(wide, 1).columns == ["path_id", "from", "e0", "v1", "e1", "to"]
+    one = sp.wide_paths(wide, 1).first()
+    assert (one["from"].name, one.e0.n_common, one.v1.name, one.e1.n_common, one.to.name) == ("a", 4, "b", 6, "c")
+    assert rows(sp.wide_paths(wide, 0), "from.name", "e0.n_common", "to.name") == [("a", 4, "b"), ("e", None, "e")]
 
 
 def test_edge_filter(spark):
