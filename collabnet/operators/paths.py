@@ -14,12 +14,15 @@ from collabnet.session import cut_lineage, union_all
 SHARD = 65_536
 
 
-def sharded_adjacency(links: DataFrame, groups: list[str] = (), shard: int = SHARD) -> DataFrame:
-    """Adjacency rows partitioned for repeated expansion.
+def sharded_adjacency(
+    links: DataFrame, groups: list[str] = (), targets: DataFrame | None = None, shard: int = SHARD
+) -> DataFrame:
+    """Adjacency rows prepared for repeated expansion.
 
     ``links`` holds both directions. The neighbour list of a hub is cut into
     shards of about ``shard`` rows, so no task expands a whole hub; ``dst_shards``
-    tells the next round into how many shards the reached vertex is cut.
+    tells the next round into how many shards the reached vertex is cut, and
+    ``dst_target`` whether it is one of ``targets`` (id).
     """
     groups = list(groups)
     sizes = links.groupBy(*groups, "src").agg(
@@ -28,13 +31,18 @@ def sharded_adjacency(links: DataFrame, groups: list[str] = (), shard: int = SHA
     hubs = sizes.where(F.col("shards") > 1)
     src_hubs = hubs.withColumnRenamed("shards", "src_shards")
     dst_hubs = hubs.withColumnRenamed("src", "dst").withColumnRenamed("shards", "dst_shards")
+    marked = links.join(src_hubs, groups + ["src"], "left").join(dst_hubs, groups + ["dst"], "left")
+    if targets is None:
+        marked = marked.withColumn("dst_target", F.lit(False))
+    else:
+        wanted = targets.select(F.col("id").alias("dst"), F.lit(True).alias("dst_target"))
+        marked = marked.join(wanted, "dst", "left")
     return (
-        links.join(src_hubs, groups + ["src"], "left")
-        .join(dst_hubs, groups + ["dst"], "left")
-        .withColumn("src_shards", F.coalesce("src_shards", F.lit(1)))
+        marked.withColumn("src_shards", F.coalesce("src_shards", F.lit(1)))
         .withColumn("dst_shards", F.coalesce("dst_shards", F.lit(1)))
+        .withColumn("dst_target", F.coalesce("dst_target", F.lit(False)))
         .withColumn("shard", F.pmod(F.xxhash64("dst"), F.col("src_shards")).cast("int"))
-        .select(*groups, "src", "shard", "dst", "src_shards", "dst_shards")
+        .select(*groups, "src", "shard", "dst", "src_shards", "dst_shards", "dst_target")
     )
 
 
@@ -47,7 +55,10 @@ def _expand(frontier: DataFrame, adjacency: DataFrame, groups: list[str], keep:
 
 
 class DistanceLevels:
-    """Frontiers of a search from many landmarks: ``levels[d]`` holds (groups, landmark, id, shards)."""
+    """Frontiers of a search from many landmarks.
+
+    ``levels[d]`` holds (groups, landmark, id, shards, target).
+    """
 
     def __init__(self, adjacency: DataFrame, groups: list[str], levels: list[DataFrame]):
         self.adjacency = adjacency
@@ -82,11 +93,15 @@ def search_levels(
     reachable pair has been met.
     """
     groups = list(groups)
+    if targets is not None:
+        targets = targets.select("id").distinct()
     width = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Cached partitioned and sorted by the expansion key: the rounds shuffle and sort
     # frontiers, not edges. Blocks lost with an executor are computed again.
     by = groups + ["src", "shard"]
-    adjacency = sharded_adjacency(links, groups).repartition(width, *by).sortWithinPartitions(*by).persist()
+    adjacency = (
+        sharded_adjacency(links, groups, targets).repartition(width, *by).sortWithinPartitions(*by).persist()
+    )
     vertex = adjacency.groupBy(*groups, F.col("src").alias("id")).agg(F.max("src_shards").alias("shards"))
     start = (
         landmarks.select(*groups, "id")
@@ -94,22 +109,30 @@ def search_levels(
         .join(vertex, groups + ["id"], "left")
         .select(*groups, F.col("id").alias("landmark"), "id", F.coalesce("shards", F.lit(1)).alias("shards"))
     )
-    levels = [cut_lineage(start)]
+    if targets is None:
+        start = start.withColumn("target", F.lit(False))
+    else:
+        start = start.join(targets.withColumn("target", F.lit(True)), "id", "left").withColumn(
+            "target", F.coalesce("target", F.lit(False))
+        )
+    levels = [cut_lineage(start.select(*groups, "landmark", "id", "shards", "target"))]
     pair = groups + ["landmark", "id"]
+
+    def n_targets(level: DataFrame) -> int:
+        return level.where("target").count()
+
     open_pairs = None
     if targets is not None:
-        targets = targets.select("id").distinct()
-        open_pairs = levels[0].count() * targets.count() - levels[0].join(targets, "id", "left_semi").count()
+        open_pairs = levels[0].count() * targets.count() - n_targets(levels[0])
     while (max_len is None or len(levels) <= max_len) and (open_pairs is None or open_pairs > 0):
-        reached = (
+        known = union_all([level.select(*pair) for level in levels[-2:]])
+        reached = cut_lineage(
             _expand(levels[-1], adjacency, groups, ["landmark"])
             .groupBy(*groups, "landmark", F.col("dst").alias("id"))
-            .agg(F.max("dst_shards").alias("shards"))
+            .agg(F.max("dst_shards").alias("shards"), F.max("dst_target").alias("target"))
+            .join(known, pair, "left_anti")
         )
-        for known in levels[-2:]:
-            reached = reached.join(known.select(*pair), pair, "left_anti")
-        reached = cut_lineage(reached)
-        met = 0 if open_pairs is None else reached.join(targets, "id", "left_semi").count()
+        met = 0 if open_pairs is None else n_targets(reached)
         if met == 0 and reached.isEmpty():
             break
         levels.append(reached)
@@ -155,7 +178,7 @@ def all_shortest_paths(
     pair = ["landmark", "id"]
 
     # Downwards: which edges lie on a shortest path from some guest.
-    at_guest = [level.join(guests, "id", "left_semi") for level in levels]
+    at_guest = [level.where("target").select("landmark", "id", "shards") for level in levels]
     down: dict[int, DataFrame] = {}
     active = at_guest[-1]
     for d in range(len(levels) - 1, 0, -1):
@@ -166,15 +189,13 @@ def all_shortest_paths(
             .select("landmark", F.col("src").alias("id"), "dst", "dst_shards")
         )
         through = down[d].select("landmark", F.col("dst").alias("id"), F.col("dst_shards").alias("shards"))
-        active = through.unionByName(at_guest[d - 1].select("landmark", "id", "shards")).distinct()
+        active = through.unionByName(at_guest[d - 1]).distinct()
 
     search.release()
 
     # Upwards: path tails per level.
     tails = levels[0].select("landmark", "id", F.array("id").alias("vertices"))
-    found = [
-        tails.join(guests, "id", "left_semi").select("landmark", "id", F.array("id", "id").alias("vertices"))
-    ]
+    found = [at_guest[0].select("landmark", "id", F.array("id", "id").alias("vertices"))]
     for d in range(1, len(levels)):
         tails = cut_lineage(
             down[d]

@@ -62,7 +62,7 @@ def test_components_without_vertices_keep_loops(spark):
 @pytest.mark.parametrize("shard", [2, 65536])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_paths_equal_brute_force(spark, seed, shard, monkeypatch):
-    monkeypatch.setattr(sp.sharded_adjacency, "__defaults__", ((), shard))
+    monkeypatch.setattr(sp.sharded_adjacency, "__defaults__", ((), None, shard))
     rng = random.Random(seed)
     data = random_edges(rng, 40, 60) + [(90, 91)]
     near = neighbors(data)
