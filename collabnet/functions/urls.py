@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from collabnet.functions.arrays import concat_distinct, drop_nulls, head
+from collabnet.functions.arrays import drop_nulls, head
 
 # Address formats of the data sources.
 PRIMARY_PROFILE = "https://www.discogs.com/artist/"
@@ -140,7 +140,3 @@ def home_page(name: Column, urls: Column) -> Column:
     last = F.filter(sites, lambda u: F.contains(front(u), F.get(words, F.size(words) - 1)))
     some = F.filter(sites, lambda u: F.exists(words, lambda w: F.contains(front(u), w)))
     return F.when(F.size(words) > 0, F.coalesce(shortest(whole), shortest(last), shortest(some)))
-
-
-def merged_urls(*lists: Column) -> Column:
-    return concat_distinct(*lists)

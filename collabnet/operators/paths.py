@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from collabnet.session import cut_lineage, union_all
 
 SHARD = 65_536
+ROWS_PER_PARTITION = 1_000_000
 
 
 def sharded_adjacency(
@@ -78,6 +79,14 @@ class DistanceLevels:
         )
 
 
+def _width(links: DataFrame) -> int:
+    """Partitions for the cached adjacency: by its rows, within the cores and the shuffle setting."""
+    spark = links.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by_rows = -(-links.count() // ROWS_PER_PARTITION)
+    return min(most, max(by_rows, spark.sparkContext.defaultParallelism))
+
+
 def search_levels(
     links: DataFrame,
     landmarks: DataFrame,
@@ -95,12 +104,14 @@ def search_levels(
     groups = list(groups)
     if targets is not None:
         targets = targets.select("id").distinct()
-    width = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Cached partitioned and sorted by the expansion key: the rounds shuffle and sort
     # frontiers, not edges. Blocks lost with an executor are computed again.
     by = groups + ["src", "shard"]
     adjacency = (
-        sharded_adjacency(links, groups, targets).repartition(width, *by).sortWithinPartitions(*by).persist()
+        sharded_adjacency(links, groups, targets)
+        .repartition(_width(links), *by)
+        .sortWithinPartitions(*by)
+        .persist()
     )
     vertex = adjacency.groupBy(*groups, F.col("src").alias("id")).agg(F.max("src_shards").alias("shards"))
     start = (

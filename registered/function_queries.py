@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from collabnet.functions import claims, dates, text, urls
-from collabnet.functions.arrays import as_list
 from collabnet.operators import importcsv as ic
 from collabnet.operators import lookup, update
 from registered import bindings as b

@@ -217,7 +217,6 @@ ends as (select id as relevant, category from relevants)
 _RANKED = ranked_sql()
 _TEXT = "array_to_string(vertices, '-') as path"
 _LEVELS = "string_agg(distinct (key + 1 - pos), '|' order by (key + 1 - pos))"
-_CLASS = "case when true then 'guest' end"
 
 SQL = {
     "rank_paths": _RANKED + f"""select guest, relevant, cast(key as bigint) as key, {_TEXT}, path_count, cast(cb as bigint) as cb,
