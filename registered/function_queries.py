@@ -154,19 +154,24 @@ def birth_year(spark, sf):
     return b.table(spark, sf, "orders").select("o_orderkey", dates.birth_year(births).cast("bigint").alias("year"))
 
 
-def _host_lists(spark, sf):
-    """URLs of the pages by length, with example hosts read as known ones."""
-    url = F.col("url")
-    for old, new in (("example.com", "facebook.com"), ("example.net", "en.wikipedia.org"), ("example.org", "es.wikipedia.org")):
-        url = F.replace(url, F.lit(old), F.lit(new))
-    url = F.regexp_replace(url, r"//[a-z]+\.facebook\.com", "//www.facebook.com")
-    pages = b.table(spark, sf, "pages").select(F.length("url").cast("bigint").alias("id"), url.alias("url"))
-    return pages.groupBy("id").agg(F.array_sort(F.collect_list("url")).alias("urls"))
+def _read_as(url, old, new):
+    return F.replace(url, F.lit(old), F.lit(new))
 
 
 def best_url(spark, sf):
-    return _host_lists(spark, sf).select(
-        "id",
+    """The URLs of every page, its example host read as several known ones."""
+    url = F.col("url")
+    face = F.regexp_replace(_read_as(url, "example.com", "facebook.com"), r"//[a-z]+\.facebook\.com", "//www.facebook.com")
+    listed = F.array(
+        F.concat(_read_as(url, "example.org", "facebook.com"), F.lit("/profile/of/the/page")),
+        face,
+        _read_as(url, "example.net", "de.wikipedia.org"),
+        _read_as(url, "example.net", "en.wikipedia.org"),
+        F.when(F.contains(url, F.lit("/fr/")), _read_as(url, "example.net", "es.wikipedia.org")),
+    )
+    pages = b.table(spark, sf, "pages").select("page_id", urls.all_urls(listed).alias("urls"))
+    return pages.select(
+        "page_id",
         urls.best_encyclopedia_url(F.col("urls")).alias("encyclopedia"),
         urls.best_host_url(F.col("urls"), "facebook.com").alias("facebook"),
         urls.best_host_url(F.col("urls"), "imdb.com").alias("imdb"),
@@ -175,11 +180,17 @@ def best_url(spark, sf):
 
 def home_page(spark, sf):
     """Own sites: the first word of a page's host as the artist's last name."""
-    pages = b.table(spark, sf, "pages")
+    url = F.col("url")
     word = F.regexp_extract("url", r"//(?:m\.|www\.)?([a-z]+)\.example", 1)
-    lists = F.array_sort(F.collect_list("url"))
-    grouped = pages.groupBy(F.concat(F.lit("The "), word).alias("name")).agg(lists.alias("urls"))
-    return grouped.select("name", urls.home_page(F.col("name"), F.col("urls")).alias("home"))
+    listed = F.array(
+        url,
+        F.concat(F.lit("http://the"), word, F.lit(".com/home")),
+        F.concat(F.lit("http://"), word, F.lit(".com")),
+        F.concat(F.lit("http://facebook.com/the"), word),
+    )
+    shown = F.when(F.contains(url, F.lit("?")), F.array(url)).otherwise(listed)
+    pages = b.table(spark, sf, "pages").select("page_id", F.concat(F.lit("The "), word).alias("name"), shown.alias("urls"))
+    return pages.select("page_id", "name", urls.home_page(F.col("name"), F.col("urls")).alias("home"))
 
 
 def media_hash_url(spark, sf):
@@ -195,27 +206,22 @@ def display_name(spark, sf):
 
 
 def _releases(spark, sf):
-    """Orders as releases; lines of returned goods have no collaborator id."""
+    """Every line as a release: its part and supplier are credited, returned goods without a collaborator id."""
     part = b.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand")
-    ident = F.when(F.col("l_returnflag") != "R", F.col("l_partkey")).otherwise(0)
-    line = b.table(spark, sf, "lineitem").join(part, "l_partkey").withColumn("_id", ident)
-    one = F.struct("p_name", "_id", "l_returnflag", "p_brand")
-    lists = line.groupBy(F.col("l_orderkey").alias("discogs_id")).agg(F.collect_list(one).alias("x"))
     orders = b.table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("discogs_id"),
+        F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority", "o_orderstatus", "o_orderdate"
+    )
+    ident = F.when(F.col("l_returnflag") != "R", F.col("l_partkey")).otherwise(0)
+    line = b.table(spark, sf, "lineitem").join(part, "l_partkey").join(orders, "l_orderkey")
+    return line.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("discogs_id"),
         F.concat(F.lit("<"), "o_orderpriority", F.lit(">")).alias("title"),
         F.when(F.col("o_orderstatus") != "P", F.date_format("o_orderdate", "yyyy")).alias("released"),
         F.lit(None).cast("string").alias("country"),
-    )
-    return orders.join(lists, "discogs_id", "left").select(
-        "discogs_id",
-        "title",
-        "released",
-        "country",
-        F.col("x.p_name").alias("extras_names"),
-        F.col("x._id").alias("extras_ids"),
-        F.col("x.l_returnflag").alias("extras_roles"),
-        F.array_distinct(F.col("x.p_brand")).alias("artists_names"),
+        F.when(F.col("l_linestatus") == "O", F.array("p_name", "p_brand")).alias("extras_names"),
+        F.array(ident, F.col("l_suppkey")).alias("extras_ids"),
+        F.array("l_returnflag", "l_linestatus").alias("extras_roles"),
+        F.array("p_brand").alias("artists_names"),
     )
 
 
@@ -299,19 +305,17 @@ def _changed(e: str, s: str) -> str:
 
 _FORM = r"regexp_replace(strip_accents(lower(regexp_replace(text, '[[:punct:]]', '', 'g'))), '[^\x00-\x7F]', '', 'g')"
 
-_HOSTS = r"""h as (select length(url) as id, regexp_replace(replace(replace(replace(url, 'example.com', 'facebook.com'),
-    'example.net', 'en.wikipedia.org'), 'example.org', 'es.wikipedia.org'), '//[a-z]+\.facebook\.com', '//www.facebook.com', 'g') as url from pages)"""
-
 _ESCAPE = "replace(replace(replace(replace({}, '&', '&amp;'), '\"', '&quot;'), '<', '&lt;'), '>', '&gt;')"
 
-_COLABS = f"""
-colabs as (select l_orderkey as discogs_id, {_ESCAPE.format("'<' || o_orderpriority || '>'")} as etitle,
-    '<' || o_orderpriority || '>' as title, case when o_orderstatus <> 'P' then strftime(o_orderdate, '%Y') else 'no info' end as released,
-    'no info' as country, p_name as colab_name, case when l_returnflag <> 'R' then l_partkey else 0 end as colab_id,
-    l_returnflag as colab_role, p_brand
+_COLABS = """
+rels as (select l_orderkey * 10 + l_linenumber as discogs_id, '<' || o_orderpriority || '>' as title,
+    case when o_orderstatus <> 'P' then strftime(o_orderdate, '%Y') else 'no info' end as released, 'no info' as country,
+    p_name, p_brand, l_partkey, l_suppkey, l_returnflag, l_linestatus
   from lineitem join part on p_partkey = l_partkey join orders on o_orderkey = l_orderkey),
-brands as (select distinct p_brand, regexp_extract(p_brand, '([0-9]+)', 1)::bigint as aid from part),
-mains as (select distinct discogs_id, lower(p_brand) as artist_name, aid from colabs join brands using (p_brand))"""
+colabs as (select discogs_id, title, released, country, p_name as colab_name,
+    case when l_returnflag <> 'R' then l_partkey else 0 end as colab_id, l_returnflag as colab_role from rels where l_linestatus = 'O'
+  union all select discogs_id, title, released, country, lower(p_brand), l_suppkey, l_linestatus from rels where l_linestatus = 'O'),
+mains as (select discogs_id, lower(p_brand) as artist_name, regexp_extract(p_brand, '([0-9]+)', 1)::bigint as aid from rels)"""
 
 SQL = {
     "name_search": f"""select doc_id, t as search_name from documents, (values {", ".join(f"('{t.replace('_', ' ').lower()}')" for t in TERMS)}) v(t)
@@ -343,21 +347,24 @@ select 'Q' || event_id as id, 'x' || event_type as label, case when event_type <
   'https://' || event_type || '.wikipedia.org/wiki/A_' || k as links, event_type = 'click' as human, event_type <> 'view' as in_music from n""",
     "birth_year": """select o_orderkey, case when o_orderpriority = '1-URGENT' then 1000 when o_orderstatus <> 'P' then year(o_orderdate) end as year
 from orders""",
-    "best_url": f"""with {_HOSTS},
-e as (select id, min(case when contains(url, 'es.wikipedia.org') then url end) as es,
-    min(case when contains(url, 'en.wikipedia.org') then url end) as en,
-    min(case when contains(url, 'wikipedia.org') then url end) as any_w from h group by id),
-f as (select id, url from h where contains(url, '//www.facebook.com/') qualify row_number() over (partition by id order by length(url), url) = 1)
-select e.id, coalesce(es, en, any_w) as encyclopedia, f.url as facebook, null::varchar as imdb from e left join f on f.id = e.id""",
-    "home_page": r"""with g as (select 'The ' || regexp_extract(url, '//(?:m\.|www\.)?([a-z]+)\.example', 1) as name, url from pages),
-c as (select name, url, string_split(lower(url), '.com')[1] as front, string_split(lower(name), ' ') as w from g
-  where url like '%.com' or contains(url, '.com/')),
-r as (select name, url, case when contains(front, w[1]) and contains(front, w[2]) then 1 when contains(front, w[2]) then 2
-    when contains(front, w[1]) then 3 end as tier,
-    not suffix(url, '.com') as late from c),
-best as (select name, url as home from r where tier is not null
-  qualify row_number() over (partition by name order by tier, length(url), late, url) = 1)
-select distinct g.name, home from g left join best using (name)""",
+    "best_url": r"""with w as (select page_id, case when contains(url, 'example.net') then replace(url, 'example.net', 'en.wikipedia.org') end as en,
+    case when contains(url, 'example.net') and contains(url, '/fr/') then replace(url, 'example.net', 'es.wikipedia.org') end as es,
+    case when contains(url, 'example.com') then regexp_replace(replace(url, 'example.com', 'facebook.com'), '//[a-z]+\.facebook\.com', '//www.facebook.com', 'g') end as face,
+    case when contains(url, 'example.org') then replace(url, 'example.org', 'facebook.com') || '/profile/of/the/page' end as other
+  from pages)
+select page_id, coalesce(es, en) as encyclopedia, case when contains(face, '//www.facebook.com/') then face
+  when contains(face, '//facebook.com/') then face when contains(other, '//www.facebook.com/') or contains(other, '//facebook.com/') then other end as facebook,
+  null::varchar as imdb from w""",
+    "home_page": r"""with g as (select page_id, url, regexp_extract(url, '//(?:m\.|www\.)?([a-z]+)\.example', 1) as w from pages),
+u as (select page_id, w, url, 1 as k, url as x from g
+  union all select page_id, w, url, 2, 'http://the' || w || '.com/home' from g where not contains(url, '?')
+  union all select page_id, w, url, 3, 'http://' || w || '.com' from g where not contains(url, '?')),
+c as (select *, string_split(lower(x), '.com')[1] as front from u where suffix(x, '.com') or contains(x, '.com/')),
+r as (select *, case when contains(front, 'the') and contains(front, w) then 1 when w <> '' and contains(front, w) then 2
+    when contains(front, 'the') then 3 end as tier from c),
+best as (select page_id, x as home from r where tier is not null
+  qualify row_number() over (partition by page_id order by tier, length(x), not suffix(x, '.com'), k) = 1)
+select page_id, 'The ' || w as name, home from g left join best using (page_id)""",
     "media_hash_url": f"""select page_id, '{urls.COMMONS_UPLOAD}/' || substr(md5(url), 1, 1) || '/' || substr(md5(url), 1, 2) || '/' || url as media
 from pages""",
     "html_escape": f"select page_id, replace({_ESCAPE.format('lower(trim(html))')}, '　', '') as escaped from pages",
@@ -369,8 +376,7 @@ union select colab_id, colab_name from colabs where colab_id <> 0""",
 select start_id, end_id, role, title, year, country from (
   select distinct c.discogs_id, colab_name, colab_id as start_id, aid as end_id, colab_role as role, title, released as year, country
   from colabs c join mains m on m.discogs_id = c.discogs_id where colab_id <> 0 and colab_id <> aid)""",
-    "graph_import_releases": """select o_orderkey as id, '<' || o_orderpriority || '>' as title, 'no info' as country,
-  case when o_orderstatus <> 'P' then strftime(o_orderdate, '%Y') else 'no info' end as released from orders""",
+    "graph_import_releases": f"with {_COLABS} select distinct discogs_id as id, title, country, released from rels",
     "graph_import_performed": f"with {_COLABS} select aid as start_id, discogs_id as end_id from mains",
     "graph_import_credited": f"""with {_COLABS} select colab_id as start_id, discogs_id as end_id, colab_role as role from
   (select distinct discogs_id, title, released, country, colab_name, colab_id, colab_role from colabs where colab_id <> 0)""",

@@ -71,33 +71,32 @@ def mb_artists(spark, sf):
     return found.withColumn("other_urls", F.array_join("other_urls", "|"))
 
 
-def kb_artists(spark, sf):
-    """Orders as entities: parts as genres, suppliers as instruments, the customer's nation as citizenship."""
-    line = b.table(spark, sf, "lineitem")
-    ids = line.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.collect_list(F.concat(F.lit("P"), "l_partkey")).alias("genre_ids"),
-        F.collect_list(F.concat(F.lit("S"), "l_suppkey")).alias("instrument_ids"),
-    )
+def _labels(spark, sf):
     part = b.table(spark, sf, "part").select(F.concat(F.lit("P"), "p_partkey").alias("id"), F.col("p_name").alias("label"))
     supplier = b.table(spark, sf, "supplier").select(
         F.concat(F.lit("S"), "s_suppkey").alias("id"), F.col("s_name").alias("label")
     )
+    return part.unionByName(supplier)
+
+
+def kb_artists(spark, sf):
+    """Orders as entities: customer and order number read as part and supplier ids."""
     shown = F.col("o_custkey").cast("string")
-    entities = b.table(spark, sf, "orders").join(ids, "o_orderkey", "left").select(
+    entities = b.table(spark, sf, "orders").select(
         F.concat(F.lit("Q"), "o_orderkey").alias("wikidata_id"),
         F.when(F.col("o_orderstatus") == "F", F.concat(F.lit(u.PRIMARY_PROFILE), shown, F.lit("-x")))
         .when(F.col("o_orderstatus") == "O", shown)
         .alias("discogs_id"),
         F.col("o_orderpriority").alias("musicbrainz_id"),
         F.col("o_orderstatus").alias("name"),
-        "genre_ids",
-        "instrument_ids",
+        F.array(F.concat(F.lit("P"), shown), F.concat(F.lit("P"), "o_orderkey")).alias("genre_ids"),
+        F.array(F.concat(F.lit("S"), shown)).alias("instrument_ids"),
         F.array(F.concat(F.lit("P"), shown), F.lit("unknown")).alias("citizenship_ids"),
         F.lit(None).cast("array<string>").alias("images"),
         F.array("o_orderstatus", F.lit(None)).alias("links"),
         F.lit(None).cast("array<struct<time:string,calendar:string>>").alias("date_of_birth_calendar"),
     )
-    named = rs.kb_artists(entities, part.unionByName(supplier))
+    named = rs.kb_artists(entities, _labels(spark, sf))
     return named.select(
         "wikidata_id", "discogs_id", "musicbrainz_id", "name", _text("genres3"), _text("instruments"),
         _text("citizenships"), _text("wikidata_links"), F.size("images").cast("bigint").alias("n_images"),
@@ -105,23 +104,17 @@ def kb_artists(spark, sf):
 
 
 def labels_regroup(spark, sf):
-    line = b.table(spark, sf, "lineitem")
-    entities = line.groupBy(F.col("l_orderkey").alias("wikidata_id")).agg(
-        F.collect_list(F.concat(F.lit("P"), "l_partkey")).alias("genre_ids"),
-        F.collect_list(F.concat(F.lit("S"), "l_suppkey")).alias("instrument_ids"),
-    )
-    labels = (
-        b.table(spark, sf, "part")
-        .select(F.concat(F.lit("P"), "p_partkey").alias("id"), F.col("p_name").alias("label"))
-        .unionByName(
-            b.table(spark, sf, "supplier").select(
-                F.concat(F.lit("S"), "s_suppkey").alias("id"), F.col("s_name").alias("label")
-            )
-        )
-    )
-    named = rs.regroup_labels(
-        entities, labels, "wikidata_id", {"genres": "genre_ids", "instruments": "instrument_ids"}
+    """Every line as an entity that lists its part, its supplier read as a part, and its supplier."""
+    part, supplier = F.concat(F.lit("P"), "l_partkey"), F.concat(F.lit("S"), "l_suppkey")
+    entities = b.table(spark, sf, "lineitem").select(
+        F.concat_ws(
+            "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint")
+        ).alias("wikidata_id"),
+        F.array(part, F.concat(F.lit("P"), "l_suppkey"), F.lit("unknown")).alias("genre_ids"),
+        F.array(supplier).alias("instrument_ids"),
     )
+    lists = {"genres": "genre_ids", "instruments": "instrument_ids"}
+    named = rs.regroup_labels(entities, _labels(spark, sf), "wikidata_id", lists)
     return named.select(
         "wikidata_id",
         F.array_join("genres", "|").alias("genres"),
@@ -299,12 +292,13 @@ select 'm' || c_custkey as musicbrainz_id, c_name as artist_name,
   case when contains(url, '{u.PRIMARY_PROFILE}') or contains(url, '{u.KB_PROFILE}') then '' else url end as other_urls, country
 from customer left join p on page_id = c_custkey
 left join country on id = c_custkey + 1000 and c_mktsegment <> 'MACHINERY'""",
-    "kb_artists": """with l as (select l_orderkey, string_agg(p_name, '|' order by p_name) as g, string_agg(s_name, '|' order by s_name) as i
-  from lineitem join part on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey group by 1)
+    "kb_artists": """with g as (select o_orderkey as k, string_agg(p_name, '|' order by p_name) as g
+  from orders join part on p_partkey = o_custkey or p_partkey = o_orderkey group by 1)
 select 'Q' || o_orderkey as wikidata_id, case when o_orderstatus <> 'P' then o_custkey end as discogs_id,
-  o_orderpriority as musicbrainz_id, o_orderstatus as name, coalesce(g, '') as genres3, coalesce(i, '') as instruments,
-  coalesce(p_name, '') as citizenships, o_orderstatus as wikidata_links, 0::bigint as n_images
-from orders left join l on l_orderkey = o_orderkey left join part on p_partkey = o_custkey""",
+  o_orderpriority as musicbrainz_id, o_orderstatus as name,
+  case when o_orderkey = o_custkey and g is not null then g || '|' || g else coalesce(g, '') end as genres3,
+  coalesce(s_name, '') as instruments, coalesce(p_name, '') as citizenships, o_orderstatus as wikidata_links, 0::bigint as n_images
+from orders left join g on k = o_orderkey left join part on p_partkey = o_custkey left join supplier on s_suppkey = o_custkey""",
     "url_ids": f"""with p as (select length(url) as id, page_id,
     case when starts_with(url, 'http://') then '{u.PRIMARY_PROFILE}' || page_id
          when contains(url, '.net/') then '{u.KB_PROFILE}Q' || page_id else url end as url from pages),
@@ -314,9 +308,10 @@ f as (select id, list_filter(urls, lambda x: contains(x, '{u.PRIMARY_PROFILE}'))
     list_filter(urls, lambda x: not contains(x, '{u.PRIMARY_PROFILE}') and not contains(x, '{u.KB_PROFILE}')) as others from l)
 select id, string_split(discogs_url, '/')[-1] as discogs_id, string_split(wikidata_url, '/')[-1] as wikidata_id,
   discogs_url, wikidata_url, array_to_string(others, '|') as other_urls from f""",
-    "labels_regroup": """select l_orderkey as wikidata_id, string_agg(p_name, '|' order by p_name) as genres,
-  string_agg(s_name, '|' order by s_name) as instruments
-from lineitem join part on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey group by 1""",
+    "labels_regroup": """select l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity::bigint as wikidata_id,
+  least(p.p_name, q.p_name) || '|' || greatest(p.p_name, q.p_name) as genres, s_name as instruments
+from lineitem join part p on p.p_partkey = l_partkey join part q on q.p_partkey = l_suppkey
+join supplier on s_suppkey = l_suppkey""",
     "three_way_resolve": f"""with {_SOURCES}
 select wikidata_id, musicbrainz_id, discogs_id, '{u.MB_PROFILE}' || musicbrainz_id as musicbrainz_url,
   {_sorted('wikidata_links', 'wikidata_links')}, {_sorted('citizenships', 'citizenships')},
