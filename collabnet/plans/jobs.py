@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -359,8 +359,10 @@ def graph_rows(
     return GraphRows(nodes, shown, titles, linked)
 
 
-def nested_graph(rows: GraphRows, max_rank: int, groups: list[str] = ()) -> DataFrame | None:
-    """One document per graph: nodes with ``links1 .. links<R>``, links with their releases.
+def nested_graph(
+    rows: GraphRows, max_rank: int, groups: list[str] = (), releases: str = "releases"
+) -> DataFrame | None:
+    """One document per graph: nodes with ``links1 .. links<R>``, links with their ``releases``.
 
     None where a graph is too large for one row.
     """
@@ -373,7 +375,7 @@ def nested_graph(rows: GraphRows, max_rank: int, groups: list[str] = ()) -> Data
     ]
     per_node = rows.rank_links.groupBy(*groups, "id").agg(*lists)
     nodes = rows.nodes.join(per_node, groups + ["id"], "left").select(*rows.nodes.columns, *per_node.columns[len(groups) + 1 :])
-    titles = sinks.nested(rows.link_titles, groups + LINK, "releases")
+    titles = sinks.nested(rows.link_titles, groups + LINK, releases)
     return sinks.graph_documents(nodes, rows.links.join(titles, groups + LINK, "left"), groups)
 
 
@@ -407,8 +409,11 @@ def export_graph_by_guest(ranked, graph, guests, relevants, releases, max_rank:
     rows = graph_rows(ranked, graph, guests, relevants, max_rank, "rank_cii", ["guest"], profiles=True)
     rows.write(base, ["guest"])
     keys = ["guest", *LINK]
-    detailed = release_details(rows.link_titles.select(*keys, "id_release"), releases, keys)
+    detailed = cut_lineage(release_details(rows.link_titles.select(*keys, "id_release"), releases, keys))
     sinks.write_groups(detailed, f"{base}/releases", ["guest"])
+    documents = nested_graph(replace(rows, link_titles=detailed), max_rank, ["guest"], "releases_data")
+    if documents is not None:
+        sinks.write_groups(documents, f"{base}/documents", ["guest"])
 
 
 def export_graph_by_relevant(ranked, graph, guests, relevants, max_rank: int, out: str, label: str) -> None:

@@ -220,6 +220,9 @@ def test_exports(world):
     links = _json_lines(at("by_guest/ED2019_RANKCII_by_guest/releases/guest=4"))
     assert {x["title"] for x in links} >= {"T1", "T2", "T3", "T4"} and all(x["country"] == "AR" for x in links)
 
+    (four,) = _json_lines(at("by_guest/ED2019_RANKCII_by_guest/documents/guest=4"))
+    assert {r["title"] for x in four["links"] for r in x["releases_data"]} >= {"T1", "T2", "T3", "T4"}
+
     jobs.export_graph_by_relevant(w["ranked"], w["graph"], w["guests"], w["relevants"], 2, at("by_rel"), "2019")
     assert len(Path(at("by_rel/relevant_selector.json")).read_text().splitlines()) == 2
     assert _json_lines(at("by_rel/ED2019_BY_RELEVANT_rank_cii/nodes/relevant=2"))
