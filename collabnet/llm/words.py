@@ -24,7 +24,7 @@ _SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
 def leading_space(text: str) -> list[str]:
     """Chunks that begin with the space before them, for byte-level BPE with that word pattern."""
-    if _CONTROL.search(text):
+    if "<|" in text or _CONTROL.search(text):  # white space before a special token stays together
         return [text]
     if _PAIR.search(text):
         return _SPACED.findall(text)
