@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from collabnet.llm import linededup, packing, tokencount
+from collabnet.llm import linededup, neardup, packing, tokencount
 from collabnet.session import shared_folder
 
 TOKEN_LIMIT = 512
@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicate groups on runs of four words."""
+    return neardup.components(table(spark, sf, "documents"), k=4)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Documents packed into sequences of 2048; ids travel as their checksum."""
     parts = packing.pieces(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -53,6 +58,7 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
