@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from collabnet.llm import linededup, neardup, packing, tokencount
+from collabnet.llm import decontaminate, linededup, neardup, packing, quality, tokencount
 from collabnet.session import shared_folder
 
 TOKEN_LIMIT = 512
@@ -18,11 +18,27 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op3_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    scored = quality.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    id = F.col("row.doc_id")
+    return scored.select(
+        id.alias("doc_id"),
+        quality.held_out(id).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.ACCEPTED).cast("int").alias("predicted"),
+    )
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Near-duplicate groups on runs of four words."""
     return neardup.components(table(spark, sf, "documents"), k=4)
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item, with the item."""
+    return decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Documents packed into sequences of 2048; ids travel as their checksum."""
     parts = packing.pieces(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -58,7 +74,9 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_quality_classifier": op3_quality_classifier,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
