@@ -106,3 +106,13 @@ def dedup_lines(
         F.size(lines).cast("bigint").alias("n_lines"),
         F.coalesce("n_dropped", F.lit(0)).cast("bigint").alias("n_dropped"),
     )
+
+
+def without_repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", size: str = "n_chars") -> DataFrame:
+    """``docs`` with its columns, the text less the lines that are dropped; ``size``, if there is one, is its length."""
+    rows = dedup_lines(docs, id=id, text=text)
+    made = {text: F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col(f"row.{text}"))}
+    if size in docs.columns:
+        changed = F.length("kept_text").cast(docs.schema[size].dataType)
+        made[size] = F.when(F.col("n_dropped") > 0, changed).otherwise(F.col(f"row.{size}"))
+    return rows.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -97,22 +97,22 @@ def shingle_set(text: str | None, k: int) -> set[tuple[bytes, ...]]:
 
 
 def signatures(docs: DataFrame, k: int, id: str, text: str) -> DataFrame:
-    """(id, n_shingles, class, sig); class names the shingle set, null for an empty one."""
-    schema = T.StructType([T.StructField("id", docs.schema[id].dataType)])
+    """(id, version, n_shingles, class, sig); class names the shingle set, null for an empty one."""
+    schema = T.StructType([T.StructField("id", docs.schema[id].dataType)]).add("version", T.LongType())
     schema = schema.add("n_shingles", T.LongType()).add("class", T.BinaryType()).add("sig", T.BinaryType())
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, classes, sigs = [], [], []
-            for content in batch.column(1):
+            for content in batch.column(2):
                 found = shingle_hashes(words_of(content.as_py()), k)
                 sizes.append(len(found))
                 classes.append(class_name(found))
                 sigs.append(signature(found).tobytes() if len(found) else None)
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(sigs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+            made = [pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=schema.fieldNames())
 
-    return docs.select(id, text).mapInArrow(sign, schema)
+    return docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("version"), text).mapInArrow(sign, schema)
 
 
 def band_keys(classes: DataFrame) -> DataFrame:
@@ -248,6 +248,21 @@ def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
     return stored(labelled.join(open_keys.select("key"), "key", "left_semi"))
 
 
+def _judged(docs: DataFrame, k: int, percent: int, miss: float, id: str, text: str) -> DataFrame:
+    """(id, version, n_shingles, component_id, kept); version is the hash of the text."""
+    signed = stored(signatures(docs, k, id, text))
+    linkable = F.col("class").isNotNull() & F.col("id").isNotNull()
+    rooted = links(signed.where(linkable), docs, k, percent, miss, id, text)
+    classes = signed.where(linkable).groupBy("class").agg(F.min("id").alias("low"))
+    classes = classes.join(rooted, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    lowest = classes.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = classes.join(lowest, "root").select("class", "component_id")
+    rows = signed.select("id", "version", "n_shingles", "class")
+    bare = rows.where(~linkable).withColumn("component_id", F.col("id"))
+    result = rows.where(linkable).join(named, "class", "left").unionByName(bare)
+    return result.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+
+
 def components(
     docs: DataFrame, k: int = WORDS, percent: int = PERCENT, miss: float = MISS, id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -260,16 +275,15 @@ def components(
     judged each by its own text, equal rows get equal results, other columns are
     ignored, an empty table gives no rows.
     """
-    signed = stored(signatures(docs, k, id, text))
-    linkable = F.col("class").isNotNull() & F.col("id").isNotNull()
-    rooted = links(signed.where(linkable), docs, k, percent, miss, id, text)
-    classes = signed.where(linkable).groupBy("class").agg(F.min("id").alias("low"))
-    classes = classes.join(rooted, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    lowest = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = classes.join(lowest, "root").select("class", "component_id")
-    rows = signed.select("id", "n_shingles", "class")
-    bare = rows.where(~linkable).withColumn("component_id", F.col("id"))
-    result = rows.where(linkable).join(named, "class", "left").unionByName(bare)
-    return result.select(
-        F.col("id").alias(id), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
-    )
+    judged = _judged(docs, k, percent, miss, id, text)
+    return judged.select(F.col("id").alias(id), "n_shingles", "component_id", "kept")
+
+
+def deduplicate(
+    docs: DataFrame, k: int = WORDS, percent: int = PERCENT, miss: float = MISS, id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``components`` keeps; of rows equal in id and text, one."""
+    kept = _judged(docs, k, percent, miss, id, text).where("kept and id is not null").select("id", "version").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id).alias("id"), F.xxhash64(text).alias("version"))
+    named = rows.where(F.col("id").isNotNull()).join(kept, ["id", "version"], "left_semi").dropDuplicates(["id", "version"])
+    return named.unionByName(rows.where(F.col("id").isNull())).select("row.*")

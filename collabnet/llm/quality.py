@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 SAMPLE = 6000  # rows of either kind that the model is fitted on, at most
 ACCEPTED = 0.7  # score from which a text is taken as good
 HIDDEN = 24
-STEPS = 1500
-BATCH = 1024
+STEPS = 1200
+BATCH = 512
 RATE = 0.01
 DECAY = 1e-4
 LIMITS = (0.02, 0.98)  # of an estimated prior
@@ -40,7 +41,7 @@ def _classes() -> np.ndarray:
 
 
 _CLASS = _classes()
-N_FEATURES = _KINDS + _KINDS * _KINDS + 9
+N_FEATURES = _KINDS + _KINDS * _KINDS + 10
 
 
 def features(text: str | None) -> np.ndarray:
@@ -65,7 +66,8 @@ def features(text: str | None) -> np.ndarray:
         max(map(len, words), default=0) / 100,
         len(set(long_lines)) / max(1, len(long_lines)),
         np.log1p(len(raw) / len(lines)),
-        len(set(words)) / n ** 0.7 / 4,
+        len(set(words)) / n**0.7 / 4,
+        sum(map(eq, words, words[1:])) / n,
     )
     return out
 
@@ -80,7 +82,7 @@ class Model:
         return self.layers(self.standard(x))[1]
 
     def standard(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -6, 6)
+        return np.clip((x - self.mean) / self.scale, -6, 6).astype(np.float32)
 
     def layers(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w1, b1, w2, b2 = self.weights
@@ -101,6 +103,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-3
     n = unlabelled.shape[1]
     weights = [rng.randn(n, HIDDEN) / np.sqrt(n), np.zeros(HIDDEN), rng.randn(HIDDEN) / np.sqrt(HIDDEN), np.zeros(1)]
+    weights = [w.astype(np.float32) for w in weights]
     model = Model(mean, scale, weights)
     p_all, u_all = model.standard(positive), model.standard(unlabelled)
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
@@ -191,3 +194,9 @@ def score_quality(
     """
     model = train(docs, labels, sample, id, text, label)
     return docs.select(F.struct(*docs.columns).alias("row"), scorer(model)(F.col(text)).alias("score"))
+
+
+def good_only(docs: DataFrame, labels: DataFrame, accepted: float = ACCEPTED, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is at least ``accepted``; all if nothing could be learned."""
+    model = train(docs, labels, SAMPLE, id, text)
+    return docs if model is None else docs.where(scorer(model)(F.col(text)) >= accepted)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +75,7 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op3_quality_classifier": op3_quality_classifier,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
