@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from collabnet.llm import decontaminate, linededup, neardup, packing, quality, tokencount
+from collabnet.llm import decontaminate, linededup, neardup, packing, quality, tokencount, urlfilter
 from collabnet.session import shared_folder
 
 TOKEN_LIMIT = 512
@@ -40,6 +40,20 @@ def op6_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def op7_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    judged = urlfilter.judge(table(spark, sf, "pages"), URL_RULES)
+    return judged.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Documents packed into sequences of 2048; ids travel as their checksum."""
     parts = packing.pieces(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -79,6 +93,7 @@ QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_url_filters": op7_url_filters,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
