@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from collabnet.llm import decontaminate, linededup, neardup, packing, quality, tokencount, urlfilter
+from collabnet.llm import decontaminate, linededup, neardup, packing, pii, quality, tokencount, urlfilter
 from collabnet.session import shared_folder
 
 TOKEN_LIMIT = 512
@@ -30,6 +30,17 @@ def op3_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op4_pii(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.find(table(spark, sf, "documents").select("doc_id", "text"))
+    count = lambda i: F.size(F.filter("base", lambda x: x["kind"] == i)).cast("bigint")
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        *[count(i).alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)],
+        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Near-duplicate groups on runs of four words."""
     return neardup.components(table(spark, sf, "documents"), k=4)
@@ -91,6 +102,7 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_pii": op4_pii,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_url_filters": op7_url_filters,
