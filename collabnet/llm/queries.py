@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from collabnet.llm import decontaminate, linededup, neardup, packing, pii, quality, tokencount, urlfilter
+from collabnet.llm import decontaminate, langid, linededup, neardup, packing, pii, quality, tokencount, urlfilter
 from collabnet.session import shared_folder
 
 TOKEN_LIMIT = 512
@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    judged = langid.identify(table(spark, sf, "documents"))
+    id = F.col("row.doc_id")
+    return judged.select(id.alias("doc_id"), langid.held_out(id).alias("held_out"), "lang_pred", "score")
+
+
 def op3_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     scored = quality.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
     id = F.col("row.doc_id")
@@ -101,6 +107,7 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
+    "op1_language_id": op1_language_id,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_pii": op4_pii,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
