@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from collabnet.llm import decontaminate, langid, linededup, neardup, packing, pii, quality, tokencount, urlfilter
+from collabnet.llm import decontaminate, langid, linededup, neardup, packing, pii, quality, tokencount, topk, urlfilter
 from collabnet.session import shared_folder
 
 TOKEN_LIMIT = 512
@@ -25,6 +25,13 @@ def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select(id.alias("doc_id"), langid.held_out(id).alias("held_out"), "lang_pred", "score")
 
 
+def op2_exact_topk_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole text of every document whose id is divisible by 50, against all documents."""
+    docs = table(spark, sf, "documents")
+    asked = docs.where(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return topk.search(docs, asked)
+
+
 def op3_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     scored = quality.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
     id = F.col("row.doc_id")
@@ -108,6 +115,7 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_language_id": op1_language_id,
+    "op2_exact_topk_search": op2_exact_topk_search,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_pii": op4_pii,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
