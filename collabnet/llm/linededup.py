@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from collabnet.session import stored
+
 MIN_LENGTH = 20
 MIN_DOCUMENTS = 3
 SALTS = 64
@@ -48,13 +50,15 @@ def keep_bitmaps(
         F.col(id).alias("doc"), F.xxhash64(text).alias("version"), F.posexplode(lines_of(F.col(text))).alias("pos", "line")
     )
     keyed = lines.select("doc", "version", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_length)
-    marks = keyed.select(
-        F.xxhash64("key").alias("h1"),
-        F.xxhash64(F.lit(1), "key").alias("h2"),
-        F.pmod(F.xxhash64("doc"), F.lit(SALTS)).alias("salt"),
-        "doc",
-        "version",
-        "pos",
+    marks = stored(  # read three times, by the sampling of the ranges too
+        keyed.select(
+            F.xxhash64("key").alias("h1"),
+            F.xxhash64(F.lit(1), "key").alias("h2"),
+            F.pmod(F.xxhash64("doc"), F.lit(SALTS)).alias("salt"),
+            "doc",
+            "version",
+            "pos",
+        )
     )
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = marks.repartitionByRange(n, "h1", "h2", "salt")

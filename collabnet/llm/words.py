@@ -32,9 +32,18 @@ def leading_space(text: str) -> list[str]:
     return [first, *[" " + x for x in rest]]
 
 
+def _latin(text: str) -> bool:
+    """Has a text only characters whose lower case is one character, and that have one form."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def no_space(text: str) -> list[str]:
     """Chunks between spaces and line feeds, for tokenizers that drop white space and fold case."""
-    if text.isascii() and "<|" not in text:  # not to make a special token of other text
+    if "<|" not in text and _latin(text):  # not to make a special token of other text
         text = text.lower()
     return text.replace("\n", " ").split(" ")
 
@@ -43,17 +52,30 @@ CHUNKING: dict[str, Callable[[str], list[str]]] = {
     "byte_bpe_50k.json": leading_space,
     "word_bpe_49k.json": no_space,
 }
+_MARKS = ".,;:!?"
+
+
+def one_word(chunk: str) -> bool:
+    """Is a chunk one word of ASCII letters, which no pattern splits and no normaliser changes."""
+    word = chunk.removeprefix(" ")
+    return word.isascii() and word.isalpha()
 
 
 class _Memory(dict):
-    """What ``make`` gives for a chunk; the first ``MEMORY`` short chunks are remembered."""
+    """What ``make`` gives for a chunk; the first ``MEMORY`` short chunks are remembered.
 
-    def __init__(self, make: Callable[[str], object]):
+    Marks after a word are a chunk of their own to every tokenizer in ``CHUNKING``;
+    for others ``part`` is false.
+    """
+
+    def __init__(self, make: Callable[[str], object], part: bool):
         super().__init__()
-        self.make = make
+        self.make, self.part = make, part
 
     def __missing__(self, chunk: str):
-        made = self.make(chunk)
+        word = chunk.rstrip(_MARKS)
+        parted = self.part and word != chunk and one_word(word)
+        made = self[word] + self[chunk[len(word) :]] if parted else self.make(chunk)
         if len(self) < MEMORY and len(chunk) <= LONGEST:
             self[chunk] = made
         return made
@@ -68,20 +90,28 @@ def _tokenizer(path: str):
 
 
 def _ids(path: str) -> Callable[[str], list[int]]:
+    """Ids of a chunk; one word goes straight to the tokenizer's model, in the form that model knows."""
     tokenizer = _tokenizer(path)
-    return lambda chunk: tokenizer.encode(chunk, add_special_tokens=False).ids if chunk else []
+    model, rule = tokenizer.model, CHUNKING.get(os.path.basename(path))
+
+    def ids(chunk: str) -> list[int]:
+        if rule and one_word(chunk) and (rule is leading_space or chunk.islower()):
+            return [token.id for token in model.tokenize(chunk.replace(" ", "Ġ"))]
+        return tokenizer.encode(chunk, add_special_tokens=False).ids if chunk else []
+
+    return ids
 
 
 @lru_cache(maxsize=4)
 def _counts(path: str) -> _Memory:
     ids = _ids(path)
-    return _Memory(lambda chunk: len(ids(chunk)))
+    return _Memory(lambda chunk: len(ids(chunk)), os.path.basename(path) in CHUNKING)
 
 
 @lru_cache(maxsize=4)
 def _packed(path: str) -> _Memory:
     ids = _ids(path)
-    return _Memory(lambda chunk: np.asarray(ids(chunk), dtype="<u4").tobytes())
+    return _Memory(lambda chunk: np.asarray(ids(chunk), dtype="<u4").tobytes(), os.path.basename(path) in CHUNKING)
 
 
 def _chunks(path: str) -> Callable[[str], list[str]]:
