@@ -15,20 +15,18 @@ from collabnet.functions.arrays import (
     tagged,
     tail,
 )
-from collabnet.session import left_join
+from collabnet.session import cut_lineage, left_join, union_all
 
 COUNTRY_TYPE = 1  # fixed value: area type of a country
-MAX_LEVELS = 5  # fixed value: ancestors looked at above an area
 
 
-def area_countries(
-    areas: DataFrame, links: DataFrame, max_levels: int = MAX_LEVELS, country_type: int = COUNTRY_TYPE
-) -> DataFrame:
+def area_countries(areas: DataFrame, links: DataFrame, country_type: int = COUNTRY_TYPE) -> DataFrame:
     """(areaID, country): first country on every branch upwards, an area being its own first level.
 
     ``areas`` is (areaID, area_name, area_type), ``links`` is (areaID, area2ID)
     with area2ID the parent. An area with several parents may have several
-    countries; one without a country in reach has none.
+    countries; one without a country above it has none. Every branch is followed to
+    its end, a place already met from an area is not met again, so cycles end.
     """
     countries = areas.where(F.col("area_type") == country_type).select(
         F.col("areaID").alias("country_id"), F.col("area_name").alias("country")
@@ -42,16 +40,14 @@ def area_countries(
     walk = areas.select("areaID", F.col("areaID").alias("at")).join(
         countries.withColumnRenamed("country_id", "at"), "at", "left"
     )
-    found = walk.where(F.col("country").isNotNull()).select("areaID", "country")
-    for _ in range(max_levels):
-        walk = (
-            walk.where(F.col("country").isNull())
-            .join(parents, "at")
-            .select("areaID", F.col("parent").alias("at"), F.col("parent_country").alias("country"))
-            .distinct()
+    levels = [cut_lineage(walk)]
+    while not (unknown := levels[-1].where(F.col("country").isNull())).isEmpty():
+        above = unknown.join(parents, "at").select(
+            "areaID", F.col("parent").alias("at"), F.col("parent_country").alias("country")
         )
-        found = found.unionByName(walk.where(F.col("country").isNotNull()).select("areaID", "country"))
-    return found.distinct()
+        seen = union_all([level.select("areaID", "at") for level in levels])
+        levels.append(cut_lineage(above.distinct().join(seen, ["areaID", "at"], "left_anti")))
+    return union_all(levels).where(F.col("country").isNotNull()).select("areaID", "country").distinct()
 
 
 def url_columns(artist_urls: DataFrame, urls: DataFrame, key: str = "id") -> DataFrame:

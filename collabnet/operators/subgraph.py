@@ -42,10 +42,14 @@ def with_edge_columns(steps: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def relative_weight(rows: DataFrame, n: str = "n_common") -> DataFrame:
-    """Add ``weight``: common events over the largest number of any row, as float."""
-    top = rows.agg(F.max(n)).scalar()
-    return rows.withColumn("weight", (F.col(n) / top).cast("float"))
+def relative_weight(rows: DataFrame, groups: list[str] = (), n: str = "n_common") -> DataFrame:
+    """Add ``weight``: common events over the largest number of the row's group, as float."""
+    groups = list(groups)
+    if not groups:
+        top = rows.agg(F.max(n)).scalar()
+        return rows.withColumn("weight", (F.col(n) / top).cast("float"))
+    tops = rows.groupBy(*groups).agg(F.max(n).alias("_top"))
+    return rows.join(tops, groups).withColumn("weight", (F.col(n) / F.col("_top")).cast("float")).drop("_top")
 
 
 def node_class(is_guest: Column, is_relevant: Column) -> Column:

@@ -223,11 +223,12 @@ def create_graph(
 
 
 def compute_paths(
-    graph: gr.Graph, guests: DataFrame, relevants: DataFrame, min_common: int = 2, max_len: int = 10
+    graph: gr.Graph, guests: DataFrame, relevants: DataFrame, min_common: int = 2, max_len: int | None = None
 ) -> DataFrame:
     """All shortest paths guest -> relevant on the filtered graph.
 
-    Guests on the filtered graph without any path are added with key -1.
+    Guests on the filtered graph without any path, or with a given ``max_len`` none
+    of that many edges at most, are added with key -1.
     """
     links = gr.undirected(graph.edges, min_common)
     known = gr.prune_vertices(graph.vertices.select("id"), graph.edges.where(pairs.at_least(min_common)))
@@ -347,7 +348,9 @@ def graph_rows(
     nodes = nodes.select(*first, *[c for c in nodes.columns if c not in first])
 
     linked = subgraph.indexed_rank_links(subgraph.rank_links(best, groups), nodes, groups)
-    links = cut_lineage(subgraph.indexed_links(subgraph.relative_weight(rows), nodes, groups))
+    # a guest's graph has a scale of its own, the graphs of the relevants share one
+    weighed = subgraph.relative_weight(rows, [g for g in groups if g == "guest"])
+    links = cut_lineage(subgraph.indexed_links(weighed, nodes, groups))
     number = guests.select(F.col("id").alias("guest"), F.col("ordinal").alias("path_id"))
     shown = links.join(number, "guest", "left").select(
         *dict.fromkeys([*groups, *LINK, "weight", "n_common", "path_id", "guest"]), F.col("rank").alias(rank)

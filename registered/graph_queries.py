@@ -75,7 +75,7 @@ def components(spark, sf):
 
 def landmark_distances(spark, sf):
     net = b.PartNetwork(b.part_edges(spark, sf, 2))
-    return b.longs(sp.landmark_distances(net.links, net.relevants, 10), "dist")
+    return b.longs(sp.landmark_distances(net.links, net.relevants), "dist")
 
 
 def distance_lists(spark, sf):
@@ -83,7 +83,7 @@ def distance_lists(spark, sf):
     names = b.table(spark, sf, "part").select(
         F.col("p_partkey").alias("id"), F.translate("p_name", " ", "_").alias("name")
     )
-    far = sp.landmark_distances(net.links, net.relevants, 10)
+    far = sp.landmark_distances(net.links, net.relevants)
     return b.longs(sp.distance_lists(far, names, net.relevants.join(names, "id")), "distance")
 
 
@@ -113,8 +113,8 @@ E2 = b.edges_sql(min_common=2)
 R = b.relevants_sql()
 
 
-def levels_sql(edges: str, max_len: int = 10) -> str:
-    """CTEs ``walk`` (all levels a vertex is met at) and ``dist`` (the first one)."""
+def levels_sql(edges: str, max_len: int = 20) -> str:
+    """CTEs ``walk`` (all levels a vertex is met at) and ``dist`` (the first one); SQL walks need a bound, here beyond all distances."""
     return f"""
 walk as (
   select id as landmark, id, 0 as d from relevants
@@ -123,7 +123,7 @@ walk as (
 dist as (select landmark, id, min(d) as dist from walk group by 1, 2)"""
 
 
-def paths_sql(edges: str, max_len: int = 10) -> str:
+def paths_sql(edges: str, max_len: int = 20) -> str:
     """CTE ``paths`` (guest, relevant, key, vertices)."""
     return levels_sql(edges, max_len) + f""",
 tails as (

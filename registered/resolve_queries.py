@@ -271,9 +271,9 @@ areas as (select r_regionkey + 1 as id, r_name as name, 1 as t from region
 links as (select n_nationkey + 100 as id, n_regionkey + 1 as parent from nation
   union all select c_custkey + 1000, c_nationkey + 100 from customer
   union all select c_custkey + 1000, c_custkey % 5 + 1 from customer where c_acctbal < 0),
-walk as (select id, id as at, t, 0 as d from areas
-  union select w.id, l.parent, a.t, w.d + 1 from walk w join links l on l.id = w.at join areas a on a.id = l.parent
-  where w.t <> 1 and w.d < 5),
+walk as (select id, id as at, t from areas
+  union select w.id, l.parent, a.t from walk w join links l on l.id = w.at join areas a on a.id = l.parent
+  where w.t <> 1),
 country as (select distinct w.id, a.name as country from walk w join areas a on a.id = w.at where w.t = 1)"""
 
 _PAGES = f"""

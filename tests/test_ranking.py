@@ -128,6 +128,18 @@ def test_degree_and_weight(world):
     assert pairs == {v: len(n) for v, n in near.items()}
     weights = [r.weight for r in sg.relative_weight(rows_).collect()]
     assert max(weights) == 1.0 and min(weights) > 0
+    tops = defaultdict(int)
+    for r in rows_.collect():
+        tops[r.guest] = max(tops[r.guest], r.n_common)
+    each = sg.relative_weight(rows_, ["guest"]).collect()
+    assert len(each) == len(edges)
+    assert all(r.weight == pytest.approx(r.n_common / tops[r.guest]) for r in each)
+
+
+def test_weight_has_a_scale_per_group(spark):
+    rows_ = spark.createDataFrame([(1, 10), (1, 5), (2, 2)], "guest bigint, n_common bigint")
+    got = {(r.guest, r.n_common): r.weight for r in sg.relative_weight(rows_, ["guest"]).collect()}
+    assert got == {(1, 10): 1.0, (1, 5): 0.5, (2, 2): 1.0}
 
 
 @pytest.mark.parametrize("groups", [[], ["guest"]])
