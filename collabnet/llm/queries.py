@@ -74,7 +74,7 @@ URL_RULES = [
 
 
 def op7_url_filters(spark: SparkSession, sf: str) -> DataFrame:
-    judged = urlfilter.judge(table(spark, sf, "pages"), URL_RULES)
+    judged = urlfilter.judge(table(spark, sf, "pages").select("page_id", "url"), URL_RULES)
     return judged.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict")
 
 

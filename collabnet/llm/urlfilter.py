@@ -110,7 +110,7 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame:
     fits is allowed. Equal rows are judged alike, other columns pass inside ``row``,
     an empty table gives no rows.
     """
-    text = F.coalesce(url, F.lit(""))
+    text, text_of = F.coalesce(url, F.lit("")), F.coalesce(f"row.{url}", F.lit(""))
     rows = pages.select(F.struct(*pages.columns).alias("row"), text.alias("text"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rule, action = match_rule(rules, F.col("host"), F.col("path"))
     rows = rows.withColumn("rule", rule).withColumn("action", action)
@@ -118,6 +118,7 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame:
     endings = {f"e{n}": F.array_join(F.slice(F.reverse(labels), 1, n), ".") for n in ENDINGS}
     rows = rows.withColumns(endings)
     labelled = rows.where(F.col("action").isNotNull()).withColumn("blocked", (F.col("action") == BLOCK).cast("double"))
+    made = {"text": text_of, "host": host_of(F.col(f"row.{url}")), "path": path_of(F.col(f"row.{url}"))}
     columns = lexical(F.col("text"), F.col("host"), F.col("path"))
     names = [*columns, *[f"f_{k}{n}" for n in ENDINGS for k in ("share", "known")]]
     learned = boosting.sample(labelled.withColumn("order", F.xxhash64("text")), "order").withColumns(columns)
@@ -126,7 +127,9 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame:
     if model is None:
         judged = open_rows.withColumn("verdict", F.lit(ALLOW))
     else:
-        scored = boosting.score(_with_endings(open_rows.withColumns(columns), labelled), names, model)
+        # only the row and its keys travel to the statistics; the rest is made from the URL behind the joins
+        ended = _with_endings(open_rows.select("row", *endings), labelled).withColumns(made).withColumns(columns)
+        scored = boosting.score(ended.withColumn("rule", F.lit(None).cast("string")), names, model)
         judged = scored.withColumn("verdict", F.when(F.col("score") >= BLOCKED_FROM, BLOCK).otherwise(ALLOW))
     wanted = ["row", "host", "path", "rule", "verdict"]
     return rows.where(F.col("action").isNotNull()).withColumn("verdict", F.col("action")).select(wanted).unionByName(judged.select(wanted))
