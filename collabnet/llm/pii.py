@@ -1,10 +1,12 @@
 """Personal data: base patterns, high-recall candidates, boosted trees, calibrated thresholds.
 
 The base patterns give spans by rule. Wider patterns propose candidates that may
-overlap them and each other; a candidate that is a base span is a positive example,
-any other a negative one. Trees trained on a candidate's format and its surroundings
-score the rest, and per kind the lowest score that keeps the asked precision on
-examples set aside selects what is added.
+overlap them and each other. A candidate that is a base span is a positive example in a
+form that the base patterns do not know (no '+', '@' as '(at)', ...), and, set between
+word characters, a negative one; so is a candidate apart from the base spans that fails
+a check (Luhn, a part over 255, ...). All others are no examples: trees trained on a
+candidate's format and its surroundings score them, and per kind the lowest score that
+keeps the asked precision on examples set aside selects what is added.
 """
 
 from __future__ import annotations
@@ -34,13 +36,29 @@ BASE = {
 SIGN = {"email": r"@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"(?:[0-9][ -]?){12}[0-9]", "phone": r"\+[0-9]"}
 
 CANDIDATES = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{1,63}+)++",
+    "email": r"[A-Za-z0-9._%+-]{1,64}+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}+(?:(?: ?(?:\(dot\)|\[dot\]) ?| ?\. (?=[a-z])| ?\.)[A-Za-z0-9-]{1,63}+)++",
     "ip": r"(?<![0-9])[0-9]{1,4}+(?: ?[.,] ?[0-9]{1,4}+){3}+",
     "card": r"(?<![0-9])[0-9](?:[ ./-]?[0-9]){11,}+",
     "phone": r"(?:\+|\b00)?\(?[0-9](?:[ ().-]{0,2}[0-9]){6,14}+",
 }
 CANDIDATE_SIGN = {"email": r"@|\(at\)|\[at\]", "ip": r"[0-9] ?[.,] ?[0-9]", "card": r"(?:[0-9][ ./-]?){11}[0-9]", "phone": r"[0-9][ ().-]{0,2}[0-9][ ().-]{0,2}[0-9]"}
 
+#: Other ways to write a base span: by kind, replacements made one after the other.
+_AT, _DOT = "@", r"\.(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*$)"  # the dots of the host
+_FOURS = [("[ -]", ""), ("([0-9]{4})(?=[0-9])", "$1.")]
+MASKS = {
+    "email": [
+        [(_DOT, " (dot) "), (_AT, " (at) ")],
+        [(_DOT, "(dot)"), (_AT, "(at)")],
+        [(_DOT, " [dot] "), (_AT, " [at] ")],
+        [(_AT, " (at) ")],
+        [(_AT, " @ ")],
+    ],
+    "ip": [[(r"\.", " . ")], [(r"\.", ". ")], [(r"\.", " .")]],
+    "card": [_FOURS, [*_FOURS, (r"\.", "/")]],
+    "phone": [[(r"^\+", "")], [(r"^\+", "00")], [(r"^\+", ""), (r"[().]", ""), (" +", "-")]],
+}
+
 _HINTS = {"email": "mail|contact|write", "ip": r"\bip\b|addr|host|server", "card": "card|visa|credit|pay", "phone": "phone|tel|call|mobile|fax"}
 _SPANS = "array<struct<start:bigint,end:bigint,value:string,before:string,after:string>>"
 
@@ -50,7 +68,9 @@ def spans(text: Column, pattern: str, sign: str) -> Column:
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     rest = F.split(text, pattern, -1)
     n = F.size(hits)
-    parts = F.arrays_zip(hits.alias("hit"), F.slice(rest, 1, n).alias("before"), F.slice(rest, F.lit(2), n).alias("after"))
+    none = F.array(F.lit(""))
+    near = F.slice(F.concat(none, hits), 1, n).alias("last"), F.slice(F.concat(hits, none), F.lit(2), n).alias("next")
+    parts = F.arrays_zip(hits.alias("hit"), F.slice(rest, 1, n).alias("before"), F.slice(rest, F.lit(2), n).alias("after"), *near)
 
     def step(state: Column, part: Column) -> Column:
         start = state["at"] + F.length(part["before"])
@@ -59,8 +79,8 @@ def spans(text: Column, pattern: str, sign: str) -> Column:
             start.alias("start"),
             end.alias("end"),
             part["hit"].alias("value"),
-            F.right(part["before"], F.lit(CONTEXT)).alias("before"),
-            F.left(part["after"], F.lit(1)).alias("after"),
+            F.right(F.concat(part["last"], part["before"]), F.lit(CONTEXT)).alias("before"),
+            F.left(F.concat(part["after"], part["next"]), F.lit(1)).alias("after"),
         )
         return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
 
@@ -97,6 +117,42 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _failed(kind: Column, value: Column, before: Column, after: Column) -> Column:
+    """Can a candidate not be what its kind says: it fails a check or stands between word characters."""
+    numbers = F.filter(F.split(value, "[^0-9]+"), lambda x: x != "")
+    n = F.length(digits_of(value)) - F.when(F.startswith(value, F.lit("00")), 2).otherwise(0)
+    date = F.rlike(value, F.lit(r"^\(?(?:19|20)[0-9]{2}[ .-](?:0?[1-9]|1[0-2])[ .-](?:0?[1-9]|[12][0-9]|3[01])(?![0-9])"))
+    checks = {
+        "email": ~F.rlike(value, F.lit("[A-Za-z]{2,}$")),
+        "ip": F.exists(numbers, lambda x: (F.length(x) > 3) | (F.left(x, F.lit(3)).cast("int") > 255)) | F.contains(value, F.lit(", ")),
+        "card": ~_valid("card", value),
+        "phone": ~n.between(9, 15) | date,
+    }
+    wrong = reduce(lambda rest, i: F.when(kind == i, checks[KINDS[i]]).otherwise(rest), range(len(KINDS)), F.lit(False))
+    return wrong | F.rlike(before, F.lit("[A-Za-z0-9]$")) | F.rlike(after, F.lit("^[A-Za-z0-9]"))
+
+
+def _masked(kind: Column, value: Column, choice: Column) -> Column:
+    """A base span written in one of the other ways of its kind."""
+    made = value
+    for i, name in enumerate(KINDS):
+        forms = MASKS[name]
+        for j, steps in enumerate(forms):
+            form = reduce(lambda text, step: F.regexp_replace(text, *step), steps, value)
+            made = F.when((kind == i) & (F.pmod(choice, F.lit(len(forms))) == j), form).otherwise(made)
+    return made
+
+
+def examples(judged: DataFrame) -> DataFrame:
+    """Labelled rows: base spans in another form with 1, and between word characters with 0; failures apart from them with 0."""
+    failure = F.struct(F.lit(0).alias("label"), "value", "before", "after")
+    form = _masked(F.col("kind"), F.col("value"), F.xxhash64(F.lit("form"), "order"))
+    good = F.struct(F.lit(1).alias("label"), form.alias("value"), "before", "after")
+    glued = F.struct(F.lit(0).alias("label"), form.alias("value"), F.concat("before", F.lit("x")).alias("before"), F.lit("x").alias("after"))
+    rows = F.when(F.col("is_base") & ~F.col("failed"), F.array(good, glued)).when(F.col("failed") & ~F.col("touches"), F.array(failure))
+    return judged.select("kind", "order", F.explode(rows).alias("e")).select("kind", "order", "e.*")
+
+
 def _of_kind(kind: int, found: Column, more: bool) -> Column:
     def row(x: Column) -> Column:
         place = [F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")]
@@ -157,7 +213,7 @@ def _features() -> dict[str, Column]:
 def thresholds(scored: DataFrame, precision: float = PRECISION) -> dict[int, float]:
     """By kind, the lowest score from which the share of positives is at least ``precision``."""
     binned = scored.groupBy("kind", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).alias("bin"))
-    counts = binned.agg(F.sum("is_base").alias("good"), F.count(F.lit(1)).alias("n")).collect()  # kinds x bins
+    counts = binned.agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).collect()  # kinds x bins
     chosen = {}
     for kind in {r.kind for r in counts}:
         good = n = 0
@@ -174,7 +230,7 @@ def find(docs: DataFrame, text: str = "text", precision: float = PRECISION) -> D
     Kind is a place in ``KINDS``, start and end count code points. ``spans`` holds the
     base spans and those added, which overlap no base span; both are sorted. A null
     text is an empty one, equal rows get equal spans, other columns pass inside
-    ``row``; without examples of both sorts nothing is added, no rows give none.
+    ``row``; without base spans to learn from nothing is added, no rows give none.
     """
     content = F.coalesce(text, F.lit(""))
     others = [c for c in docs.columns if c != text]
@@ -189,17 +245,18 @@ def find(docs: DataFrame, text: str = "text", precision: float = PRECISION) -> D
     exploded = rows.select("h1", "h2", "base", F.explode("candidates").alias("c")).select("h1", "h2", "base", "c.*")
     same = F.exists("base", lambda b: (b["kind"] == F.col("kind")) & (b["start"] == F.col("start")) & (b["end"] == F.col("end")))
     touches = F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    judged = exploded.withColumn("is_base", same.cast("int")).withColumn("touches", touches).drop("base")
+    failed = _failed(*[F.col(c) for c in ("kind", "value", "before", "after")])
     order = F.xxhash64("h1", "kind", "start")
+    judged = stored(exploded.select("*", same.alias("is_base"), touches.alias("touches"), failed.alias("failed"), order.alias("order")).drop("base"))
     features = _features()
-    examples = stored(boosting.sample(judged.withColumn("order", order), "order").withColumns(features))
+    labelled = stored(boosting.sample(examples(judged), "order").withColumns(features))
     aside = F.pmod("order", F.lit(4)) == 0
-    model = boosting.train(examples.where(~aside), list(features), "is_base")
+    model = boosting.train(labelled.where(~aside), list(features), "label")
     if model is None:
         return rows.select("row", "base", F.array_sort("base").alias("spans"))
-    limits = thresholds(boosting.score(examples.where(aside), list(features), model), precision)
+    limits = thresholds(boosting.score(labelled.where(aside), list(features), model), precision)
     limit = reduce(lambda rest, kind: F.when(F.col("kind") == kind, limits[kind]).otherwise(rest), limits, F.lit(2.0))
-    fresh = boosting.score(judged.where("not touches").withColumns(features), list(features), model).where(F.col("score") >= limit)
+    fresh = boosting.score(judged.where("not touches and not failed").withColumns(features), list(features), model).where(F.col("score") >= limit)
     added = fresh.groupBy("h1", "h2").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))
     none = F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")
     whole = rows.join(added, ["h1", "h2"], "left").withColumn("added", F.coalesce("added", none))

@@ -176,6 +176,38 @@ def test_base_spans(spark, odd_docs, no_docs):
     assert pii.find(odd_docs).count() == odd_docs.count()
 
 
+def planted_card(rng):
+    digits = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+    return next(digits + c for c in "0123456789" if luhn(digits + c))
+
+
+def test_planted_forms_that_are_no_base_spans_are_added(spark):
+    rng = random.Random(5)
+    part, name = lambda: str(rng.randint(10, 255)), lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    number = lambda: f"{rng.randint(200, 999)} {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+    texts = []
+    for _ in range(300):
+        texts += [f"write to {name()}@{name()}.org today", f"the host {part()}.{part()}.{part()}.{part()} is down"]
+        texts += [f"paid by card {planted_card(rng)} then", f"call +1 {number()} now", f"order 4{rng.randint(10**11, 10**12 - 1)} came"]
+    planted = {}
+    for i in range(20):
+        card = planted_card(rng)
+        forms = [("email", f"{name()} (at) {name()} (dot) org"), ("phone", f"1 {number()}"), ("phone", f"001 {number()}")]
+        forms += [("ip", f"{part()} . {part()} . {part()} . {part()}"), ("card", ".".join(card[k : k + 4] for k in range(0, 16, 4)))]
+        before = {"email": "write to ", "phone": "call ", "ip": "the host ", "card": "paid by card "}
+        for k, (kind, form) in enumerate(forms):
+            planted[10_000 + 10 * i + k] = (pii.KINDS.index(kind), len(before[kind]), len(before[kind]) + len(form))
+            texts.append((10_000 + 10 * i + k, f"{before[kind]}{form} and so on"))
+    wrong = ["paid by card 4785.3805.9239.1138 then", "the host 300 . 1 . 2 . 3 is down", "call x1 743 555-3824x now", "call 555 3824 now"]
+    texts += [(20_000 + i, t) for i, t in enumerate(wrong)]
+    docs = spark.createDataFrame([t if isinstance(t, tuple) else (i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in pii.find(docs).where("row.doc_id >= 10000").select("row.doc_id", "spans").collect()}
+    missed = {i: texts_of for i, texts_of in planted.items() if texts_of not in got[i]}
+    assert len(missed) <= 0.05 * len(planted), missed
+    assert {k for i, (k, _, _) in planted.items() if i not in missed} == set(range(4))
+    assert all(not got[i] for i in range(20_000, 20_000 + len(wrong)))
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([("é x@y.org, +1 (743) 555-3824.",)], "text string")
     base = pii.base_spans(F.col("text"))
