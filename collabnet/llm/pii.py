@@ -17,12 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from collabnet.llm import boosting
-from collabnet.session import stored
+from collabnet.session import stored, union_all
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.995
 SUPPORT = 20  # examples set aside that a threshold must rest on
 BINS = 100
+SAMPLE = 2_500  # rows of a kind and label that the trees are fitted on
 CONTEXT = 24
 
 #: Fixed patterns. Loops give nothing back, which changes no match as what follows them cannot begin inside.
@@ -210,6 +211,12 @@ def _features() -> dict[str, Column]:
     return made | {f"f_hint_{kind}": _number(F.rlike(F.lower(before), F.lit(hint))) for kind, hint in _HINTS.items()}
 
 
+def fitted_on(labelled: DataFrame) -> DataFrame:
+    """At most ``SAMPLE`` rows of each kind and label, so that no kind crowds out another; thresholds rest on all rows set aside."""
+    groups = [(kind, label) for kind in range(len(KINDS)) for label in (0, 1)]
+    return union_all([boosting.sample(labelled.where((F.col("kind") == k) & (F.col("label") == x)), "order", SAMPLE) for k, x in groups])
+
+
 def thresholds(scored: DataFrame, precision: float = PRECISION) -> dict[int, float]:
     """By kind, the lowest score from which the share of positives is at least ``precision``."""
     binned = scored.groupBy("kind", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).alias("bin"))
@@ -249,12 +256,12 @@ def find(docs: DataFrame, text: str = "text", precision: float = PRECISION) -> D
     order = F.xxhash64("h1", "kind", "start")
     judged = stored(exploded.select("*", same.alias("is_base"), touches.alias("touches"), failed.alias("failed"), order.alias("order")).drop("base"))
     features = _features()
-    labelled = stored(boosting.sample(examples(judged), "order").withColumns(features))
+    labelled = examples(judged)
     aside = F.pmod("order", F.lit(4)) == 0
-    model = boosting.train(labelled.where(~aside), list(features), "label")
+    model = boosting.train(stored(fitted_on(labelled.where(~aside)).withColumns(features)), list(features), "label")
     if model is None:
         return rows.select("row", "base", F.array_sort("base").alias("spans"))
-    limits = thresholds(boosting.score(labelled.where(aside), list(features), model), precision)
+    limits = thresholds(boosting.score(labelled.where(aside).withColumns(features), list(features), model), precision)
     limit = reduce(lambda rest, kind: F.when(F.col("kind") == kind, limits[kind]).otherwise(rest), limits, F.lit(2.0))
     fresh = boosting.score(judged.where("not touches and not failed").withColumns(features), list(features), model).where(F.col("score") >= limit)
     added = fresh.groupBy("h1", "h2").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))

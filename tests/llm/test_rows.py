@@ -208,6 +208,24 @@ def test_planted_forms_that_are_no_base_spans_are_added(spark):
     assert all(not got[i] for i in range(20_000, 20_000 + len(wrong)))
 
 
+def test_a_rare_kind_keeps_its_threshold_beside_a_common_one(spark, monkeypatch):
+    rng = random.Random(6)
+    part = lambda: str(rng.randint(10, 255))
+    texts = [f"the host {part()}.{part()}.{part()}.{part()} is down" for _ in range(200)]
+    texts += [f"host {part()} . {part()} . {part()} . {part()} is up" for _ in range(10)]
+    texts += [f"id {i:06}{rng.randint(10**6, 10**7)} " * 20 for i in range(300)]  # many failed cards
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    monkeypatch.setattr(pii.boosting, "ROWS", 400)
+    monkeypatch.setattr(pii.boosting.sample, "__defaults__", (400,))
+    monkeypatch.setattr(pii, "SAMPLE", 50, raising=False)
+    seen = []
+    thresholds = pii.thresholds
+    monkeypatch.setattr(pii, "thresholds", lambda scored, *more: seen.append(scored.groupBy("kind").count().collect()) or thresholds(scored, *more))
+    got = pii.find(docs).where("row.doc_id between 200 and 209").select("spans").collect()
+    assert all([x["kind"] for x in r.spans] == [pii.KINDS.index("ip")] for r in got) and len(got) == 10
+    assert dict(map(tuple, seen[0]))[pii.KINDS.index("card")] > 400  # all rows set aside, not a sample's
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([("é x@y.org, +1 (743) 555-3824.",)], "text string")
     base = pii.base_spans(F.col("text"))
