@@ -1,7 +1,8 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Texts are folded to lower-case letters and digits with single spaces. A benchmark item
-is looked for by windows of ``WINDOW`` folded characters. Two strings within e edits
+is looked for by windows of ``WINDOW`` folded characters at every place, a shorter one
+whole; so any copied passage of that length is found. Two strings within e edits
 share at least n - q + 1 - q e of their q-grams, and these lie on diagonals (place in
 the document minus place in the item) at most e apart; so shared q-grams are counted in
 diagonal bands of width 2 (e + 1) that overlap by half. Regions of a band that reach
@@ -23,10 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Q = 8
-WINDOW = 96
-STEP = 16
+WINDOW = 64  # about 11 words: the shortest passage of a longer item that is found
+STEP = 1
 EDIT_SHARE = 0.08
-SHORTEST = 24  # folded characters; shorter items identify nothing
+SHORTEST = Q  # folded characters; shorter items have no q-gram
 BLOCK_CHARS = 1_000_000  # of items, per broadcast
 FILTER_BITS = 22
 
@@ -139,20 +140,27 @@ def matches(text: str | None, known: Index) -> list[tuple[int, int, int, int, in
     band = (spot - place) // half
     # a hit lies in two bands, the one it begins and the one before
     key = np.concatenate([item, item]) * (1 << 40) + np.concatenate([band, band - 1]) + (1 << 39)
-    order = np.argsort(key, kind="stable")
-    key, hit = key[order], np.concatenate([np.arange(len(item))] * 2)[order]
-    edges = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    counts = np.diff(np.append(edges, len(key)))
-    enough = counts >= known.bounds[item[hit[edges]]]
+    hit = np.concatenate([np.arange(len(item))] * 2)
+    order = np.lexsort((place[hit], key))
+    key, hit = key[order], hit[order]
+    once = np.append(True, (key[1:] != key[:-1]) | (place[hit[1:]] != place[hit[:-1]]))
+    key, hit = key[once], hit[once]
+    # a window's q-grams of a band are as many places of the item, none further from the first than the window is long
+    last = np.arange(len(key)) + known.bounds[item[hit]] - 1
+    here = np.flatnonzero(last < len(key))
+    last = last[here]
+    near = (key[last] == key[here]) & (place[hit[last]] - place[hit[here]] <= known.sizes[item[hit[here]]] - Q)
+    full = np.unique(key[here[near]])
+    edges, stops = np.searchsorted(key, full, "left"), np.searchsorted(key, full, "right")
     result, done = [], set()
-    for edge, count in zip(edges[enough], counts[enough], strict=True):
-        hits = hit[edge : edge + count]
+    for edge, stop in zip(edges, stops, strict=True):
+        hits = hit[edge:stop]
         i = int(item[hits[0]])
         if i in done:
             continue
         lowest = int((key[edge] % (1 << 40) - (1 << 39)) * (known.budgets[i] + 1))
         limits = int(known.sizes[i]), int(known.budgets[i]), int(known.bounds[i])
-        made = _verify(points, known.points[i], np.sort(place[hits]), lowest, *limits)
+        made = _verify(points, known.points[i], place[hits], lowest, *limits)
         if made:
             done.add(i)
             result.append((known.rows[i], *made))
@@ -163,10 +171,10 @@ def _verify(
     points: np.ndarray, pattern: np.ndarray, places: np.ndarray, lowest: int, size: int, edits: int, bound: int
 ) -> tuple[int, int, int, int] | None:
     """The first window of an item that a band's q-grams and then the alignment confirm."""
-    starts = sorted({*range(0, len(pattern) - size + 1, STEP), len(pattern) - size})
+    starts = np.arange(0, len(pattern) - size + 1, STEP)
     first = np.searchsorted(places, starts, "left")
-    stop = np.searchsorted(places, np.array(starts) + size - Q, "right")
-    for at in (starts[i] for i in np.flatnonzero(stop - first >= bound)):
+    stop = np.searchsorted(places, starts + size - Q, "right")
+    for at in starts[stop - first >= bound].tolist():
         span = 2 * (edits + 1) - 1
         begin = max(0, at + lowest - edits)
         part = points[begin : at + size + lowest + span + edits]

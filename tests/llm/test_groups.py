@@ -203,6 +203,25 @@ def test_leaks(spark, odd_docs, no_docs):
     assert decontaminate.leaks(no_docs, bench).count() == decontaminate.leaks(odd_docs, bench.limit(0)).count() == 0
 
 
+def test_short_passages_and_short_items_are_found():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 7)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    items = [prose(60) for _ in range(20)] + ["what is 2 plus 2", "name a colour"]
+    known = decontaminate.index(list(enumerate(items)))
+    for i, item in enumerate(items):
+        words = item.split()
+        for at in range(0, max(1, len(words) - 16), 5):
+            passage = " ".join(words[at : at + 16])  # 13 words or more of 64 characters or more
+            assert len(words) < 16 or len(passage) >= 64
+            found = decontaminate.matches(f"{prose(30)} {passage}, {prose(30)}", known)
+            assert [m[0] for m in found] == [i], passage
+        if len(words) > 16:
+            cut = f"{prose(30)} {item[100:164]} {prose(30)}"
+            assert [m[0] for m in decontaminate.matches(cut, known)] == [i]
+    assert not decontaminate.matches(prose(500), known)
+
+
 def test_alignment_finds_the_least_edits():
     rng = random.Random(7)
     for _ in range(60):
