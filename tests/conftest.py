@@ -22,8 +22,3 @@ def spark(tmp_path_factory):
     yield session
     session.stop()
 
-
-def rows(df, *cols):
-    """Rows as a sorted list of tuples."""
-    picked = df.select(*cols) if cols else df
-    return sorted((tuple(r) for r in picked.collect()), key=repr)

@@ -1,6 +1,6 @@
 import datetime
 
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from collabnet.functions import arrays as ar

@@ -2,7 +2,7 @@ import random
 
 import pytest
 from brute import components, distances, neighbors, random_edges, shortest_paths
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from collabnet.operators import graph as g

@@ -4,7 +4,7 @@ import json
 from pathlib import Path
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from collabnet.functions import urls

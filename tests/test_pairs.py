@@ -2,7 +2,7 @@ import random
 
 import pytest
 from brute import pair_counts
-from conftest import rows
+from helpers import rows
 
 from collabnet.operators import pairs as pr
 

@@ -1,4 +1,4 @@
-from conftest import rows
+from helpers import rows
 
 from collabnet.functions import urls
 from collabnet.operators import lookup, resolve, update
