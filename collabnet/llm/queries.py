@@ -9,8 +9,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from collabnet.llm import decontaminate, langid, linededup, neardup, packing, pii, quality, tokencount, topk, urlfilter
-from collabnet.session import shared_folder
+from collabnet.llm import (
+    decontaminate,
+    fingerprint,
+    langid,
+    linededup,
+    maxsketch,
+    neardup,
+    packing,
+    pii,
+    prefixtrie,
+    quality,
+    tokencount,
+    topk,
+    urlfilter,
+)
+from collabnet.session import left_join, shared_folder, stored
 
 TOKEN_LIMIT = 512
 
@@ -112,6 +126,99 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def rebuilt(spark: SparkSession, turns: DataFrame, conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns (id, pos, digest, size) of the rebuilt conversations, and all their ids."""
+    ids = conversations.where(F.col("conv_id").isNotNull()).select(F.col("conv_id").cast("bigint").alias("id")).distinct()
+    ids = ids.select("id", (F.col("id") - F.col("id") % 5).alias("base"), (F.crc32(F.col("id").cast("string").cast("binary")) % 9).alias("h"))
+    starts = turns.where(F.col("pos") < 8).withColumnRenamed("id", "base")  # a base's first turns, at most 8 of them
+    heads = stored(ids.join(starts, "base").where(F.col("pos") < F.col("h")).select("id", "pos", "digest", "size"))
+    taken = heads.groupBy("id").agg(F.count("*").alias("taken"))
+    shifts = ids.join(taken, "id", "left").select("id", "h", (F.coalesce("taken", F.lit(0)) - F.col("h")).alias("shift"))
+    own = turns.join(shifts, "id").where(F.col("pos") >= F.col("h")).withColumn("pos", F.col("pos") + F.col("shift"))
+    return heads.unionByName(own.select("id", "pos", "digest", "size")), ids.select("id")
+
+
+def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    """Trie of the rebuilt conversations; the ids that end at a node as one digest."""
+    conversations = table(spark, sf, "conversations")
+    turns, ids = rebuilt(spark, stored(prefixtrie.turn_digests(conversations)), conversations)
+    found = stored(prefixtrie.paths(turns, ids))
+    ends = prefixtrie.listed_ids(found.select("id", prefixtrie.end_name(F.col("path")).alias("end")))
+    nodes = prefixtrie.trie(found)
+    return left_join(nodes, ends, "end").select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+        F.coalesce("ids_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"),
+    )
+
+
+#: DuckDB has no CRC-32: eight shifts a byte over the decimal digits.
+_SHIFT = "xor(x >> 1, 3988292384 * (x & 1))"
+OP11_SQL = f"""
+with recursive o as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+         row_number() over (partition by conv_id order by turn nulls first) - 1 as pos
+  from conversations where conv_id is not null),
+crc as (
+  select distinct conv_id, cast(conv_id as varchar) as digits, 1 as i, 0 as bit,
+         xor(cast(4294967295 as bigint), cast(ascii(cast(conv_id as varchar)) as bigint)) as x from o
+  union all
+  select conv_id, digits, case when bit = 7 then i + 1 else i end, (bit + 1) % 8,
+         xor({_SHIFT}, case when bit = 7 and i < length(digits) then cast(ascii(substr(digits, i + 1, 1)) as bigint) else 0 end)
+  from crc where i <= length(digits)),
+c as (select conv_id, conv_id - conv_id % 5 as base, xor(x, 4294967295) % 9 as h from crc where i > length(digits)),
+lens as (select conv_id, count(*) as n from o group by 1),
+rebuilt as (
+  select c.conv_id, pos, role, text from c join o on o.conv_id = base where pos < h
+  union all
+  select c.conv_id, least(h, coalesce(n, 0)) + pos - h, role, text
+  from c join o on o.conv_id = c.conv_id left join lens on lens.conv_id = base where pos >= h),
+seq as (select c.conv_id, coalesce(l, []) as l from c left join (
+  select conv_id, list({{'r': role, 't': text}} order by pos) as l from rebuilt group by 1) using (conv_id)),
+pre as (select conv_id, len(l) as n, unnest(range(0, len(l) + 1)) as depth, l from seq),
+cut as (select conv_id, n, depth, l[:depth] as p, case when depth > 0 then strlen(l[depth].t) else 0 end as size from pre),
+nodes as (
+  select depth, p, min(conv_id) as conv_id, count(*) as n_convs, any_value(size) as size,
+         sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where n = depth), '')) as ends_sha256
+  from cut group by depth, p),
+member as (select cut.conv_id, cut.depth, nodes.conv_id as node from cut join nodes using (depth, p)),
+up as (select n.*, m.node as parent_conv_id from nodes n left join member m on m.conv_id = n.conv_id and m.depth = n.depth - 1),
+kids as (select parent_conv_id as conv_id, depth - 1 as depth, count(*) as n_children from up where depth > 0 group by 1, 2),
+full_nodes as (select up.*, coalesce(n_children, 0) as n_children from up left join kids using (conv_id, depth)),
+subs as (
+  select m.node as conv_id, m.depth, count(*) filter (where n_children = 0) as n_leaves, sum((n_convs - 1) * size) as saved
+  from full_nodes f join member m on m.conv_id = f.conv_id and m.depth <= f.depth group by 1, 2)
+select conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, cast(saved as bigint) as saved_tokens, ends_sha256
+from full_nodes join subs using (conv_id, depth)"""
+
+
+def op12_max_sketch_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return maxsketch.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+_TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+OP12_SQL = f"""
+with found as (select doc_id, unnest({_TERMS}) as term from documents where text is not null),
+tf as (select doc_id, term, count(*) as tf from found group by all),
+doc as (select doc_id, sum(tf) as n from tf group by doc_id),
+size as (select count(*) as total, sum(n) as len from doc),
+asked as (select distinct item_id, unnest({_TERMS}) as term from benchmark where text is not null),
+df as (select term, count(*) as df from tf group by term),
+w as (select term, cast(floor(1000 * ln(cast(2 * total + 2 as double) / (2 * df + 1))) as bigint) as w from df, size),
+m as (select doc_id, 100 - 50 + (50 * n * total) // len as m from doc, size),
+scored as (
+  select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) as bigint) as score
+  from asked join w using (term) join tf using (term) join m using (doc_id) group by all),
+ranked as (select *, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank from scored where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 50"""
+
+
+def op13_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document and its edited text, against each other and against the next document."""
+    return fingerprint.fingerprints(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_language_id": op1_language_id,
@@ -124,5 +231,8 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_max_sketch_search": op12_max_sketch_search,
+    "op13_fingerprints": op13_fingerprints,
 }
-SQL = {"op9_line_dedup": OP9_SQL}
+SQL = {"op9_line_dedup": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op12_max_sketch_search": OP12_SQL}
