@@ -2,30 +2,41 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Fixed value: characters that disqualify a name.
 SPECIAL_CHARACTERS = r"""[~!@#$^%&*_+={}\[\]|;:"'<,>.?`/\\]"""
 
+# Fixed value: what may stand at the end of a name to tell it from others.
+DISAMBIGUATOR = r"[\s\(\d\)]*$"
 
-@F.pandas_udf(StringType())
-def strip_accents(texts: pd.Series) -> pd.Series:
-    """Canonical decomposition, then only the ASCII characters stay (F1).
 
-    Spark has no normalisation function; text that is ASCII already passes as it is.
-    """
+def _plain_letters() -> tuple[str, str]:
+    """All characters whose canonical decomposition holds an ASCII character, and that character."""
+    letters, plain = [], []
+    for point in range(0x80, sys.maxunicode + 1):
+        if not 0xD800 <= point < 0xE000:
+            kept = unicodedata.normalize("NFD", chr(point)).encode("ascii", "ignore").decode("ascii")
+            if kept:
+                letters.append(chr(point))
+                plain.append(kept)
+    return "".join(letters), "".join(plain)
+
+
+_LETTERS, _PLAIN = _plain_letters()
 
-    def plain(text):
-        if text is None or text.isascii():
-            return text
-        return unicodedata.normalize("NFD", text).encode("ascii", "ignore").decode("ascii")
 
-    return texts.map(plain)
+def strip_accents(c: Column) -> Column:
+    """Canonical decomposition, then only the ASCII characters stay (F1).
+
+    Decomposing goes character by character and at most one ASCII character comes out
+    of each, so it is one translation by a table, made above by that rule.
+    """
+    return F.regexp_replace(F.translate(c, _LETTERS, _PLAIN), r"[^\x00-\x7F]", "")
 
 
 def strip_punctuation(c: Column) -> Column:
@@ -53,8 +64,8 @@ def has_special_characters(name: Column) -> Column:
 
 
 def display_name(name: Column) -> Column:
-    """Name without a trailing disambiguator such as "(2)" (F30)."""
-    return F.regexp_replace(name, r"[\s\(\d\)]*$", "")
+    """Name without a trailing disambiguator such as "(2)" (F30); plain digits at the end go, too."""
+    return F.regexp_replace(name, DISAMBIGUATOR, "")
 
 
 def html_escape(c: Column) -> Column:

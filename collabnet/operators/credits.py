@@ -93,16 +93,17 @@ def one_version(
 ) -> DataFrame:
     """Keep entities with several credits, or whose master has one version (P5), with ``cant_vers``.
 
-    All events without a master form one group, as one window partition would.
+    All events without a master form one group, as one window partition would; its
+    count is one number, and its rows are joined to nothing.
     """
     per_entity = credits.groupBy(entity).agg(F.count("*").alias("cant_rels"))
-    per_version = credits.groupBy(F.col(version).alias("_version")).agg(F.countDistinct(event).alias("cant_vers"))
-    return (
-        credits.join(per_entity, entity)
-        .join(per_version, F.col(version).eqNullSafe(F.col("_version")))
-        .where((F.col("cant_rels") > 1) | (F.col("cant_vers") == 1))
-        .drop("_version")
-    )
+    counted = credits.join(per_entity, entity)
+    named, bare = F.col(version).isNotNull(), F.col(version).isNull()
+    per_version = credits.where(named).groupBy(version).agg(F.countDistinct(event).alias("cant_vers"))
+    without = credits.where(bare).agg(F.countDistinct(event)).scalar()
+    grouped = counted.where(named).join(per_version, version).select(*counted.columns, "cant_vers")
+    every = grouped.unionByName(counted.where(bare).withColumn("cant_vers", without))
+    return every.where((F.col("cant_rels") > 1) | (F.col("cant_vers") == 1))
 
 
 def solo_artists(artists: DataFrame, members: str = "members_name", name: str = "name") -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_FACTOR, _PRODUCT = "decimal(20,0)", "decimal(38,0)"  # degrees; sums and products of them
+
 
 @dataclass(frozen=True)
 class Graph:
@@ -70,37 +72,47 @@ def category_weight(relevants: DataFrame) -> DataFrame:
     )
 
 
-def influence(edges: DataFrame, relevants: DataFrame | None = None, alpha: int = 1) -> DataFrame:
+def _wide(c: Column | str) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast(_FACTOR)
+
+
+def influence(edges: DataFrame, relevants: DataFrame | None = None, alpha: float = 1) -> DataFrame:
     """Collective influence, and with ``relevants`` its category-weighted variant.
 
     ci  = (deg - 1) * sum over neighbours of (deg - 1)
     cii = (deg - 1 + w a M) * sum over neighbours of (deg - 1 + w a M),  M = largest degree
 
     Both neighbour sums come out of one pass over the edges, because the second
-    is the first plus ``a M`` times the summed weights.
+    is the first plus ``a M`` times the summed weights. Sums and products are
+    decimals of 38 digits, those with a fractional ``alpha`` doubles.
     """
     deg = degree(edges)
+    less_one = _wide(F.col("degree") - 1)
+    ci = (less_one * F.col("sum_neighbor_degree")).cast(_PRODUCT)
     if relevants is None:
-        sums = neighbor_sum(edges, deg, sum_neighbor_degree=F.col("degree") - 1)
-        return deg.join(sums, "id").withColumn("ci", (F.col("degree") - 1) * F.col("sum_neighbor_degree"))
+        sums = neighbor_sum(edges, deg, sum_neighbor_degree=less_one)
+        return deg.join(sums, "id").select("id", "degree", F.col("sum_neighbor_degree").cast(_PRODUCT).alias("sum_neighbor_degree"), ci.alias("ci"))
     weighted = deg.join(category_weight(relevants), "id", "left").withColumn(
         "weight", F.coalesce("weight", F.lit(0).cast("bigint"))
     )
     sums = neighbor_sum(
-        edges, weighted, sum_neighbor_degree=F.col("degree") - 1, sum_neighbor_weight=F.col("weight")
+        edges, weighted, sum_neighbor_degree=less_one, sum_neighbor_weight=F.col("weight")
     )
-    top = deg.agg(F.max("degree")).scalar()
+    whole = alpha == int(alpha)
+    kind = _PRODUCT if whole else "double"
+    boost = _wide(deg.agg(F.max("degree")).scalar()) * (F.lit(int(alpha)).cast(_FACTOR) if whole else F.lit(float(alpha)))
     return (
         weighted.join(sums, "id")
-        .withColumn("boost", F.lit(alpha).cast("bigint") * top)
-        .withColumn("ci", (F.col("degree") - 1) * F.col("sum_neighbor_degree"))
+        .withColumn("boost", boost.cast(_FACTOR if whole else "double"))
+        .withColumn("ci", ci)
+        .withColumn("sum_neighbor_degree", F.col("sum_neighbor_degree").cast(_PRODUCT))
         .withColumn(
             "sum_neighbor_relevance",
-            F.col("sum_neighbor_degree") + F.col("boost") * F.col("sum_neighbor_weight"),
+            (F.col("sum_neighbor_degree") + F.col("boost") * _wide("sum_neighbor_weight")).cast(kind),
         )
         .withColumn(
             "cii",
-            (F.col("degree") - 1 + F.col("weight") * F.col("boost")) * F.col("sum_neighbor_relevance"),
+            ((less_one + F.col("boost") * _wide("weight")) * F.col("sum_neighbor_relevance")).cast(kind),
         )
         .select("id", "degree", "sum_neighbor_degree", "ci", "sum_neighbor_relevance", "cii")
     )

@@ -1,7 +1,11 @@
 """Distances and all shortest paths on an undirected graph.
 
-One level-synchronous search from all targets at once replaces a search per
-pair. Paths are kept in long form: one row per path with its vertex array.
+One level-synchronous search from all landmarks at once replaces a search per pair.
+Sixty-four landmarks share a machine word: a row of a level is a vertex, a batch of
+landmarks and a mask with a bit for each landmark that meets the vertex at this
+distance. Masks are merged by ``bit_or`` on the map side and counted by ``bit_count``.
+What lies on a shortest path is kept as arcs (``PathDag``), whose number the graph
+bounds; paths are spelled out only where they are asked for.
 """
 
 from __future__ import annotations
@@ -9,10 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from collabnet.session import cut_lineage, union_all
+from collabnet.operators.index import dense_index
+from collabnet.session import stored, union_all
 
 SHARD = 65_536
 ROWS_PER_PARTITION = 1_000_000
+BITS = 64  # landmarks of a batch
 
 
 def sharded_adjacency(
@@ -55,36 +61,66 @@ def _expand(frontier: DataFrame, adjacency: DataFrame, groups: list[str], keep:
     )
 
 
-class DistanceLevels:
-    """Frontiers of a search from many landmarks.
+def _width(links: DataFrame) -> int:
+    """Partitions for the cached adjacency: as its rows need, and for small ones as many as the cores or shuffles take."""
+    spark = links.sparkSession
+    least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(-(-links.count() // ROWS_PER_PARTITION), least)
+
+
+def landmark_places(landmarks: DataFrame, groups: list[str] = ()) -> DataFrame:
+    """(groups, landmark, batch, bit): the landmarks (groups, id) in batches of 64 within their group."""
+    groups = list(groups)
+    placed = dense_index(landmarks.select(*groups, "id").distinct(), ["id"], groups, "place")
+    return stored(
+        placed.select(
+            *groups,
+            F.col("id").alias("landmark"),
+            F.floor(F.col("place") / BITS).cast("bigint").alias("batch"),
+            (F.col("place") % BITS).cast("int").alias("bit"),
+        )
+    )
 
-    ``levels[d]`` holds (groups, landmark, id, shards, target).
+
+class MaskLevels:
+    """Search from many landmarks: ``levels[d]`` holds (groups, batch, id, shards, target, mask).
+
+    A vertex has a row per batch with a landmark at distance d.
     """
 
-    def __init__(self, adjacency: DataFrame, groups: list[str], levels: list[DataFrame]):
+    def __init__(self, adjacency: DataFrame, groups: list[str], places: DataFrame):
         self.adjacency = adjacency
         self.groups = groups
-        self.levels = levels
+        self.places = places
+        self.levels: list[DataFrame] = []
 
     def release(self) -> None:
         """Drop the cached adjacency; the levels are stored and stay readable."""
         self.adjacency.unpersist()
 
-    def distances(self) -> DataFrame:
-        return union_all(
-            [
-                level.select(*self.groups, "landmark", "id", F.lit(d).alias("dist"))
-                for d, level in enumerate(self.levels)
-            ]
-        )
-
+    def spelled(self, rows: DataFrame) -> DataFrame:
+        """Rows with a ``batch`` and a ``mask`` as one row per landmark in the mask."""
+        bits = F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda b: F.getbit("mask", b) == 1)
+        kept = [c for c in rows.columns if c not in ("batch", "mask")]
+        each = rows.withColumn("bit", F.explode(bits))
+        return each.join(self.places, [*self.groups, "batch", "bit"]).select(*kept, "landmark")
 
-def _width(links: DataFrame) -> int:
-    """Partitions for the cached adjacency: by its rows, within the cores and the shuffle setting."""
-    spark = links.sparkSession
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by_rows = -(-links.count() // ROWS_PER_PARTITION)
-    return min(most, max(by_rows, spark.sparkContext.defaultParallelism))
+    def distances(self) -> DataFrame:
+        far = [
+            level.select(*self.groups, "batch", "id", "mask", F.lit(d).alias("dist"))
+            for d, level in enumerate(self.levels)
+        ]
+        return self.spelled(union_all(far)).select(*self.groups, "landmark", "id", "dist")
+
+    def summed(self) -> DataFrame:
+        """(groups, id, sum_dist, n_met): summed distances to the landmarks that meet the vertex, and their number."""
+        far = [
+            level.groupBy(*self.groups, "id").agg(
+                (F.sum(F.bit_count("mask")) * d).alias("sum_dist"), F.sum(F.bit_count("mask")).alias("n_met")
+            )
+            for d, level in enumerate(self.levels)
+        ]
+        return union_all(far).groupBy(*self.groups, "id").agg(F.sum("sum_dist").alias("sum_dist"), F.sum("n_met").alias("n_met"))
 
 
 def search_levels(
@@ -93,13 +129,13 @@ def search_levels(
     max_len: int | None = None,
     targets: DataFrame | None = None,
     groups: list[str] = (),
-) -> DistanceLevels:
-    """Search from all ``landmarks`` (groups, id) at once.
+) -> MaskLevels:
+    """Search from all ``landmarks`` (groups, id) at once; call ``release`` when done with the adjacency.
 
     The graph is undirected, so a neighbour of level d lies in level d - 1, d or
-    d + 1; excluding the last two levels is enough and no set of all visited
-    vertices is carried. With ``targets`` (id) the search ends as soon as every
-    reachable pair has been met.
+    d + 1; taking the bits of the last two levels out is enough and no set of all
+    visited vertices is carried. With ``targets`` (id) the search ends as soon as
+    every reachable pair has been met.
     """
     groups = list(groups)
     if targets is not None:
@@ -113,43 +149,55 @@ def search_levels(
         .sortWithinPartitions(*by)
         .persist()
     )
+    search = MaskLevels(adjacency, groups, landmark_places(landmarks, groups))
+    try:
+        _search(search, max_len, targets)
+    except BaseException:
+        search.release()
+        raise
+    return search
+
+
+def _search(search: MaskLevels, max_len: int | None, targets: DataFrame | None) -> None:
+    groups, adjacency, levels = search.groups, search.adjacency, search.levels
     vertex = adjacency.groupBy(*groups, F.col("src").alias("id")).agg(F.max("src_shards").alias("shards"))
-    start = (
-        landmarks.select(*groups, "id")
-        .distinct()
-        .join(vertex, groups + ["id"], "left")
-        .select(*groups, F.col("id").alias("landmark"), "id", F.coalesce("shards", F.lit(1)).alias("shards"))
-    )
+    start = search.places.select(
+        *groups, "batch", F.col("landmark").alias("id"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit")).alias("mask")
+    ).join(vertex, groups + ["id"], "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
     if targets is None:
         start = start.withColumn("target", F.lit(False))
     else:
         start = start.join(targets.withColumn("target", F.lit(True)), "id", "left").withColumn(
             "target", F.coalesce("target", F.lit(False))
         )
-    levels = [cut_lineage(start.select(*groups, "landmark", "id", "shards", "target"))]
-    pair = groups + ["landmark", "id"]
+    cell = groups + ["batch", "id"]
+    columns = [*cell, "shards", "target", "mask"]
+    levels.append(stored(start.select(*columns)))
 
-    def n_targets(level: DataFrame) -> int:
-        return level.where("target").count()
+    def n_met(level: DataFrame) -> int:
+        return level.where("target").agg(F.coalesce(F.sum(F.bit_count("mask")), F.lit(0))).first()[0]
 
     open_pairs = None
     if targets is not None:
-        open_pairs = levels[0].count() * targets.count() - n_targets(levels[0])
+        open_pairs = levels[0].count() * targets.count() - n_met(levels[0])
+    none = F.lit(0).cast("bigint")
     while (max_len is None or len(levels) <= max_len) and (open_pairs is None or open_pairs > 0):
-        known = union_all([level.select(*pair) for level in levels[-2:]])
-        reached = cut_lineage(
-            _expand(levels[-1], adjacency, groups, ["landmark"])
-            .groupBy(*groups, "landmark", F.col("dst").alias("id"))
-            .agg(F.max("dst_shards").alias("shards"), F.max("dst_target").alias("target"))
-            .join(known, pair, "left_anti")
+        found = _expand(levels[-1], adjacency, groups, ["batch", "mask"]).select(
+            *groups, "batch", F.col("dst").alias("id"), F.col("dst_shards").alias("shards"), F.col("dst_target").alias("target"),
+            "mask", none.alias("known"),
+        )
+        known = [level.select(*cell, "shards", "target", none.alias("mask"), F.col("mask").alias("known")) for level in levels[-2:]]
+        merged = union_all([found, *known]).groupBy(*cell).agg(
+            F.max("shards").alias("shards"), F.max("target").alias("target"), F.bit_or("mask").alias("mask"), F.bit_or("known").alias("known")
         )
-        met = 0 if open_pairs is None else n_targets(reached)
+        fresh = merged.withColumn("mask", F.col("mask").bitwiseAND(F.bitwise_not("known"))).where(F.col("mask") != 0)
+        reached = stored(fresh.select(*columns))
+        met = 0 if open_pairs is None else n_met(reached)
         if met == 0 and reached.isEmpty():
             break
         levels.append(reached)
         if open_pairs is not None:
             open_pairs -= met
-    return DistanceLevels(adjacency, groups, levels)
 
 
 def landmark_distances(
@@ -161,23 +209,51 @@ def landmark_distances(
     return search.distances()
 
 
-def all_shortest_paths(
+def summed_distances(links: DataFrame, landmarks: DataFrame, groups: list[str] = ()) -> DataFrame:
+    """(groups, id, sum_dist, n_met) of every vertex that a landmark reaches, without a row per pair."""
+    search = search_levels(links, landmarks, groups=groups)
+    search.release()
+    return search.summed()
+
+
+class PathDag:
+    """All shortest paths of the pairs as arcs (G7, G9); as many rows as there are arcs, however many paths they make.
+
+    ``arcs[d]`` holds (relevant, id, dst): an edge from distance d to d - 1 of a relevant
+    that is on a shortest path of some guest. ``ends[d]`` holds (relevant, guest), the
+    guests at distance d. A guest that is itself a relevant is at distance 0.
+    """
+
+    def __init__(self, arcs: dict[int, DataFrame], ends: list[DataFrame]):
+        self.arcs = arcs
+        self.ends = ends
+
+    def paths(self) -> DataFrame:
+        """(path_id, guest, relevant, key, vertices) of every path; tails are built upwards, each once for all guests behind it."""
+        relevant = F.col("relevant")
+        tails, found = None, [self.ends[0].select("relevant", "guest", F.array("guest", "guest").alias("vertices"))]
+        for d, arcs in sorted(self.arcs.items()):
+            if d == 1:
+                tails = arcs.select(relevant, "id", F.array("id", "dst").alias("vertices"))
+            else:
+                longer = arcs.join(tails.withColumnRenamed("id", "dst"), ["relevant", "dst"])
+                tails = longer.select(relevant, "id", F.concat(F.array("id"), "vertices").alias("vertices"))
+            tails = stored(tails)
+            own = self.ends[d].withColumnRenamed("guest", "id")
+            found.append(tails.join(own, ["relevant", "id"], "left_semi").select("relevant", F.col("id").alias("guest"), "vertices"))
+        paths = union_all(found).select("guest", "relevant", (F.size("vertices") - 2).alias("key"), "vertices")
+        # Numbered once on stored rows, so a re-run task cannot renumber them.
+        return stored(paths.withColumn("path_id", F.monotonically_increasing_id()))
+
+
+def shortest_path_dag(
     links: DataFrame,
     guests: DataFrame,
     relevants: DataFrame,
     max_len: int | None = None,
     edge_filter: Column | None = None,
-) -> DataFrame:
-    """Every shortest path from each guest to each relevant.
-
-    Returns (path_id, guest, relevant, key, vertices): ``vertices`` runs from
-    guest to relevant and ``key`` is the number of vertices between them. Guest =
-    relevant gives the trivial path [g, g] with key 0, as a direct edge does.
-
-    Distances come first. Then edges that lower the distance are followed from
-    the guests only, and path tails are built upwards from the relevants, each
-    tail once for all guests behind it.
-    """
+) -> PathDag:
+    """The arcs of all shortest paths from each guest to each relevant, found from the relevants and followed from the guests."""
     if edge_filter is not None:
         links = links.where(edge_filter)
     links = links.select("src", "dst").where(F.col("src") != F.col("dst"))
@@ -186,43 +262,44 @@ def all_shortest_paths(
     relevants = relevants.select("id").distinct().join(known, "id", "left_semi")
     search = search_levels(links, relevants, max_len, targets=guests)
     levels = search.levels
-    pair = ["landmark", "id"]
-
-    # Downwards: which edges lie on a shortest path from some guest.
-    at_guest = [level.where("target").select("landmark", "id", "shards") for level in levels]
-    down: dict[int, DataFrame] = {}
-    active = at_guest[-1]
-    for d in range(len(levels) - 1, 0, -1):
-        lower = levels[d - 1].select("landmark", F.col("id").alias("dst"))
-        down[d] = cut_lineage(
-            _expand(active, search.adjacency, [], ["landmark"])
-            .join(lower, ["landmark", "dst"], "left_semi")
-            .select("landmark", F.col("src").alias("id"), "dst", "dst_shards")
-        )
-        through = down[d].select("landmark", F.col("dst").alias("id"), F.col("dst_shards").alias("shards"))
-        active = through.unionByName(at_guest[d - 1]).distinct()
+    cell = ["batch", "id", "shards", "mask"]
+    try:
+        at_guest = [level.where("target").select(*cell) for level in levels]
+        masked: dict[int, DataFrame] = {}
+        active = at_guest[-1]
+        for d in range(len(levels) - 1, 0, -1):
+            lower = levels[d - 1].select("batch", F.col("id").alias("dst"), F.col("mask").alias("below"))
+            steps = _expand(active, search.adjacency, [], ["batch", "mask"]).join(lower, ["batch", "dst"])
+            steps = steps.withColumn("mask", F.col("mask").bitwiseAND(F.col("below"))).where(F.col("mask") != 0)
+            masked[d] = stored(steps.select("batch", F.col("src").alias("id"), "dst", "dst_shards", "mask"))
+            through = masked[d].select("batch", F.col("dst").alias("id"), F.col("dst_shards").alias("shards"), "mask")
+            active = through.unionByName(at_guest[d - 1]).groupBy("batch", "id").agg(
+                F.max("shards").alias("shards"), F.bit_or("mask").alias("mask")
+            )
+    finally:
+        search.release()
+    arcs = {d: search.spelled(m.drop("dst_shards")).withColumnRenamed("landmark", "relevant") for d, m in masked.items()}
+    ends = [search.spelled(m.drop("shards")).select(F.col("landmark").alias("relevant"), F.col("id").alias("guest")) for m in at_guest]
+    return PathDag(arcs, ends)
 
-    search.release()
 
-    # Upwards: path tails per level.
-    tails = levels[0].select("landmark", "id", F.array("id").alias("vertices"))
-    found = [at_guest[0].select("landmark", "id", F.array("id", "id").alias("vertices"))]
-    for d in range(1, len(levels)):
-        tails = cut_lineage(
-            down[d]
-            .select("landmark", "id", "dst")
-            .join(tails.withColumnRenamed("id", "dst"), ["landmark", "dst"])
-            .select("landmark", "id", F.concat(F.array("id"), "vertices").alias("vertices"))
-        )
-        found.append(tails.join(guests, "id", "left_semi"))
-    paths = union_all(found).select(
-        F.col("id").alias("guest"),
-        F.col("landmark").alias("relevant"),
-        (F.size("vertices") - 2).alias("key"),
-        "vertices",
-    )
-    # Numbered once on stored rows, so a re-run task cannot renumber them.
-    return cut_lineage(paths.withColumn("path_id", F.monotonically_increasing_id()))
+def all_shortest_paths(
+    links: DataFrame,
+    guests: DataFrame,
+    relevants: DataFrame,
+    max_len: int | None = None,
+    edge_filter: Column | None = None,
+) -> DataFrame:
+    """Every shortest path from each guest to each relevant.
+
+    Returns (path_id, guest, relevant, key, vertices): ``vertices`` runs from
+    guest to relevant and ``key`` is the number of vertices between them. Guest =
+    relevant gives the trivial path [g, g] with key 0, as a direct edge does.
+
+    There may be exponentially many; ``pathcounts`` counts and ranks them without
+    spelling them out.
+    """
+    return shortest_path_dag(links, guests, relevants, max_len, edge_filter).paths()
 
 
 def guests_without_path(guests: DataFrame, links: DataFrame, paths: DataFrame) -> DataFrame:

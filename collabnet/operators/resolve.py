@@ -15,7 +15,7 @@ from collabnet.functions.arrays import (
     tagged,
     tail,
 )
-from collabnet.session import cut_lineage, left_join, union_all
+from collabnet.session import cut_lineage, left_join
 
 COUNTRY_TYPE = 1  # fixed value: area type of a country
 
@@ -25,29 +25,31 @@ def area_countries(areas: DataFrame, links: DataFrame, country_type: int = COUNT
 
     ``areas`` is (areaID, area_name, area_type), ``links`` is (areaID, area2ID)
     with area2ID the parent. An area with several parents may have several
-    countries; one without a country above it has none. Every branch is followed to
-    its end, a place already met from an area is not met again, so cycles end.
+    countries; one without a country above it has none.
+
+    Jump pointers: after round k a pair leads from an area to a place 2^k steps up that
+    is no country and has none on the way; countries met before are set down. A branch
+    of d steps takes log2 d rounds. A simple branch is no longer than there are links,
+    so rounds end there, and what still goes in a cycle has met no country.
     """
     countries = areas.where(F.col("area_type") == country_type).select(
-        F.col("areaID").alias("country_id"), F.col("area_name").alias("country")
-    )
-    # Parents with the country they are, if any: the walk then needs one join per level.
-    parents = links.select(F.col("areaID").alias("at"), F.col("area2ID").alias("parent")).distinct().join(
-        countries.withColumnRenamed("country_id", "parent").withColumnRenamed("country", "parent_country"),
-        "parent",
-        "left",
+        F.col("areaID").alias("at"), F.col("area_name").alias("country")
     )
-    walk = areas.select("areaID", F.col("areaID").alias("at")).join(
-        countries.withColumnRenamed("country_id", "at"), "at", "left"
-    )
-    levels = [cut_lineage(walk)]
-    while not (unknown := levels[-1].where(F.col("country").isNull())).isEmpty():
-        above = unknown.join(parents, "at").select(
-            "areaID", F.col("parent").alias("at"), F.col("parent_country").alias("country")
-        )
-        seen = union_all([level.select("areaID", "at") for level in levels])
-        levels.append(cut_lineage(above.distinct().join(seen, ["areaID", "at"], "left_anti")))
-    return union_all(levels).where(F.col("country").isNotNull()).select("areaID", "country").distinct()
+    steps = links.select("areaID", F.col("area2ID").alias("at")).distinct()
+    steps = steps.join(countries.select(F.col("at").alias("areaID")), "areaID", "left_anti").join(countries, "at", "left")
+    steps = cut_lineage(steps.select("areaID", "at", "country"))
+    jumps = steps.where(F.col("country").isNull()).select("areaID", "at")
+    met = cut_lineage(steps.where(F.col("country").isNotNull()).select("areaID", "country").distinct())
+    longest, reach = steps.count(), 1
+    while reach < longest and not jumps.isEmpty():
+        above = jumps.join(met.withColumnRenamed("areaID", "at"), "at").select("areaID", "country")
+        met = cut_lineage(met.unionByName(above).distinct())
+        onward = jumps.select(F.col("areaID").alias("at"), F.col("at").alias("next"))
+        jumps = cut_lineage(jumps.join(onward, "at").select("areaID", F.col("next").alias("at")).distinct())
+        reach *= 2
+    own = countries.join(areas.select(F.col("areaID").alias("at")).distinct(), "at", "left_semi")
+    known = areas.select("areaID").distinct()
+    return own.withColumnRenamed("at", "areaID").unionByName(met.join(known, "areaID", "left_semi")).distinct()
 
 
 def url_columns(artist_urls: DataFrame, urls: DataFrame, key: str = "id") -> DataFrame:
@@ -141,18 +143,25 @@ def kb_artists(entities: DataFrame, labels: DataFrame, strict_ids: bool = False)
 def _mb_by(mb: DataFrame, key: str, others: list[str], tag: str) -> DataFrame:
     """Relational-dump rows rolled up by one id (A6); rows without that id cannot match and are left out.
 
+    List elements are made distinct before they are collected.
+
     The smallest of the other ids stands for "the first one", so the result does
     not depend on row order.
     """
-    return (
-        mb.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(
-            *[F.min(o).alias(f"{o}{tag}") for o in others],
-            F.collect_set("country").alias(f"country{tag}"),
-            F.collect_set("wikidata_url").alias(f"wikidata_url{tag}"),
-            F.array_distinct(F.flatten(F.collect_set("other_urls"))).alias(f"other_urls{tag}"),
-        )
+    known = mb.where(F.col(key).isNotNull())
+    firsts = known.groupBy(key).agg(*[F.min(o).alias(f"{o}{tag}") for o in others])
+    lists = {"country": F.array("country"), "wikidata_url": F.array("wikidata_url"), "other_urls": F.col("other_urls")}
+    facts = (
+        known.select(key, F.explode(tagged(lists)).alias("f"))
+        .select(key, "f.list", "f.value")
+        .where(F.col("value").isNotNull())
+        .distinct()
+    )
+    listed = facts.groupBy(key).agg(
+        *[F.array_sort(F.collect_set(F.when(F.col("list") == n, F.col("value")))).alias(f"{n}{tag}") for n in lists]
+    )
+    return firsts.join(listed, key, "left").select(
+        *firsts.columns, *[or_empty(F.col(f"{n}{tag}")).alias(f"{n}{tag}") for n in lists]
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from collabnet.functions.urls import image_file
 from collabnet.operators.graph import both_ways
 from collabnet.operators.index import dense_index
-from collabnet.operators.paths import landmark_distances, path_edges, path_steps
+from collabnet.operators.paths import path_edges, path_steps, summed_distances
 
 
 def select_paths(ranked: DataFrame, rank: str, max_rank: int) -> DataFrame:
@@ -120,12 +120,14 @@ def closeness(rows: DataFrame, vertices: DataFrame, groups: list[str] = ()) -> D
     """(groups, id, cc): number of vertices over the summed distances to the reachable ones.
 
     Needs all distances inside each graph, so it is meant for the subgraphs of a
-    selection; with ``groups`` the work is the sum over the graphs.
+    selection; with ``groups`` the work is the sum over the graphs. Every vertex is a
+    landmark of the search, and distances being the same both ways, the sum over the
+    landmarks that meet a vertex is its own; a pair is a bit, never a row.
     """
     groups = list(groups)
     links = both_ways(rows.select(*groups, "src", "dst")).distinct()
-    far = landmark_distances(links, vertices.select(*groups, "id"), groups=groups)
-    sums = far.groupBy(*groups, F.col("landmark").alias("id")).agg(F.sum("dist").alias("sum_dist"))
+    ends = vertices.select(*groups, "id")
+    sums = ends.join(summed_distances(links, ends, groups).drop("n_met"), groups + ["id"], "left")
     if groups:
         sizes = vertices.groupBy(*groups).agg(F.count("*").alias("n"))
         sums = sums.join(sizes, groups)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from collabnet.functions.text import display_name, spaced
 from collabnet.operators import credits as cr
 from collabnet.operators import graph as gr
 from collabnet.operators import importcsv as ic
-from collabnet.operators import lookup, pairs, paths, ranking, resolve, subgraph, tree
+from collabnet.operators import lookup, pairs, pathcounts, paths, ranking, resolve, subgraph, tree
 from collabnet.operators import update as up
 from collabnet.operators.components import connected_components
 from collabnet.session import cut_lineage
@@ -257,14 +257,33 @@ def rank_paths(found: DataFrame, vertices: DataFrame) -> DataFrame:
     return ranking.rank_paths(found.where(F.col("relevant").isNotNull()), vertices)
 
 
+def best_paths(
+    graph: gr.Graph, guests: DataFrame, relevants: DataFrame, max_rank: int, min_common: int = 2, rank: str = "rank_cii"
+) -> DataFrame:
+    """The paths of rank up to ``max_rank``, straight from the graph (E11 and E13 in one).
+
+    ``rank`` is rank_ci, rank_cii or rank_cb and names the rank's column. Only these
+    paths are spelled out, so a graph with very many shortest paths is ranked, too.
+    """
+    links = gr.undirected(graph.edges, min_common)
+    known = gr.prune_vertices(graph.vertices.select("id"), graph.edges.where(pairs.at_least(min_common)))
+    dag = paths.shortest_path_dag(links, guests.join(known, "id", "left_semi"), relevants.join(known, "id", "left_semi"))
+    if rank == "rank_cb":
+        best = pathcounts.best_paths(dag, pathcounts.paths_through(dag).withColumnRenamed("n_paths", "value"), max_rank, per_pair=True, bare=0)
+    else:
+        value = F.col(rank.removeprefix("rank_")).alias("value")
+        best = pathcounts.best_paths(dag, graph.vertices.select("id", value), max_rank)
+    return best.paths().withColumnRenamed("rank", rank)
+
+
 # ---------------------------------------------------------------- exports
 
 
 def export_ids(ranked: DataFrame, graph: gr.Graph, max_rank: int, out: str, label: str) -> None:
     """Vertex and release id lists of the best paths."""
-    sinks.write_file(ranking.selected_vertex_ids(ranked, max_rank), f"{out}/vertices_id_list_{label}.json", "json")
-    sinks.write_file(
-        ranking.selected_release_ids(ranked, max_rank, graph.titles), f"{out}/edges_id_list_{label}.json", "json"
+    sinks.write_rows(ranking.selected_vertex_ids(ranked, max_rank), f"{out}/vertices_id_list_{label}", "json")
+    sinks.write_rows(
+        ranking.selected_release_ids(ranked, max_rank, graph.titles), f"{out}/edges_id_list_{label}", "json"
     )
 
 
@@ -362,34 +381,10 @@ def graph_rows(
     return GraphRows(nodes, shown, titles, linked)
 
 
-def nested_graph(
-    rows: GraphRows, max_rank: int, groups: list[str] = (), releases: str = "releases"
-) -> DataFrame | None:
-    """One document per graph: nodes with ``links1 .. links<R>``, links with their ``releases``.
-
-    None where a graph is too large for one row.
-    """
-    groups = list(groups)
-    if not all(sinks.fits_document(part, groups) for part in vars(rows).values()):
-        return None
-    lists = [
-        F.array_sort(F.collect_list(F.when(F.col("rank") <= r, F.col("linked_index")))).alias(f"links{r}")
-        for r in range(1, max_rank + 1)
-    ]
-    per_node = rows.rank_links.groupBy(*groups, "id").agg(*lists)
-    nodes = rows.nodes.join(per_node, groups + ["id"], "left").select(*rows.nodes.columns, *per_node.columns[len(groups) + 1 :])
-    titles = sinks.nested(rows.link_titles, groups + LINK, releases)
-    return sinks.graph_documents(nodes, rows.links.join(titles, groups + LINK, "left"), groups)
-
-
 def export_graph(ranked, graph, guests, relevants, max_rank: int, out: str, label: str) -> None:
-    """Node/link graph for both rankings (E15): row files, and a document where the size allows."""
+    """Node/link graph for both rankings (E15), as row files."""
     for rank, name in (("rank_ci", f"ED{label}_RANKCI"), ("rank_cii", f"ED{label}_RANKCII")):
-        rows = graph_rows(ranked, graph, guests, relevants, max_rank, rank)
-        rows.write(f"{out}/{name}", [])
-        document = nested_graph(rows, max_rank)
-        if document is not None:
-            sinks.write_file(document, f"{out}/{name}.json", "json")
+        graph_rows(ranked, graph, guests, relevants, max_rank, rank).write(f"{out}/{name}", [])
 
 
 def release_details(links: DataFrame, releases: DataFrame, keys: list[str]) -> DataFrame:
@@ -412,11 +407,8 @@ def export_graph_by_guest(ranked, graph, guests, relevants, releases, max_rank:
     rows = graph_rows(ranked, graph, guests, relevants, max_rank, "rank_cii", ["guest"], profiles=True)
     rows.write(base, ["guest"])
     keys = ["guest", *LINK]
-    detailed = cut_lineage(release_details(rows.link_titles.select(*keys, "id_release"), releases, keys))
+    detailed = release_details(rows.link_titles.select(*keys, "id_release"), releases, keys)
     sinks.write_groups(detailed, f"{base}/releases", ["guest"])
-    documents = nested_graph(replace(rows, link_titles=detailed), max_rank, ["guest"], "releases_data")
-    if documents is not None:
-        sinks.write_groups(documents, f"{base}/documents", ["guest"])
 
 
 def export_graph_by_relevant(ranked, graph, guests, relevants, max_rank: int, out: str, label: str) -> None:
@@ -424,16 +416,12 @@ def export_graph_by_relevant(ranked, graph, guests, relevants, max_rank: int, ou
     selector = relevants.select(
         F.lit(label).alias("year"), F.col("ordinal").alias("path_rel_id"), spaced(F.col("name")).alias("name"), "id"
     )
-    sinks.write_file(selector, f"{out}/relevant_selector.json", "json")
+    sinks.write_rows(selector, f"{out}/relevant_selector", "json")
     for rank in ("rank_ci", "rank_cii"):
         rows = graph_rows(
             ranked, graph, guests, relevants, max_rank, rank, ["relevant"], centralities=False
         )
-        base = f"{out}/ED{label}_BY_RELEVANT_{rank}"
-        rows.write(base, ["relevant"])
-        documents = nested_graph(rows, max_rank, ["relevant"])
-        if documents is not None:
-            sinks.write_groups(documents, f"{base}/documents", ["relevant"])
+        rows.write(f"{out}/ED{label}_BY_RELEVANT_{rank}", ["relevant"])
 
 
 def tree_attributes(vertices: DataFrame) -> DataFrame:
@@ -454,28 +442,24 @@ def tree_attributes(vertices: DataFrame) -> DataFrame:
     )
 
 
-def export_tree(
-    ranked: DataFrame, graph: gr.Graph, releases: DataFrame, out: str, label: str, max_children: int = 10_000
-) -> None:
-    """Trees of the best paths of every pair, one JSON document per guest, and the link file.
+def tree_nodes(ranked: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Nodes of the trees of the best paths of every pair, numbered in document order, with their attributes."""
+    nodes = cut_lineage(tree.tree_order(tree.tree_rows(subgraph.select_paths(ranked, "rank_cii", 1))))
+    used = vertices.join(nodes.select("id").distinct(), "id", "left_semi")
+    return nodes.join(tree_attributes(used), "id").select(*nodes.columns, "json")
+
 
-    The document of all guests under one root is written where their number allows.
+def export_tree(ranked: DataFrame, graph: gr.Graph, releases: DataFrame, out: str, label: str) -> None:
+    """Trees of the best paths of every pair as JSON lines in document order, and the link file.
+
+    A line has the node's number, its parent's, its depth and its attributes; a reader
+    that nests the lines as they come has each guest's document.
     """
     best = cut_lineage(subgraph.select_paths(ranked, "rank_cii", 1))
-    rows = cut_lineage(tree.tree_rows(best))
-    depth = rows.agg(F.max("pos")).first()[0]
-    if depth is not None:
-        on_tree = paths.path_steps(best).select("id").distinct()
-        attributes = tree_attributes(graph.vertices.join(on_tree, "id", "left_semi"))
-        documents = cut_lineage(tree.tree_documents(rows, cut_lineage(attributes), depth, max_children))
-        documents.select(F.col("json").alias("value")).write.mode("overwrite").text(f"{out}/tree_graph_{label}")
-        if documents.count() <= max_children:
-            sinks.write_file(tree.root_document(documents, label), f"{out}/tree_graph_{label}.json", "text")
+    sinks.write_rows(tree.in_document_order(tree_nodes(best, graph.vertices)), f"{out}/tree_graph_{label}", "json")
     used = paths.path_edges(best).select("src", "dst").distinct()
     long = subgraph.with_edge_columns(used, graph.titles.select("src", "dst", F.col("event").alias("id_release")))
-    release_details(long, releases, ["src", "dst"]).write.mode("overwrite").json(
-        f"{out}/tree_graph_links_{label}"
-    )
+    sinks.write_rows(release_details(long, releases, ["src", "dst"]), f"{out}/tree_graph_links_{label}", "json")
 
 
 # ---------------------------------------------------------------- search and update
@@ -502,17 +486,17 @@ def write_candidates(candidates: DataFrame, out: str) -> None:
 
 def selection_to_guests(selection: DataFrame, candidates: DataFrame, out: str) -> None:
     """Guest CSV and the selected-id table for the update."""
-    sinks.write_file(lookup.selection_to_guests(selection, candidates), f"{out}/guests.csv", "csv")
+    sinks.write_rows(lookup.selection_to_guests(selection, candidates), f"{out}/guests", "csv")
     tabbed = lookup.selected_ids(selection).select(
         F.concat_ws("\t", F.col("discogs_id").cast("string"), "musicbrainz_id", "wikidata_id").alias("value")
     )
-    sinks.write_file(tabbed, f"{out}/artists.tsv", "text")
+    sinks.write_rows(tabbed, f"{out}/artists", "text")
 
 
 def check_updates(target: DataFrame, selection: DataFrame, out: str) -> bool:
     """Status CSV; returns whether any selected artist needs an update."""
     checked = cut_lineage(up.check_updates(target, selection))
-    sinks.write_file(checked, f"{out}/update_status.csv", "csv")
+    sinks.write_rows(checked, f"{out}/update_status", "csv")
     return up.any_changed(checked)
 
 
@@ -521,8 +505,8 @@ def update_target(
 ) -> None:
     """Updated table, log and id register (E22). ``out`` must not be where ``target`` is read from."""
     sinks.write_table(up.update_target(target, selection, kb, mb, prefer), f"{out}/dfArtists")
-    sinks.write_file(up.update_log(target, selection), f"{out}/log/log.csv", "csv")
-    sinks.write_file(up.id_register(selection), f"{out}/ids/artists.csv", "csv")
+    sinks.write_rows(up.update_log(target, selection), f"{out}/log/log", "csv")
+    sinks.write_rows(up.id_register(selection), f"{out}/ids/artists", "csv")
 
 
 # ---------------------------------------------------------------- converters

@@ -1,19 +1,10 @@
-"""Writers (K1-K8).
-
-Tables are written by all tasks. A single file is written only for a result
-whose size has been checked; a larger one stays a directory of part files.
-"""
+"""Writers (K1-K8). Every result is written by all tasks, as rows, whatever its size."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from collabnet.operators.graph import Graph
-from collabnet.session import cut_lineage
-
-SINGLE_FILE_ROWS = 1_000_000
-DOCUMENT_ITEMS = 100_000
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -29,86 +20,36 @@ def write_graph(graph: Graph, path: str) -> None:
         write_table(graph.titles, f"{path}/titles")
 
 
-def write_paths(paths: DataFrame, path: str) -> None:
-    """Paths with one directory per ``key``, in one write (K2, K3)."""
-    paths.write.mode("overwrite").partitionBy("key").parquet(path)
+def gathered(df: DataFrame, groups: list[str]) -> DataFrame:
+    """Rows dealt by their group before a write by directories: a small group is one file, a large one is split by size.
 
+    The sizes are those of the shuffle, so groups need not be known beforehand.
+    """
+    return df.hint("rebalance", *groups) if groups else df
 
-def _publish(spark, folder: str, target: str) -> None:
-    """Move the only part file of ``folder`` to ``target``."""
-    jvm = spark._jvm
-    source = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = source.getFileSystem(spark._jsc.hadoopConfiguration())
-    part = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}/part-*"))[0].getPath()
-    goal = jvm.org.apache.hadoop.fs.Path(target)
-    if fs.exists(goal):
-        fs.delete(goal, False)
-    fs.rename(part, goal)
-    fs.delete(source, True)
+
+def write_paths(paths: DataFrame, path: str) -> None:
+    """Paths with one directory per ``key``, in one write (K2, K3)."""
+    gathered(paths, ["key"]).write.mode("overwrite").partitionBy("key").parquet(path)
 
 
-def _write(df: DataFrame, kind: str, folder: str) -> None:
+def write_rows(df: DataFrame, path: str, kind: str) -> None:
+    """JSON lines, CSV with header, or text, one record a row (K4, K5, K8)."""
     writer = df.write.mode("overwrite")
     if kind == "csv":
-        writer.csv(folder, header=True)
+        writer.csv(path, header=True)
     elif kind == "json":
-        writer.json(folder)
+        writer.json(path)
     else:
-        writer.text(folder)
-
-
-def write_file(df: DataFrame, target: str, kind: str, max_rows: int = SINGLE_FILE_ROWS) -> str:
-    """Write one json, csv or text file (K4, K5, K8); returns the path written.
-
-    A result of more than ``max_rows`` rows is left as a directory of part files
-    next to the asked name.
-    """
-    stored = cut_lineage(df)
-    if stored.count() > max_rows:
-        folder = f"{target}.parts"
-        _write(stored, kind, folder)
-        return folder
-    folder = f"{target}.tmp"
-    _write(stored.coalesce(1), kind, folder)
-    _publish(df.sparkSession, folder, target)
-    return target
+        writer.text(path)
 
 
 def write_groups(df: DataFrame, path: str, groups: list[str]) -> None:
     """JSON lines, in one write, with one directory per group value if there are groups."""
-    writer = df.write.mode("overwrite")
+    writer = gathered(df, groups).write.mode("overwrite")
     (writer.partitionBy(*groups) if groups else writer).json(path)
 
 
-def fits_document(items: DataFrame, groups: list[str], max_items: int = DOCUMENT_ITEMS) -> bool:
-    """True if no graph has more than ``max_items`` of these rows."""
-    counts = items.groupBy(*groups).count() if groups else items.groupBy().count()
-    return counts.where(F.col("count") > max_items).isEmpty()
-
-
-def nested(items: DataFrame, keys: list[str], out: str) -> DataFrame:
-    """One row per ``keys`` with the other columns as a sorted list of structs."""
-    fields = [c for c in items.columns if c not in keys]
-    return items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(out))
-
-
-def graph_documents(
-    nodes: DataFrame, links: DataFrame, groups: list[str] = (), max_items: int = DOCUMENT_ITEMS
-) -> DataFrame:
-    """One row per graph with its ``nodes`` (by index) and ``links`` as lists.
-
-    Refuses graphs with more than ``max_items`` nodes or links: those are to be
-    written as rows.
-    """
-    groups = list(groups)
-    for name, items in (("nodes", nodes), ("links", links)):
-        if not fits_document(items, groups, max_items):
-            raise ValueError(f"a graph has more than {max_items} {name}; write the rows instead")
-    if groups:
-        return nested(nodes, groups, "nodes").join(nested(links, groups, "links"), groups, "left")
-    return nested(nodes, [], "nodes").withColumn("links", nested(links, [], "links").scalar())
-
-
 def import_csv(df: DataFrame, path: str) -> None:
     """CSV directory with header for a graph-store import (K6)."""
     df.write.mode("overwrite").csv(path, header=True)

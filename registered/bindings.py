@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from collabnet.operators import paths as sp
 from collabnet.operators.graph import degree, influence, undirected
 from collabnet.operators.pairs import pair_counts, pair_events
 from collabnet.session import cut_lineage
@@ -13,22 +14,6 @@ N_RELEVANTS = 13
 N_CATEGORY_1 = 5
 
 
-_made: dict[tuple, object] = {}
-
-
-def shared(spark: SparkSession, sf: str, name: str, make):
-    """Stored intermediate results that several queries of one application start from."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _made:
-        _made[key] = make()
-    return _made[key]
-
-
-def forget() -> None:
-    """Make the next query compute everything again (used by the benchmark)."""
-    _made.clear()
-
-
 def longs(df: DataFrame, *names: str) -> DataFrame:
     """Cast integer columns to the type SQL counts in."""
     return df.withColumns({n: F.col(n).cast("bigint") for n in names})
@@ -84,7 +69,7 @@ def part_edges(spark: SparkSession, sf: str, min_common: int = 2) -> DataFrame:
     return pair_counts(table(spark, sf, "lineitem"), "l_partkey", "l_orderkey", min_common)
 
 
-def supplier_edges(spark: SparkSession, sf: str, min_common: int = 7) -> DataFrame:
+def supplier_edges(spark: SparkSession, sf: str, min_common: int = 2) -> DataFrame:
     return pair_counts(table(spark, sf, "lineitem"), "l_suppkey", "l_orderkey", min_common)
 
 
@@ -145,3 +130,6 @@ class PartNetwork:
 
     def scores(self) -> DataFrame:
         return cut_lineage(influence(self.edges, self.relevants))
+
+    def dag(self) -> sp.PathDag:
+        return sp.shortest_path_dag(self.links, self.guests, self.relevants)

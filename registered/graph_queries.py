@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 from collabnet.operators import components as cc
 from collabnet.operators import graph as g
 from collabnet.operators import pairs as pr
+from collabnet.operators import pathcounts as pc
 from collabnet.operators import paths as sp
 from collabnet.session import cut_lineage
 from registered import bindings as b
 
 
+INFLUENCE = ["sum_neighbor_degree", "ci", "sum_neighbor_relevance", "cii"]
+
+
 def _line(spark, sf):
     return b.table(spark, sf, "lineitem")
 
@@ -51,12 +55,12 @@ def neighbor_sum(spark, sf):
 
 
 def collective_influence(spark, sf):
-    return g.influence(cut_lineage(b.part_edges(spark, sf, 1)))
+    return b.longs(g.influence(cut_lineage(b.part_edges(spark, sf, 1))), *INFLUENCE[:2])
 
 
 def collective_initialized_influence(spark, sf):
     net = b.PartNetwork(b.part_edges(spark, sf, 2))
-    return g.influence(net.edges, net.relevants)
+    return b.longs(g.influence(net.edges, net.relevants), *INFLUENCE)
 
 
 def undirected_edges(spark, sf):
@@ -97,10 +101,16 @@ def all_shortest_paths(spark, sf):
 
 
 def all_shortest_paths_supplier(spark, sf):
-    net = b.PartNetwork(b.supplier_edges(spark, sf, 7))
+    net = b.PartNetwork(b.supplier_edges(spark, sf, 2))
     return _shown(sp.all_shortest_paths(net.links, net.guests, net.relevants))
 
 
+def path_counts(spark, sf):
+    """Number of shortest paths of every pair, counted on the arcs."""
+    net = b.PartNetwork(b.part_edges(spark, sf, 2))
+    return b.longs(pc.pair_counts(net.dag()), "key", "n_paths")
+
+
 def guests_without_path(spark, sf):
     net = b.PartNetwork(b.part_edges(spark, sf, 2))
     parts = b.table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
@@ -158,6 +168,7 @@ QUERIES = {
     "distance_lists": distance_lists,
     "all_shortest_paths": all_shortest_paths,
     "all_shortest_paths_supplier": all_shortest_paths_supplier,
+    "path_counts": path_counts,
     "guests_without_path": guests_without_path,
 }
 
@@ -201,7 +212,9 @@ select d.id as guest, replace(g.p_name, ' ', '_') as guest_name, d.landmark as r
   cast(dist as bigint) as distance
 from dist d join part g on g.p_partkey = d.id join part r on r.p_partkey = d.landmark""",
     "all_shortest_paths": f"with recursive {E2}, {R}, {paths_sql('edges')} {_PATH_TEXT}",
-    "all_shortest_paths_supplier": f"""with recursive {b.edges_sql('l_suppkey', 7)}, {R}, {paths_sql('edges')} {_PATH_TEXT}""",
+    "all_shortest_paths_supplier": f"""with recursive {b.edges_sql('l_suppkey', 2)}, {R}, {paths_sql('edges')} {_PATH_TEXT}""",
+    "path_counts": f"""with recursive {E2}, {R}, {paths_sql('edges')}
+select guest, relevant, cast(key as bigint) as key, count(*) as n_paths from paths group by all""",
     "guests_without_path": f"""with recursive {E2}, {R}, {levels_sql('edges')}
 select id as guest, -1 as key from edges_deg where id not in (select id from dist)""",
 }

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from collabnet.operators import pairs as pr
+from collabnet.operators import pathcounts as pc
 from collabnet.operators import paths as sp
 from collabnet.operators import ranking as rk
 from collabnet.operators import subgraph as sg
@@ -13,28 +16,42 @@ from collabnet.operators.graph import Graph
 from collabnet.plans import jobs
 from collabnet.session import cut_lineage
 from registered import bindings as b
-from registered.graph_queries import paths_sql
+from registered.graph_queries import INFLUENCE, paths_sql
 
 MAX_RANK = 2
 N_FLAT = 6  # digits kept of float results
 
 
 class Ranked:
-    """The network, its paths between all parts and the relevants, and their ranks."""
+    """The network and the shortest paths between all parts and the relevants, as arcs."""
 
     def __init__(self, edges):
         self.net = b.PartNetwork(edges)
-        self.vertices = self.net.scores()
-        paths = sp.all_shortest_paths(self.net.links, self.net.guests, self.net.relevants)
-        self.paths = cut_lineage(rk.rank_paths(paths, self.vertices))
+        self.dag = self.net.dag()
+
+    @cached_property
+    def vertices(self):
+        return self.net.scores()
+
+    @cached_property
+    def through(self):
+        return cut_lineage(pc.paths_through(self.dag))
 
-    def best(self, rank="rank_cii", max_rank=MAX_RANK):
-        return sg.select_paths(self.paths, rank, max_rank)
+    @cached_property
+    def paths(self):
+        """Every path, with its ranks."""
+        return cut_lineage(rk.rank_paths(self.dag.paths(), self.vertices, self.through))
+
+    def scored(self, max_rank=MAX_RANK):
+        return pc.best_paths(self.dag, self.vertices.select("id", F.col("cii").alias("value")), max_rank)
+
+    def best(self, max_rank=MAX_RANK):
+        """The paths of rank_cii up to ``max_rank``; no others are spelled out."""
+        return self.scored(max_rank).paths()
 
 
 def _parts(spark, sf):
-    """Ranked paths of the part graph, made once per session: the reports share them as stored tables."""
-    return b.shared(spark, sf, "ranked parts", lambda: Ranked(b.part_edges(spark, sf, 2)))
+    return Ranked(b.part_edges(spark, sf, 2))
 
 
 def _path_text():
@@ -42,27 +59,51 @@ def _path_text():
 
 
 def rank_paths(spark, sf):
-    ranked = b.longs(_parts(spark, sf).paths, "key", "cb", "rank_cb", "rank_ci", "rank_cii")
+    ranked = b.longs(_parts(spark, sf).paths, "key", "cb", "sum_CI", "sum_CII", "rank_cb", "rank_ci", "rank_cii")
     return ranked.select(
         "guest", "relevant", "key", _path_text(), "path_count", "cb",
         "sum_CI", "sum_CII", "rank_cb", "rank_ci", "rank_cii",
     )
 
 
-def path_overlap(spark, sf):
+def _scores(spark, sf, *names):
     r = _parts(spark, sf)
-    scored = rk.path_scores(r.paths, r.vertices).drop("sum_CI", "sum_CII")
-    return scored.join(r.paths.select("path_id", "guest", "relevant", "vertices"), "path_id").select(
-        "guest", "relevant", _path_text(), F.col("cb").cast("bigint").alias("cb")
-    )
+    paths = r.dag.paths()
+    scored = rk.path_scores(paths, r.vertices, r.through)
+    named = scored.join(paths.select("path_id", "guest", "relevant", "vertices"), "path_id")
+    return b.longs(named, *names).select("guest", "relevant", _path_text(), *names)
+
+
+def path_overlap(spark, sf):
+    return _scores(spark, sf, "cb")
 
 
 def path_influence(spark, sf):
+    return _scores(spark, sf, "sum_CI", "sum_CII")
+
+
+def paths_through(spark, sf):
+    return b.longs(_parts(spark, sf).through, "n_paths")
+
+
+def score_ranks(spark, sf):
+    """The best distinct scores of every pair and how many paths have them."""
+    return b.longs(_parts(spark, sf).scored().ranks, "rank", "score", "n_paths").drop("dist")
+
+
+def _best(paths):
+    return b.longs(paths, "key", "rank", "score").select("guest", "relevant", "key", _path_text(), "rank", "score")
+
+
+def best_paths(spark, sf):
+    return _best(_parts(spark, sf).best())
+
+
+def best_paths_by_overlap(spark, sf):
+    """The same by ``cb``, whose vertex values belong to the pair."""
     r = _parts(spark, sf)
-    scored = rk.path_scores(r.paths, r.vertices).drop("cb")
-    return scored.join(r.paths.select("path_id", "guest", "relevant", "vertices"), "path_id").select(
-        "guest", "relevant", _path_text(), "sum_CI", "sum_CII"
-    )
+    values = r.through.withColumnRenamed("n_paths", "value")
+    return _best(pc.best_paths(r.dag, values, MAX_RANK, per_pair=True, bare=0).paths())
 
 
 def selected_vertex_ids(spark, sf):
@@ -75,7 +116,7 @@ def selected_release_ids(spark, sf):
 
 
 def path_edges(spark, sf):
-    edges = b.longs(sp.path_edges(_parts(spark, sf).paths), "key", "pos")
+    edges = b.longs(sp.path_edges(_parts(spark, sf).dag.paths()), "key", "pos")
     return edges.select("guest", "relevant", "key", "pos", "src", "dst")
 
 
@@ -83,7 +124,7 @@ def described_paths(spark, sf):
     """Paths with the names of their vertices and the weights of their edges."""
     r = _parts(spark, sf)
     names = b.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_name")
-    wide = sp.described_paths(r.paths, names, r.net.edges)
+    wide = sp.described_paths(r.dag.paths(), names, r.net.edges)
     return wide.select(
         "guest", "relevant", _path_text(), F.array_join(F.col("vertex_rows.p_name"), "-").alias("names"),
         F.array_join(F.col("edge_rows.n_common").cast("array<string>"), "-").alias("weights"),
@@ -99,7 +140,7 @@ def create_graph(spark, sf):
     artists = b.table(spark, sf, "part").select(F.col("p_partkey").alias("discogs_id"), F.col("p_name").alias("name"))
     releases = b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id_release"), F.col("o_orderpriority").alias("title"))
     r = b.relevants(b.part_edges(spark, sf, 1))
-    return jobs.create_graph(artists, relations, releases, r).vertices
+    return b.longs(jobs.create_graph(artists, relations, releases, r).vertices, *INFLUENCE)
 
 
 def compute_paths(spark, sf):
@@ -124,7 +165,8 @@ def rank_links(spark, sf):
 
 
 def path_load(spark, sf):
-    return sg.path_load(_parts(spark, sf).best()).select("id", F.round("bc", N_FLAT).alias("bc"))
+    """Share of the best paths through a vertex, from counts on the arcs."""
+    return _parts(spark, sf).scored().load().select("id", F.round("bc", N_FLAT).alias("bc"))
 
 
 def subgraph_edges(spark, sf):
@@ -141,7 +183,7 @@ def subgraph_degree(spark, sf):
 
 
 def closeness_by_guest(spark, sf):
-    r = Ranked(b.supplier_edges(spark, sf, 7))
+    r = Ranked(b.supplier_edges(spark, sf, 2))
     best = r.best()
     ends = sp.path_steps(best).select("guest", "id").distinct()
     rows = sg.edge_rows(best, r.net.edges, ["guest"])
@@ -170,6 +212,11 @@ def tree_rows(spark, sf):
     return b.longs(tree.tree_rows(_parts(spark, sf).best(max_rank=1)), "pos")
 
 
+def tree_order(spark, sf):
+    """Every node of the guests' nested documents with its number in document order."""
+    return b.longs(tree.tree_order(tree.tree_rows(_parts(spark, sf).best(max_rank=1))), "pos")
+
+
 QUERIES = {
     "rank_paths": rank_paths,
     "path_overlap": path_overlap,
@@ -189,6 +236,11 @@ QUERIES = {
     "nodes_by_relevant": nodes_by_relevant,
     "links_by_relevant": links_by_relevant,
     "tree_rows": tree_rows,
+    "tree_order": tree_order,
+    "paths_through": paths_through,
+    "score_ranks": score_ranks,
+    "best_paths": best_paths,
+    "best_paths_by_overlap": best_paths_by_overlap,
 }
 
 
@@ -261,7 +313,7 @@ w as (select d.*, n_common from d join edges e on e.src = least(d.src, d.dst) an
 select *, round(n_common / (select max(n_common) from w), 4) as weight from w""",
     "subgraph_degree": _RANKED + """, d as (select distinct src, dst, rank, guest from hops)
 select id, 2 * count(*) as degree from (select src as id from d union all select dst from d) group by id""",
-    "closeness_by_guest": ranked_sql("l_suppkey", 7) + """, l as (select distinct guest, src, dst from hops
+    "closeness_by_guest": ranked_sql("l_suppkey", 2) + """, l as (select distinct guest, src, dst from hops
   union select distinct guest, dst, src from hops),
 vs as (select distinct guest, id from steps),
 far as (select guest, id as s, id as v, 0 as d from vs
@@ -283,4 +335,23 @@ join edges e on e.src = least(d.src, d.dst) and e.dst = greatest(d.src, d.dst)""
   from ranked where rank_cii <= 1)
 select distinct a.guest, a.pos, a.id, a.pos = a.n - 1 as is_end, p.id as parent
 from v a join v p on p.pid = a.pid and p.pos = a.pos - 1""",
+    "tree_order": _RANKED + """, v as (select pid, guest, len(vertices) as n, unnest(range(0, len(vertices))) as pos, unnest(vertices) as id
+  from ranked where rank_cii <= 1),
+t as (select distinct a.guest, a.pos, a.id, a.pos = a.n - 1 as is_end, p.id as parent
+  from v a join v p on p.pid = a.pid and p.pos = a.pos - 1),
+occ as (select distinct guest, cast(0 as bigint) as pos, guest as id, false as is_end, cast([] as bigint[]) as place from t
+  union all
+  select o.guest, t.pos, t.id, t.is_end, list_append(o.place, t.id * 2 + cast(t.is_end as bigint))
+  from occ o join t on t.guest = o.guest and t.pos = o.pos + 1 and t.parent = o.id where not o.is_end),
+numbered as (select *, row_number() over (partition by guest order by place) - 1 as preorder from occ)
+select n.guest, n.preorder, p.preorder as parent_preorder, n.pos, n.id, n.is_end,
+  (select count(*) from occ x where x.guest = n.guest and x.place[:len(n.place)] = n.place) as size
+from numbered n left join numbered p on p.guest = n.guest and n.pos > 0 and p.place = n.place[:len(n.place) - 1]""",
+    "paths_through": _RANKED + "select relevant, guest, id, n as n_paths from through",
+    "score_ranks": _RANKED + """select relevant, guest, rank_cii as rank, cast(sum_cii as bigint) as score, count(*) as n_paths
+from best group by all""",
+    "best_paths": _RANKED + f"""select guest, relevant, cast(key as bigint) as key, {_TEXT}, rank, cast(sum_cii as bigint) as score
+from best""",
+    "best_paths_by_overlap": _RANKED + f"""select guest, relevant, cast(key as bigint) as key, {_TEXT}, rank_cb as rank,
+  cast(cb as bigint) as score from ranked where rank_cb <= {MAX_RANK}""",
 }

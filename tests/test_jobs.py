@@ -197,20 +197,19 @@ def _json_lines(path):
 def test_exports(world):
     at, w = world["at"], world
     jobs.export_ids(w["ranked"], w["graph"], 1, at("ids"), "2019")
-    ids = [json.loads(x)["id"] for x in Path(at("ids/vertices_id_list_2019.json")).read_text().splitlines()]
-    assert sorted(ids) == [1, 2, 3, 4]
-    releases = [json.loads(x)["id"] for x in Path(at("ids/edges_id_list_2019.json")).read_text().splitlines()]
-    assert sorted(releases) == [1, 2, 3, 4, 5, 6]
+    assert sorted(x["id"] for x in _json_lines(at("ids/vertices_id_list_2019"))) == [1, 2, 3, 4]
+    assert sorted(x["id"] for x in _json_lines(at("ids/edges_id_list_2019"))) == [1, 2, 3, 4, 5, 6]
 
     jobs.export_graph(w["ranked"], w["graph"], w["guests"], w["relevants"], 2, at("graphs"), "2019")
-    doc = json.loads(Path(at("graphs/ED2019_RANKCII.json")).read_text())
-    assert [n["index"] for n in doc["nodes"]] == [0, 1, 2, 3]
-    assert {n["id"]: n["class"] for n in doc["nodes"]} == {1: "guest", 2: "relevant", 3: "other", 4: "guest"}
-    assert max(x["weight"] for x in doc["links"]) == 1.0
-    assert {r["title"] for x in doc["links"] for r in x["releases"]} == {"T1", "T2", "T3", "T4", "T5", "T6"}
-    one = next(n for n in doc["nodes"] if n["id"] == 1)
-    assert one["mbLink"] == urls.MB_PROFILE + "g1" and one["links1"] and one["cc"] > 0 and one["bc"] > 0
-    assert len(_json_lines(at("graphs/ED2019_RANKCII/nodes"))) == 4
+    base = at("graphs/ED2019_RANKCII")
+    nodes = sorted(_json_lines(f"{base}/nodes"), key=lambda n: n["index"])
+    assert [n["index"] for n in nodes] == [0, 1, 2, 3]
+    assert {n["id"]: n["class"] for n in nodes} == {1: "guest", 2: "relevant", 3: "other", 4: "guest"}
+    assert max(x["weight"] for x in _json_lines(f"{base}/links")) == 1.0
+    assert {x["title"] for x in _json_lines(f"{base}/link_titles")} == {"T1", "T2", "T3", "T4", "T5", "T6"}
+    one = next(n for n in nodes if n["id"] == 1)
+    assert one["mbLink"] == urls.MB_PROFILE + "g1" and one["cc"] > 0 and one["bc"] > 0
+    assert any(x["id"] == 1 and x["rank"] == 1 for x in _json_lines(f"{base}/rank_links"))
 
     jobs.export_graph_by_guest(w["ranked"], w["graph"], w["guests"], w["relevants"], w["releases"], 2, at("by_guest"), "2019")
     nodes = _json_lines(at("by_guest/ED2019_RANKCII_by_guest/nodes/guest=4"))
@@ -220,36 +219,43 @@ def test_exports(world):
     links = _json_lines(at("by_guest/ED2019_RANKCII_by_guest/releases/guest=4"))
     assert {x["title"] for x in links} >= {"T1", "T2", "T3", "T4"} and all(x["country"] == "AR" for x in links)
 
-    (four,) = _json_lines(at("by_guest/ED2019_RANKCII_by_guest/documents/guest=4"))
-    assert {r["title"] for x in four["links"] for r in x["releases_data"]} >= {"T1", "T2", "T3", "T4"}
-
     jobs.export_graph_by_relevant(w["ranked"], w["graph"], w["guests"], w["relevants"], 2, at("by_rel"), "2019")
-    assert len(Path(at("by_rel/relevant_selector.json")).read_text().splitlines()) == 2
-    assert _json_lines(at("by_rel/ED2019_BY_RELEVANT_rank_cii/nodes/relevant=2"))
-    (two,) = _json_lines(at("by_rel/ED2019_BY_RELEVANT_rank_cii/documents/relevant=2"))
-    assert [n["id"] for n in two["nodes"]] == [1, 2, 3, 4] and len(two["links"]) == 3
+    assert len(_json_lines(at("by_rel/relevant_selector"))) == 2
+    two = _json_lines(at("by_rel/ED2019_BY_RELEVANT_rank_cii/nodes/relevant=2"))
+    assert sorted(n["id"] for n in two) == [1, 2, 3, 4]
+    assert len(_json_lines(at("by_rel/ED2019_BY_RELEVANT_rank_cii/links/relevant=2"))) == 3
 
     jobs.export_tree(w["ranked"], w["graph"], w["releases"], at("tree"), "2019")
-    root = json.loads(Path(at("tree/tree_graph_2019.json")).read_text())
-    four = next(c for c in root["children"] if c["discogs_id"] == 4)
-    assert four["children"][0]["discogs_id"] == 3 and four["children"][0]["children"][0]["discogs_id"] == 2
+    lines = _json_lines(at("tree/tree_graph_2019"))
+    assert [(x["guest"], x["preorder"]) for x in lines] == sorted((x["guest"], x["preorder"]) for x in lines)
+    four = [(x["pos"], json.loads(x["json"])["discogs_id"]) for x in lines if x["guest"] == 4]
+    assert four == [(0, 4), (1, 3), (2, 2), (3, 1), (2, 2)] or four == [(0, 4), (1, 3), (2, 2), (2, 2), (3, 1)]
     assert {x["id_release"] for x in _json_lines(at("tree/tree_graph_links_2019"))} == {1, 2, 3, 4, 5, 6}
 
 
-def test_documents_refuse_large_graphs(world, spark):
-    nodes = spark.range(5).withColumnRenamed("id", "index")
-    with pytest.raises(ValueError):
-        sinks.graph_documents(nodes, nodes, max_items=4)
-    doc = sinks.graph_documents(nodes, nodes, max_items=5).first()
-    assert [n["index"] for n in doc.nodes] == [0, 1, 2, 3, 4]
+def test_best_paths_straight_from_the_graph(world):
+    for rank in ("rank_ci", "rank_cii", "rank_cb"):
+        got = jobs.best_paths(world["graph"], world["guests"], world["relevants"], 1, rank=rank)
+        want = world["ranked"].where(F.col(rank) <= 1)
+        assert rows(got, "guest", "relevant", "key", "vertices") == rows(want, "guest", "relevant", "key", "vertices")
 
 
-def test_single_files_fall_back_to_parts(spark, tmp_path):
-    df = spark.range(10)
-    assert sinks.write_file(df, str(tmp_path / "a.csv"), "csv") == str(tmp_path / "a.csv")
-    assert len((tmp_path / "a.csv").read_text().splitlines()) == 11
-    assert sinks.write_file(df, str(tmp_path / "b.csv"), "csv", max_rows=9).endswith(".parts")
-    assert not (tmp_path / "b.csv").exists()
+def test_groups_are_written_as_few_files(spark, tmp_path):
+    """A directory per group, not a file per task and group."""
+    rows_ = spark.range(0, 4000, 1, 16).select((F.col("id") % 20).alias("guest"), F.col("id").alias("x"))
+    sinks.write_groups(rows_, str(tmp_path / "groups"), ["guest"])
+    files_ = [p.parent.name for p in (tmp_path / "groups").rglob("part-*.json")]
+    assert len(files_) == len(set(files_)) == 20
+    sinks.write_paths(rows_.withColumnRenamed("guest", "key"), str(tmp_path / "paths"))
+    assert len(list((tmp_path / "paths").rglob("part-*.parquet"))) == 20
+    assert spark.read.json(str(tmp_path / "groups")).count() == 4000
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
+    try:
+        one = spark.range(0, 20000, 1, 16).select(F.lit(1).alias("guest"), F.xxhash64("id").alias("x"))
+        sinks.write_groups(one, str(tmp_path / "hot"), ["guest"])  # a large group is split
+        assert len(list((tmp_path / "hot").rglob("part-*.json"))) > 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
 
 
 def test_search_select_update(world, spark):
@@ -267,13 +273,13 @@ def test_search_select_update(world, spark):
     selection = files.read_selection(spark, at("selection.tsv"))
     assert rows(selection) == [(1, "g1", "Q1"), (4, None, "Q9")]
     jobs.selection_to_guests(selection, found, at("chosen"))
-    assert sorted(Path(at("chosen/guests.csv")).read_text().split()) == ["1,Ana_Bo", "4,Gil_Ho", "id,name"]
-    assert "4\tno info\tQ9" in Path(at("chosen/artists.tsv")).read_text()
+    assert rows(spark.read.csv(at("chosen/guests"), header=True)) == [("1", "Ana_Bo"), ("4", "Gil_Ho")]
+    assert ("4\tno info\tQ9",) in rows(spark.read.text(at("chosen/artists")))
     assert jobs.check_updates(world["unified"], selection, at("status"))
     jobs.update_target(world["unified"], selection, kb, mb, at("updated"))
     after = {r.discogs_id: r.wikidata_id for r in spark.read.parquet(at("updated/dfArtists")).collect()}
     assert after[4] == "Q9" and after[1] == "Q1" and len(after) == world["unified"].count()
-    assert "ADDED" in Path(at("updated/log/log.csv")).read_text()
+    assert "ADDED" in [r.wkID_STATUS for r in spark.read.csv(at("updated/log/log"), header=True).collect()]
 
 
 def test_import_csv(world, spark):

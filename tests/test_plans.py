@@ -23,7 +23,6 @@ SMALL = "/root/testdata/sf0.001"
 CORE = [graph_queries, credit_queries, resolve_queries, path_queries, function_queries]
 QUERIES = {name: fn for module in CORE for name, fn in module.QUERIES.items()}
 SQL = {name: sql for module in CORE for name, sql in module.SQL.items()}
-NEEDS_PYTHON = {"name_search", "selection_to_guests"}  # accents (F1)
 
 
 @pytest.fixture(scope="module")
@@ -36,15 +35,22 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) & set(SQL)))
 def test_query_keeps_the_rules_and_equals_its_sql(spark, duck, name):
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
     df = QUERIES[name](spark, SMALL)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert ("Python" in plan) == (name in NEEDS_PYTHON)
+    got = df.collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    ran = store.executionsList(int(before), 1_000)
+    plans = [ran.apply(i).physicalPlanDescription() for i in range(ran.size())]
+    assert plans
+    for plan in plans:  # of every job on the way, not only what follows the last stored table
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+        assert "Python" not in plan and "Arrow" not in plan
     assert len(df.columns) == len(set(df.columns))
     cur = duck.execute(SQL[name])
     columns, want = [d[0] for d in cur.description], cur.fetchall()
     assert sorted(columns) == sorted(df.columns)
-    assert check.rows(df.columns, df.collect()) == check.rows(columns, want)
+    assert check.rows(df.columns, got) == check.rows(columns, want)
 
 
 def test_entry_has_rows(spark):
