@@ -31,7 +31,7 @@ from collabnet.session import stored, union_all
 
 K = 50
 BLOCK_DOCS = 4096
-BLOCK_TERMS = 400_000  # entries of (document, term)
+BLOCK_TERMS = 100_000  # entries of (document, term)
 ROOM = 4  # coordinates of a fold for each distinct term of a document, at least
 LEAST = 64  # coordinates of a fold
 FOLDS = 3  # a term counts at most the least of its maxima
@@ -237,7 +237,7 @@ class Block:
             docs = np.flatnonzero(widths == width)
             folded = np.stack([sketches[ends[d] - FOLDS * width : ends[d]] for d in docs]).astype(np.int64)
             most = np.where(folded == 255, SCALE // MILLI, impacts(folded, self.norms[docs, None]))
-            self.maxima.append((docs, width, np.ascontiguousarray(most.T.astype(np.float64)).reshape(FOLDS, width, -1)))
+            self.maxima.append((docs, width, np.ascontiguousarray(most.T.astype(np.float32)).reshape(FOLDS, width, -1)))
 
     def bounds(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """What no document's score passes."""
@@ -246,7 +246,7 @@ class Block:
             least = most[0][coordinates(terms, width, 0)]
             for fold in range(1, FOLDS):
                 np.minimum(least, most[fold][coordinates(terms, width, fold)], out=least)
-            out[docs] = weights @ least
+            out[docs] = weights @ least.astype(np.float64)  # impacts are whole and below 2^24
         return out
 
     def scores(self, docs: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
