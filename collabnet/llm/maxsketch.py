@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from collabnet.session import stored, union_all
 
 K = 50
-BLOCK_DOCS = 4096
-BLOCK_TERMS = 100_000  # entries of (document, term)
+BLOCK_DOCS = 1024
+BLOCK_TERMS = 20_000  # entries of (document, term) of a row of the index: small rows spare the JVM huge arrays
+SEARCHED = 5  # rows of the index searched together
 ROOM = 4  # coordinates of a fold for each distinct term of a document, at least
 LEAST = 64  # coordinates of a fold
 FOLDS = 3  # a term counts at most the least of its maxima
@@ -46,6 +47,8 @@ _REMEMBERED = 200_000
 _TERM_BYTES = bytes([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
 _FOLD = bytes((b + 32 if 0x41 <= b <= 0x5A else b) if b in _TERM_BYTES else 0x20 for b in range(256))
 
+CODEC = "zstd"  # of occurrences and sketches, which are mostly ones and zeros
+
 INDEX = "ids binary, sizes binary, starts binary, terms binary, tfs binary, widths binary, sketches binary"
 
 
@@ -102,11 +105,11 @@ def build(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
             np.array([tfs.sum() for _, _, tfs in held], "<i8"),
             np.cumsum([0, *[len(terms) for _, terms, _ in held]]).astype("<i8"),
             np.concatenate([terms for _, terms, _ in held]).astype("<u8"),
-            np.concatenate([tfs for _, _, tfs in held]).astype("<u4"),
+            pa.compress(np.concatenate([tfs for _, _, tfs in held]).astype("<u4").tobytes(), CODEC, asbytes=True),
             np.array([s.shape[1] for s in sketches], "<i8"),
-            np.concatenate([s.ravel() for s in sketches]),
+            pa.compress(np.concatenate([s.ravel() for s in sketches]).tobytes(), CODEC, asbytes=True),
         )
-        return pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([p if isinstance(p, bytes) else p.tobytes()], pa.binary()) for p in parts], names=names)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, hashes = [], 0, _TermHashes()
@@ -224,20 +227,40 @@ class _Best:
             self.least = int(self.scores[-1])
 
 
+def unpacked(batch: pa.RecordBatch, row: int) -> list[np.ndarray]:
+    """ids, sizes, starts, terms, tfs, widths and sketches of a row of the index."""
+    ids, sizes, starts, terms = _arrays(batch, row, "<i8", "<i8", "<i8", "<u8")
+    widths = np.frombuffer(batch.column(5)[row].as_py(), "<i8")
+    raw = lambda column, size: pa.decompress(batch.column(column)[row].as_py(), size, CODEC, asbytes=True)
+    tfs = np.frombuffer(raw(4, 4 * int(starts[-1])), "<u4")
+    return [ids, sizes, starts, terms, tfs, widths, np.frombuffer(raw(6, FOLDS * int(widths.sum())), np.uint8)]
+
+
+def joined(rows: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Several rows as one."""
+    columns = list(zip(*rows, strict=True))
+    ends = np.cumsum([0, *[starts[-1] for starts in columns[2]]])
+    starts = np.concatenate([[0], *[s[1:] + at for s, at in zip(columns[2], ends, strict=False)]])
+    return [starts if i == 2 else np.concatenate(c) for i, c in enumerate(columns)]
+
+
 class Block:
-    """A row of the index, ready to be searched."""
+    """Rows of the index, ready to be searched."""
 
     def __init__(self, arrays: list[np.ndarray], n: int, total: int):
         self.ids, sizes, self.starts, self.terms, self.tfs, widths, sketches = arrays
         self.norms = length_norms(sizes, n, total)
+        occurrences = np.arange(256)
         ends = FOLDS * np.cumsum(widths)
         #: By sketch width: the documents and, for each fold, a row per coordinate with the largest impacts.
         self.maxima = []
         for width in np.unique(widths).tolist():
             docs = np.flatnonzero(widths == width)
-            folded = np.stack([sketches[ends[d] - FOLDS * width : ends[d]] for d in docs]).astype(np.int64)
-            most = np.where(folded == 255, SCALE // MILLI, impacts(folded, self.norms[docs, None]))
-            self.maxima.append((docs, width, np.ascontiguousarray(most.T.astype(np.float32)).reshape(FOLDS, width, -1)))
+            most = np.empty((len(docs), FOLDS * width), np.float32)
+            for row, d in zip(most, docs, strict=True):
+                by_number = np.where(occurrences == 255, SCALE // MILLI, impacts(occurrences, self.norms[d]))
+                row[:] = by_number[sketches[ends[d] - FOLDS * width : ends[d]]]
+            self.maxima.append((docs, width, np.ascontiguousarray(most.T).reshape(FOLDS, width, -1)))
 
     def bounds(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """What no document's score passes."""
@@ -308,8 +331,9 @@ def _search_block(spark: SparkSession, index: DataFrame, block: Queries, n: int,
         asked = [(q.terms[at], q.weights[at]) for at in asked]
         best = [_Best(k) for _ in q.ids]
         for batch in batches:
-            for i in range(batch.num_rows):
-                here = Block(_arrays(batch, i, "<i8", "<i8", "<i8", "<u8", "<u4", "<i8", "u1"), n, total)
+            for i in range(0, batch.num_rows, SEARCHED):
+                rows = [unpacked(batch, j) for j in range(i, min(i + SEARCHED, batch.num_rows))]
+                here = Block(joined(rows), n, total)
                 for kept, (terms, weights) in zip(best, asked, strict=True):
                     here.search(kept, terms, weights)
         columns = [np.repeat(q.ids, [len(b.ids) for b in best]), np.concatenate([b.ids for b in best]), np.concatenate([b.scores for b in best])]

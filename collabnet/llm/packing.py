@@ -25,6 +25,7 @@ from collabnet.session import stored
 CAPACITY = 2048
 END = 0
 BATCH_BYTES = 8 << 20
+TEXTS_BYTES = 1 << 20  # of texts encoded together
 MIN_BUCKETS = 64
 
 
@@ -44,11 +45,22 @@ def pieces(
     )
     last = end.to_bytes(4, "little")
 
+    def together(batch: pa.RecordBatch) -> Iterator[tuple[object, bytes]]:
+        docs, texts, held = [], [], 0
+        for doc, content in zip(batch.column(0), batch.column(1), strict=True):
+            docs.append(doc)
+            texts.append(content.as_py())
+            held += len(texts[-1] or "")
+            if held >= TEXTS_BYTES:
+                yield from zip(docs, words.packed_batch(path, texts), strict=True)
+                docs, texts, held = [], [], 0
+        yield from zip(docs, words.packed_batch(path, texts), strict=True)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, held = [], 0
-            for doc, content in zip(batch.column(0), batch.column(1), strict=True):
-                ids = words.packed_ids(path, content.as_py()) + last
+            for doc, found in together(batch):
+                ids = found + last
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc.as_py(), k, at // 4, len(part) // 4, part))
@@ -178,8 +190,14 @@ def place(parts: DataFrame, capacity: int = CAPACITY, id: str = "doc_id") -> Dat
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pieces of all documents with their ids and their place in a sequence."""
-    return place(pieces(docs, path, capacity, END, id, text), capacity, id)
+    """Pieces of all documents with their ids and their place in a sequence.
+
+    The plan is made on a number for each piece and its length; ids are stored once and
+    meet their place at the end.
+    """
+    parts = stored(pieces(docs, path, capacity, END, id, text).withColumn("row_key", F.monotonically_increasing_id()))
+    placed = place(parts.select("row_key", id, "piece", "length"), capacity, id)
+    return parts.join(placed.select("row_key", "sequence_id", "offset"), "row_key").drop("row_key")
 
 
 def sequences(placed: DataFrame) -> DataFrame:

@@ -29,6 +29,9 @@ def test_chunks_give_the_tokenizer_s_ids(path):
     want = plain_ids(path, texts)
     assert list(words.count_ids(path, texts)) == [len(x) for x in want]
     assert [np.frombuffer(words.packed_ids(path, t), "<u4").tolist() for t in texts] == want
+    words._packed.cache_clear()
+    assert [np.frombuffer(x, "<u4").tolist() for at in range(0, 3000, 500) for x in words.packed_batch(path, texts[at : at + 500])] == want
+    assert words.packed_batch(path, []) == [] and words.packed_batch(path, [None, ""]) == [b"", b""]
 
 
 def test_token_counts_and_their_cache(spark, odd_docs, no_docs, tmp_path):

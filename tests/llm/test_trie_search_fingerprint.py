@@ -196,6 +196,13 @@ def test_bounds_hold_and_prune():
         np.concatenate([c for *_, c in held]).astype("<u4"), np.array([s.shape[1] for s in sketches]), np.concatenate([s.ravel() for s in sketches]),
     ]
     block = maxsketch.Block(arrays, 300, int(arrays[1].sum()))
+    halves = []
+    for part in (slice(0, 100), slice(100, 300)):
+        starts = arrays[2][part.start : part.stop + 1]
+        at = slice(starts[0], starts[-1])
+        made = np.concatenate([s.ravel() for s in sketches[part]])
+        halves.append([arrays[0][part], arrays[1][part], starts - starts[0], arrays[3][at], arrays[4][at], arrays[5][part], made])
+    assert all((a == b).all() for a, b in zip(maxsketch.joined(halves), arrays, strict=True))
     exact_at = 0
     for _ in range(50):
         terms = np.sort(rng.choice(vocabulary, 12, replace=False))
