@@ -36,16 +36,18 @@ FIELDS = ("item_row", "item_start", "doc_start", "doc_stop", "edits")
 
 _NOT_WORD = re.compile(r"[\W_]+")
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-_ASCII = bytes(i if chr(i).isalnum() and i < 128 else 32 for i in range(256))
+_LATIN = bytes(i if chr(i).isalnum() else 32 for i in range(256))
+_CELLS = 1 << 12  # of the count by item and diagonal
 
 
 def fold(text: str | None) -> np.ndarray:
     """Code points of the text's lower-case letters and digits, one space between words."""
     text = (text or "").lower()
-    if text.isascii():
-        plain = b" ".join(text.encode().translate(_ASCII).split())
-        return np.frombuffer(plain, np.uint8).astype(np.uint32)
-    return np.frombuffer(_NOT_WORD.sub(" ", text).strip().encode("utf-32-le", "replace"), np.uint32)
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return np.frombuffer(_NOT_WORD.sub(" ", text).strip().encode("utf-32-le", "replace"), np.uint32)
+    return np.frombuffer(b" ".join(raw.translate(_LATIN).split()), np.uint8).astype(np.uint32)
 
 
 def grams(points: np.ndarray) -> np.ndarray:
@@ -123,6 +125,37 @@ def align(pattern: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[i
     return int(cost[end]), int(start[end]), int(diagonals[end] + len(pattern))
 
 
+def least_edits(pattern: np.ndarray, text: np.ndarray) -> int:
+    """Edits between ``pattern`` and the part of ``text`` nearest to it, a column of the table per machine operation.
+
+    Myers (1999): the differences down a column are two bit vectors.
+    """
+    rows: dict[int, int] = {}
+    for i, c in enumerate(pattern.tolist()):
+        rows[c] = rows.get(c, 0) | 1 << i
+    last, every = 1 << (len(pattern) - 1), (1 << len(pattern)) - 1
+    up, down, score = every, 0, len(pattern)
+    best = score
+    for c in text.tolist():
+        same = rows.get(c, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        more, less = down | (every & ~(diagonal | up)), diagonal & up
+        score += bool(more & last) - bool(less & last)
+        best = min(best, score)
+        more, less = more << 1, less << 1
+        up, down = every & (less | ~(diagonal | more)), more & diagonal & every
+    return best
+
+
+def verbatim(pattern: np.ndarray, text: np.ndarray, low: int, high: int) -> int | None:
+    """The lowest diagonal on which ``pattern`` stands in ``text`` as it is."""
+    first, last = max(low, 0), min(high, len(text) - len(pattern))
+    if first > last:
+        return None
+    stands = (np.lib.stride_tricks.sliding_window_view(text, len(pattern))[first : last + 1] == pattern).all(axis=1)
+    return first + int(stands.argmax()) if stands.any() else None
+
+
 def matches(text: str | None, known: Index) -> list[tuple[int, int, int, int, int]]:
     """For each item with a window in the text: item, its place, the text's part, edits; places are in folded text."""
     points = fold(text)
@@ -136,8 +169,15 @@ def matches(text: str | None, known: Index) -> list[tuple[int, int, int, int, in
         return []
     entry = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
     item, place, spot = known.items[entry], known.places[entry], np.repeat(at, n)
-    half = known.budgets[item] + 1
-    band = (spot - place) // half
+    band = (spot - place) // (known.budgets[item] + 1)
+    # a band holds the hits that begin in it or in the next; too few in both, with whatever falls into the same cells, are left out
+    cell = (item * 61 + band) % _CELLS
+    count = np.bincount(cell, minlength=_CELLS)
+    least = known.bounds[item]
+    enough = count[cell] + np.maximum(count[cell - 1], count[(cell + 1) % _CELLS]) >= least
+    if not enough.any():
+        return []
+    item, place, band = item[enough], place[enough], band[enough]
     # a hit lies in two bands, the one it begins and the one before
     key = np.concatenate([item, item]) * (1 << 40) + np.concatenate([band, band - 1]) + (1 << 39)
     hit = np.concatenate([np.arange(len(item))] * 2)
@@ -181,7 +221,13 @@ def _verify(
         if not len(part):
             continue
         shift = at + lowest - begin
-        cost, a, b = align(pattern[at : at + size], part, shift - edits, shift + span + edits)
+        window, low, high = pattern[at : at + size], shift - edits, shift + span + edits
+        copy = verbatim(window, part, low, high)
+        if copy is not None:
+            return at, begin + copy, begin + copy + size, 0
+        if least_edits(window, part) > edits:  # nor then within the band
+            continue
+        cost, a, b = align(window, part, low, high)
         if cost <= edits:
             return at, begin + max(a, 0), begin + b, cost
     return None

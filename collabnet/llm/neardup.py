@@ -5,15 +5,17 @@ that agree in a band of their signatures are candidates. A pair's signatures are
 compared batch by batch; it is given up once the posterior probability that it is
 similar enough falls below ``miss``. What survives is confirmed on the full sets.
 
-A bucket is not expanded into its pairs: its members are compared with its best
-connected member first, and after that only across the components that a bucket still
-holds apart.
+A bucket is not expanded into its pairs. First its members are compared with its best
+connected member: they stream past it in cells of bounded size, and its signature and
+set are sent once to each cell. The members that a bucket still holds in different
+components are then compared block by block, in place, each pair in the first bucket
+it shares; what survives there is confirmed in falling order of agreement, and not at
+all once the block has linked the two components.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
 from math import comb
@@ -21,7 +23,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +36,9 @@ HASHES = 128
 BANDS = 32
 BATCH = 32
 MISS = 1e-9
+CELL = 4096  # members compared with one centre in one place
+BLOCK = 512  # members of a bucket compared with each other in one place
+ROWS = 64  # of a block at a time
 _CHUNK = 4096
 _REMEMBERED = 300_000
 
@@ -56,16 +61,14 @@ class _WordHashes(dict):
         return made
 
 
-_word_hashes = _WordHashes()
-
-
-def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
+def shingle_hashes(words: list[bytes], k: int, hashes: dict[bytes, int] | None = None) -> np.ndarray:
     """Distinct 64-bit hashes of the runs of ``k`` words; fewer words are one run, none give none."""
+    hashes = _WordHashes() if hashes is None else hashes
     if not words:
         return np.empty(0, np.uint64)
     if len(words) < k:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), len(words))], np.uint64)
-    each = np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
+    each = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     n = len(words) - k + 1
     runs = np.zeros(n, np.uint64)
     for i in range(k):
@@ -89,23 +92,17 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return low.astype("<u4")
 
 
-def shingle_set(text: str | None, k: int) -> set[tuple[bytes, ...]]:
-    words = words_of(text)
-    if len(words) < k:
-        return {tuple(words)} if words else set()
-    return set(zip(*(words[i:] for i in range(k)), strict=False))
-
-
 def signatures(docs: DataFrame, k: int, id: str, text: str) -> DataFrame:
     """(id, version, n_shingles, class, sig); class names the shingle set, null for an empty one."""
     schema = T.StructType([T.StructField("id", docs.schema[id].dataType)]).add("version", T.LongType())
     schema = schema.add("n_shingles", T.LongType()).add("class", T.BinaryType()).add("sig", T.BinaryType())
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
         for batch in batches:
             sizes, classes, sigs = [], [], []
             for content in batch.column(2):
-                found = shingle_hashes(words_of(content.as_py()), k)
+                found = shingle_hashes(words_of(content.as_py()), k, hashes)
                 sizes.append(len(found))
                 classes.append(class_name(found))
                 sigs.append(signature(found).tobytes() if len(found) else None)
@@ -116,12 +113,12 @@ def signatures(docs: DataFrame, k: int, id: str, text: str) -> DataFrame:
 
 
 def band_keys(classes: DataFrame) -> DataFrame:
-    """(class, key): one row per band; the key is the hash of the band's number and its values."""
+    """(class, band, key): one row per band; the key is the hash of the band's number and its values."""
     width = 4 * HASHES // BANDS
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
     banded = classes.select("class", "sig", band)
     values = F.substring("sig", F.col("band") * width + 1, F.lit(width))
-    return banded.select("class", F.xxhash64("band", values).alias("key"))
+    return banded.select("class", "band", F.xxhash64("band", values).alias("key"))
 
 
 @lru_cache(maxsize=16)
@@ -141,104 +138,196 @@ def least_matches(percent: int, miss: float) -> list[int]:
     return table
 
 
-def survivors(pairs: DataFrame, sigs: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Pairs (a, b) whose signatures do not rule them out."""
+def _signed(sig: bytes) -> np.ndarray:
+    return np.frombuffer(sig, "<u4")
+
+
+def agreeing(left: np.ndarray, right: np.ndarray, table: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (row of ``left``, row of ``right``) whose signatures do not rule them out, and their matches."""
+    first = (left[:, None, :BATCH] == right[None, :, :BATCH]).sum(axis=2)
+    x, y = np.nonzero(first >= table[BATCH])
+    matches = first[x, y]
+    for n in range(2 * BATCH, HASHES + 1, BATCH):
+        seen = slice(n - BATCH, n)
+        matches = matches + (left[x, seen] == right[y, seen]).sum(axis=1)
+        alive = matches >= table[n]
+        x, y, matches = x[alive], y[alive], matches[alive]
+    return x, y, matches
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Are two sorted sets similar enough."""
+    if len(a) > len(b):
+        a, b = b, a
+    if 100 * len(a) < percent * len(b):
+        return False
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    shared = int((b[at] == a).sum())
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
+def star_links(pairs: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Of the pairs (centre, class), those (src, dst) that are similar enough.
+
+    The members of a centre are dealt to cells; in each, the centre's row comes first
+    and the members pass one by one.
+    """
     table = least_matches(percent, miss)
+    cells = pairs.groupBy("centre").agg(F.ceil(F.count("*") / F.lit(CELL)).cast("int").alias("cells"))
+    cell = F.pmod(F.xxhash64("class"), F.col("cells")).cast("int").alias("cell")
+    members = pairs.join(cells, "centre").join(sets, "class").select("centre", cell, "class", "sig", "hashes")
+    centres = cells.join(sets.withColumnRenamed("class", "centre"), "centre").select(
+        "centre", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(None).cast("binary").alias("class"), "sig", "hashes"
+    )
 
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sig, own = None, None, None
         for batch in batches:
-            left, right = (
-                np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, HASHES) for i in (2, 3)
-            )
-            alive, matches = np.arange(len(left)), np.zeros(len(left), np.int64)
-            for n in range(BATCH, HASHES + 1, BATCH):
-                seen = slice(n - BATCH, n)
-                matches[alive] += (left[alive, seen] == right[alive, seen]).sum(axis=1)
-                alive = alive[matches[alive] >= table[n]]
-            yield batch.select([0, 1]).take(pa.array(alive))
-
-    both = (
-        pairs.join(sigs.select(F.col("class").alias("a"), F.col("sig").alias("sig_a")), "a")
-        .join(sigs.select(F.col("class").alias("b"), F.col("sig").alias("sig_b")), "b")
-        .select("a", "b", "sig_a", "sig_b")
-    )
-    return both.mapInArrow(prune, "a binary, b binary")
+            names, members, signs, hashes = (batch.column(i) for i in (0, 2, 3, 4))
+            linked = []
+            for i in range(batch.num_rows):
+                if not members[i].is_valid:
+                    at, sig, own = names[i].as_py(), _signed(signs[i].as_py()), np.frombuffer(hashes[i].as_py(), np.uint64)
+                elif len(agreeing(sig[None], _signed(signs[i].as_py())[None], table)[0]):
+                    if similar(own, np.frombuffer(hashes[i].as_py(), np.uint64), percent):
+                        linked.append((at, members[i].as_py()))
+            yield _pairs(linked)
 
+    dealt = members.unionByName(centres).repartition("centre", "cell").sortWithinPartitions("centre", "cell", "class")
+    return dealt.mapInArrow(compare, "src binary, dst binary")
 
-def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (src, dst) that are similar enough on their full shingle sets."""
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: OrderedDict[bytes, set] = OrderedDict()
+def _pairs(linked: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    columns = [pa.array([x[i] for x in linked], pa.binary()) for i in (0, 1)]
+    return pa.RecordBatch.from_arrays(columns, names=["src", "dst"])
 
-        def known(name: bytes, text: str) -> set:
-            if name not in recent:
-                recent[name] = shingle_set(text, k)
-                if len(recent) > 8:
-                    recent.popitem(last=False)
-            return recent[name]
 
-        for batch in batches:
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list[dict]]]:
+    """Rows of one value of the first column after the other, as they come sorted."""
+    name, held = None, []
+    for batch in batches:
+        column = batch.schema.names[0]
+        for row in batch.to_pylist():
+            if held and row[column] != name:
+                yield name, held
+                held = []
+            name = row[column]
+            held.append(row)
+    if held:
+        yield name, held
+
+
+def _found(root: dict[bytes, bytes], x: bytes) -> bytes:
+    while root.setdefault(x, x) != x:
+        root[x] = root[root[x]]
+        x = root[x]
+    return x
+
+
+def open_links(apart: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Links (src, dst) between the components that buckets (key, band, class, root) hold apart.
+
+    A bucket is cut into blocks of ``BLOCK`` members, and a unit is a pair of blocks.
+    """
+    table, width = least_matches(percent, miss), HASHES // BANDS
+    blocks = apart.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("own")
+    placed = apart.join(blocks, "key").select("key", "band", "class", "root", "blocks", own)
+    units = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda other: F.struct(F.least("own", other).alias("low"), F.greatest("own", other).alias("high")),
+    )
+    each = placed.select("key", "band", "class", "root", "own", F.explode(units).alias("unit"))
+    unit = F.xxhash64("key", "unit.low", "unit.high").alias("unit")
+    crosses = (F.col("unit.low") != F.col("unit.high")).alias("crosses")
+    rows = each.select(unit, crosses, "band", "own", "class", "root").join(sets.select("class", "sig"), "class")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, rows in _grouped(batches):
+            sigs = np.frombuffer(b"".join(r["sig"] for r in rows), "<u4").reshape(-1, HASHES)
+            root = np.unique([r["root"] for r in rows], return_inverse=True)[1]
+            own = np.array([r["own"] for r in rows])
+            band = rows[0]["band"]
+            for at in range(0, len(rows), ROWS):
+                x, y, matches = agreeing(sigs[at : at + ROWS], sigs, table)
+                x = x + at
+                kept = (x < y) & (root[x] != root[y])
+                if rows[0]["crosses"]:
+                    kept &= own[x] != own[y]
+                x, y, matches = x[kept], y[kept], matches[kept]
+                shared = (sigs[x] == sigs[y]).reshape(-1, BANDS, width).all(axis=2)
+                first = shared.argmax(axis=1) == band if len(x) else np.empty(0, bool)
+                x, y, matches = x[first], y[first], matches[first]
+                if len(x):
+                    columns = [np.full(len(x), name), [rows[i]["class"] for i in x], [rows[i]["class"] for i in y], [rows[i]["root"] for i in x], [rows[i]["root"] for i in y], matches]
+                    types = (pa.int64(), *[pa.binary()] * 4, pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["unit", "a", "b", "root_a", "root_b", "matches"])
+
+    dealt = rows.select("unit", "crosses", "band", "own", "class", "root", "sig").repartition("unit").sortWithinPartitions("unit")
+    alive = stored(dealt.mapInArrow(compare, "unit bigint, a binary, b binary, root_a binary, root_b binary, matches bigint"))
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _grouped(batches):
+            known = {r["a"]: np.frombuffer(r["hashes"], np.uint64) for r in rows if r["hashes"] is not None}
+            root: dict[bytes, bytes] = {}
             linked = []
-            for i, (a, b, text_a, text_b) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
-                x, y = known(a, text_a), known(b, text_b)
-                shared = len(x & y)
-                if 100 * shared >= percent * (len(x) + len(y) - shared):
-                    linked.append(i)
-            yield batch.select([0, 1]).take(pa.array(linked, pa.int64())).rename_columns(["src", "dst"])
-
-    both = (
-        pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
-        .join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
-        .select("a", "b", "text_a", "text_b")
+            for r in rows:
+                if r["hashes"] is None:
+                    x, y = _found(root, r["root_a"]), _found(root, r["root_b"])
+                    if x != y and similar(known[r["a"]], known[r["b"]], percent):
+                        root[x] = y
+                        linked.append((r["a"], r["b"]))
+            if linked:
+                yield _pairs(linked)
+
+    ends = alive.select("unit", F.explode(F.array("a", "b")).alias("class")).distinct()
+    none = F.lit(None).cast("binary")
+    given = ends.join(sets.select("class", "hashes"), "class").select(
+        "unit", F.col("class").alias("a"), none.alias("b"), none.alias("root_a"), none.alias("root_b"), F.lit(HASHES + 1).cast("bigint").alias("matches"), "hashes"
     )
+    both = given.unionByName(alive.withColumn("hashes", none)).repartition("unit").sortWithinPartitions("unit", F.desc("matches"))
     return both.mapInArrow(confirm, "src binary, dst binary")
 
 
-def _ordered(left: str, right: str) -> list[Column]:
-    return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
-
-
 def links(signed: DataFrame, docs: DataFrame, k: int, percent: int, miss: float, id: str, text: str) -> DataFrame:
     """(class, root): the classes that share a bucket with another, by component."""
     classes = signed.groupBy("class").agg(F.first("sig").alias("sig"), F.min("id").alias("id"))
     banded = band_keys(classes)
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    crowded = stored(banded.join(shared, "key"))
-    crowd = crowded.groupBy("class").agg(F.sum("n").alias("crowd"))
-    sigs = stored(classes.join(crowd, "class"))
-    members = stored(crowded.select("class", "key").join(sigs.select("class", "crowd"), "class"))
-    texts = stored(_texts(docs, sigs, k, id, text))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        return stored(confirmed(survivors(pairs.distinct(), sigs, percent, miss), texts, k, percent))
+    members = stored(banded.join(shared, "key"))
+    crowd = members.groupBy("class").agg(F.sum("n").alias("crowd"))
+    sets = stored(_sets(docs, classes.join(crowd, "class"), k, id, text))
 
     def rooted(edges: DataFrame) -> DataFrame:
-        found = connected_components(edges, members.select(F.col("class").alias("id")).distinct())
+        found = connected_components(edges, sets.select(F.col("class").alias("id")))
         return stored(found.select(F.col("id").alias("class"), F.col("component").alias("root")))
 
-    centres = members.groupBy("key").agg(F.max(F.struct("crowd", "class"))["class"].alias("centre"))
-    star = members.join(centres, "key").where(F.col("class") != F.col("centre"))
-    edges = verified(star.select(*_ordered("class", "centre")))
-    apart = _apart(members, rooted(edges))
-    left = apart.select("key", F.col("class").alias("l"), F.col("root").alias("l_root"))
-    right = apart.select("key", F.col("class").alias("r"), F.col("root").alias("r_root"))
-    across = left.join(right, "key").where(F.col("l_root") < F.col("r_root"))
-    return rooted(edges.unionByName(verified(across.select(*_ordered("l", "r")))))
+    known = members.select("key", "band", "class").join(sets.select("class", "crowd"), "class")
+    centres = known.groupBy("key").agg(F.max(F.struct("crowd", "class"))["class"].alias("centre"))
+    star = known.join(centres, "key").where(F.col("class") != F.col("centre")).select("centre", "class").distinct()
+    edges = stored(star_links(star, sets, percent, miss))
+    apart = _apart(known.select("key", "band", "class"), rooted(edges))
+    return rooted(edges.unionByName(open_links(apart, sets, percent, miss)))
 
 
-def _texts(docs: DataFrame, sigs: DataFrame, k: int, id: str, text: str) -> DataFrame:
-    """(class, text): one text of each class in ``sigs``; rows that share an id are told apart by their class."""
-    wanted = sigs.select(F.col("id").alias("of")).distinct()
-    rows = docs.select(F.col(id).alias("of"), F.col(text).alias("text")).join(wanted, "of", "left_semi")
+def _sets(docs: DataFrame, classes: DataFrame, k: int, id: str, text: str) -> DataFrame:
+    """(class, sig, crowd, hashes): the shingle set of each class, from the row with its smallest id.
+
+    Rows that share an id are told apart by their class.
+    """
+    wanted = stored(classes.select("class", "sig", "crowd", "id"))
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(wanted.select("id").distinct(), "id", "left_semi")
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _WordHashes()
         for batch in batches:
-            names = [class_name(shingle_hashes(words_of(x.as_py()), k)) for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), batch.column(0)], names=["class", "text"])
+            for start in range(0, batch.num_rows, 256):
+                found = [shingle_hashes(words_of(x.as_py()), k, words) for x in batch.column(0).slice(start, 256)]
+                columns = [pa.array([class_name(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["class", "hashes"])
 
-    named = rows.select("text").mapInArrow(name, "class binary, text string")
-    return named.join(sigs.select("class"), "class", "left_semi").groupBy("class").agg(F.first("text").alias("text"))
+    hashed = rows.select("text").mapInArrow(shingle, "class binary, hashes binary")
+    return wanted.drop("id").join(hashed, "class").dropDuplicates(["class"])
 
 
 def _apart(members: DataFrame, found: DataFrame) -> DataFrame:

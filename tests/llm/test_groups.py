@@ -229,6 +229,7 @@ def test_alignment_finds_the_least_edits():
         text = [rng.choice("abc") for _ in range(rng.randint(1, 25))]
         codes = lambda x: np.array([ord(c) for c in x], np.uint32)
         edits, start, stop = decontaminate.align(codes(pattern), codes(text), -len(pattern), len(text))
+        assert decontaminate.least_edits(codes(pattern), codes(text)) == edits
         assert edits == least_edits("".join(pattern), "".join(text))
 
 
