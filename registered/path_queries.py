@@ -343,10 +343,10 @@ occ as (select distinct guest, cast(0 as bigint) as pos, guest as id, false as i
   union all
   select o.guest, t.pos, t.id, t.is_end, list_append(o.place, t.id * 2 + cast(t.is_end as bigint))
   from occ o join t on t.guest = o.guest and t.pos = o.pos + 1 and t.parent = o.id where not o.is_end),
-numbered as (select *, row_number() over (partition by guest order by place) - 1 as preorder from occ)
+told as (select *, row_number() over (partition by guest order by place) - 1 as preorder from occ)
 select n.guest, n.preorder, p.preorder as parent_preorder, n.pos, n.id, n.is_end,
   (select count(*) from occ x where x.guest = n.guest and x.place[:len(n.place)] = n.place) as size
-from numbered n left join numbered p on p.guest = n.guest and n.pos > 0 and p.place = n.place[:len(n.place) - 1]""",
+from told n left join told p on p.guest = n.guest and n.pos > 0 and p.place = n.place[:len(n.place) - 1]""",
     "paths_through": _RANKED + "select relevant, guest, id, n as n_paths from through",
     "score_ranks": _RANKED + """select relevant, guest, rank_cii as rank, cast(sum_cii as bigint) as score, count(*) as n_paths
 from best group by all""",
