@@ -16,7 +16,6 @@ import numpy as np
 
 MEMORY = 400_000
 LONGEST = 64
-JOINED = 20  # unknown words encoded as one text
 
 _PAIR = re.compile(r"\s\s")
 _CONTROL = re.compile("[\x1c-\x1f]")  # white space to Python, not to the tokenizers
@@ -53,7 +52,7 @@ CHUNKING: dict[str, Callable[[str], list[str]]] = {
     "byte_bpe_50k.json": leading_space,
     "word_bpe_49k.json": no_space,
 }
-_MARKS = ".,;:!?"
+_MARKS = ".,;:!?#$%&*"
 
 
 def one_word(chunk: str) -> bool:
@@ -72,16 +71,11 @@ class _Memory(dict):
     def __init__(self, make: Callable[[str], object], part: bool):
         super().__init__()
         self.make, self.part = make, part
-        self.learned: dict[str, object] = {}  # of the texts at hand, where the memory is full
 
     def __missing__(self, chunk: str):
         word = chunk.rstrip(_MARKS)
-        if word in self.learned:
-            made = self.learned[word] if word == chunk else self.learned[word] + self[chunk[len(word) :]]
-        elif self.part and word != chunk and one_word(word):
-            made = self[word] + self[chunk[len(word) :]]
-        else:
-            made = self.make(chunk)
+        parted = self.part and word != chunk and one_word(word)
+        made = self[word] + self[chunk[len(word) :]] if parted else self.make(chunk)
         if len(self) < MEMORY and len(chunk) <= LONGEST:
             self[chunk] = made
         return made
@@ -133,36 +127,3 @@ def count_ids(path: str, texts: Iterable[str | None]) -> Iterator[int]:
 def packed_ids(path: str, text: str | None) -> bytes:
     """Ids of a text as little-endian unsigned 32-bit numbers; a null counts as empty."""
     return b"".join(map(_packed(path).__getitem__, _chunks(path)(text or "")))
-
-
-def _learn(path: str, known: _Memory, chunks: set[str]) -> None:
-    """Encode the unknown lower-case words among ``chunks``, many as one text.
-
-    Only for tokenizers that drop white space: there a word of Latin letters alone is
-    one token sequence of its own, whatever stands around it.
-    """
-    found = {chunk.rstrip(_MARKS) for chunk in chunks}
-    words = [w for w in found if w not in known and w.isalpha() and w.islower() and len(w) <= LONGEST and _latin(w)]
-    known.learned = {}
-    texts = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
-    for part, encoded in zip(texts, _tokenizer(path).encode_batch([" ".join(t) for t in texts], add_special_tokens=False), strict=True):
-        made: list[list[int]] = []
-        last = None
-        for id, word in zip(encoded.ids, encoded.word_ids, strict=True):
-            if word != last or not made:
-                made.append([])
-                last = word
-            made[-1].append(id)
-        if len(made) == len(part):
-            known.learned.update((w, np.asarray(ids, dtype="<u4").tobytes()) for w, ids in zip(part, made, strict=True))
-
-
-def packed_batch(path: str, texts: list[str | None]) -> list[bytes]:
-    """``packed_ids`` of several texts, whose unknown words are encoded together."""
-    known, chunks = _packed(path), _chunks(path)
-    split = [chunks(text or "") for text in texts]
-    if chunks is no_space:
-        _learn(path, known, set().union(*split).difference(known))
-    made = [b"".join(map(known.__getitem__, x)) for x in split]
-    known.learned = {}
-    return made
