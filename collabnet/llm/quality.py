@@ -26,38 +26,44 @@ STEPS = 1200
 BATCH = 512
 RATE = 0.01
 DECAY = 1e-4
+MODELS = 3  # fitted from different starts; scores are their mean
 LIMITS = (0.02, 0.98)  # of an estimated prior
 
-_KINDS = 13
+_KINDS = 14
 
 
 def _classes() -> np.ndarray:
     """Class of each byte: letters, digits, white space, marks of several kinds, bytes beyond ASCII."""
     kind = np.full(256, _KINDS - 1, np.uint8)
-    groups = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", "\t\r", ".", ",;:", "!?", "#$%&*@^~=+_", "|<>{}[]()/\\", "'\"-`")
+    groups = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", "\t\r", ".", ",;:", "!?", "#$%&*@^~=+_", "|", "<>{}[]()/\\", "'\"-`")
     for i, group in enumerate(groups):
         kind[list(group.encode())] = i
     return kind
 
 
 _CLASS = _classes()
-N_FEATURES = _KINDS + _KINDS * _KINDS + 10
+N_FEATURES = 2 * _KINDS + _KINDS * _KINDS + 10
 
 
 def features(text: str | None) -> np.ndarray:
-    """Shares and sizes that describe a text; all but the sizes are 0 for an empty one."""
+    """Shares, numbers and sizes that describe a text; all are 0 for an empty one.
+
+    A few odd marks in a short text are a small share of it, but a number like in any other.
+    """
     raw = (text or "").encode("utf-8", "replace")
     out = np.zeros(N_FEATURES, np.float32)
     if not raw:
         return out
     kind = _CLASS[np.frombuffer(raw, np.uint8)]
-    out[:_KINDS] = np.bincount(kind, minlength=_KINDS) / len(raw)
+    counts = np.bincount(kind, minlength=_KINDS)
+    out[:_KINDS] = counts / len(raw)
     pairs = kind[:-1].astype(np.int64) * _KINDS + kind[1:]
     out[_KINDS : _KINDS + _KINDS * _KINDS] = np.bincount(pairs, minlength=_KINDS * _KINDS) / len(raw)
     words, lines = raw.split(), raw.split(b"\n")
     long_lines = [x for x in lines if len(x) >= 20]
     n = max(1, len(words))
-    out[_KINDS + _KINDS * _KINDS :] = (
+    out[_KINDS + _KINDS * _KINDS : -10] = np.log1p(counts)
+    out[-10:] = (
         np.log1p(len(raw)),
         np.log1p(len(words)),
         np.log1p(len(lines)),
@@ -93,6 +99,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
 
 
+@dataclass
+class Ensemble:
+    models: list[Model]
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return np.mean([m.score(x) for m in self.models], axis=0)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -127,7 +141,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     return model
 
 
-def scorer(model: Model | None) -> Column:
+def scorer(model: Ensemble | None) -> Column:
     """Function of a text column: the score of whole texts, 0.5 if nothing could be learned."""
 
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -158,7 +172,7 @@ def held_out(id: Column, folds: int = 4, fold: int = 2) -> Column:
 
 def train(
     docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id: str = "doc_id", text: str = "text", label: str = "quality"
-) -> Model | None:
+) -> Ensemble | None:
     """Fit on rows that are not held out: texts labelled 1, and texts whatever their label.
 
     The prior is the share of 1 among the labelled rows. At most ``sample`` rows of
@@ -181,7 +195,7 @@ def train(
     near = F.pmod(F.col("order"), F.lit(1_000_003)) < 1_000_003 * min(1.0, 1.3 * sample / total + 1e-3)
     unlabelled = usable.where(near).orderBy("order", "id").limit(sample)
     x_p, x_u = _featured(positive, "text"), _featured(unlabelled, "text")
-    return fit(x_p, x_u, prior) if len(x_p) and len(x_u) else None
+    return Ensemble([fit(x_p, x_u, prior, seed) for seed in range(MODELS)]) if len(x_p) and len(x_u) else None
 
 
 def score_quality(
