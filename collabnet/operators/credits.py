@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from collabnet.functions.arrays import or_empty, split_roles, tagged
 from collabnet.functions.text import has_special_characters
+from collabnet.operators.containment import contained
 
 # Role words that exclude a credit, matched as lower-case substrings.
 DENIED_ROLES = [
@@ -45,11 +46,27 @@ def any_word(words: list[str]) -> str:
 
 
 def wanted_roles(roles: Column, allowed: list[str], denied: list[str] = DENIED_ROLES) -> Column:
-    """Roles with an allowed and without a denied word (P3); the denied word wins."""
+    """Roles of a list with an allowed and without a denied word (P3); the denied word wins. For few words."""
     deny, allow = any_word(denied), any_word(allowed)
     return F.filter(roles, lambda r: ~F.lower(r).rlike(deny) & F.lower(r).rlike(allow))
 
 
+def judged_roles(roles: DataFrame, allowed: list[str] | DataFrame, denied: list[str] | DataFrame = DENIED_ROLES) -> DataFrame:
+    """(text): the lower-cased texts of ``roles`` (text) with an allowed and without a denied word.
+
+    Each distinct text is judged once, by one pattern for a list of words and by their
+    trigrams for a table of them.
+    """
+    texts = roles.select(F.lower("text").alias("text")).distinct()
+
+    def having(words: list[str] | DataFrame) -> DataFrame:
+        if isinstance(words, DataFrame):
+            return contained(texts, words.select(F.lower("word").alias("word"))).select("text").distinct()
+        return texts.where(F.col("text").rlike(any_word(words)))
+
+    return having(allowed).join(having(denied), "text", "left_anti")
+
+
 def instrument_words(entities: DataFrame, labels: DataFrame) -> DataFrame:
     """(word): lower-cased labels of everything some entity plays, as an allow list by rule."""
     played = entities.select(F.explode("instrument_ids").alias("id")).distinct()
@@ -62,21 +79,17 @@ def instrument_words(entities: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def merge_credits(
-    listed: DataFrame, event: str, allowed: list[str], denied: list[str] = DENIED_ROLES
+    listed: DataFrame, event: str, allowed: list[str] | DataFrame, denied: list[str] | DataFrame = DENIED_ROLES
 ) -> DataFrame:
     """One row per (event, id) with distinct names and wanted roles (A1).
 
-    ``listed`` has one row per listed credit: (event, id, name, role). Credits
-    without a wanted role vanish before the shuffle.
+    ``listed`` has one row per listed credit: (event, id, name, role). The words are
+    lists or tables (word). Role texts are judged before credits are shuffled, those
+    without a wanted role vanish there.
     """
-    wanted = listed.where(F.col("id").isNotNull()).select(
-        event, "id", "name", wanted_roles(split_roles(F.col("role")), allowed, denied).alias("roles")
-    )
-    facts = (
-        wanted.where(F.size("roles") > 0)
-        .select(event, "id", "name", F.explode("roles").alias("role"))
-        .distinct()
-    )
+    roles = listed.where(F.col("id").isNotNull()).select(event, "id", "name", F.explode(split_roles(F.col("role"))).alias("role"))
+    wanted = judged_roles(roles.select(F.col("role").alias("text")), allowed, denied)
+    facts = roles.join(wanted, F.lower("role") == F.col("text"), "left_semi").distinct()
     return facts.groupBy(event, "id").agg(
         F.array_sort(F.collect_set("name")).alias("names"), F.array_sort(F.collect_set("role")).alias("roles")
     )

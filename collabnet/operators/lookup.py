@@ -6,28 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from collabnet.functions.text import file_form, search_form
+from collabnet.operators.containment import matching
 
 NO_INFO = "no info"  # fixed value: written where a source has no id
 
 
-def search_names(artists: DataFrame, terms: list[str], name: str = "name", literal: bool = False) -> DataFrame:
+def search_names(artists: DataFrame, terms: list[str] | DataFrame, name: str = "name", literal: bool = False) -> DataFrame:
     """One row per (artist, matching term): the artist columns and ``search_name``.
 
-    A term is a pattern, or plain text with ``literal``; underscores count as
-    spaces. Every term is a constant expression on the name, so the artists are
-    scanned once and nothing is joined.
+    A term is a pattern, or plain text with ``literal``; underscores count as spaces.
+    The terms of a list are constants, so the artists are scanned once and nothing is
+    joined; those of a table (term) meet the distinct names by their trigrams.
     """
-    wanted = [t.replace("_", " ").lower() for t in terms]
     formed = artists.withColumn("_form", search_form(F.col(name)))
-
-    def hit(term: str):
-        matches = F.contains("_form", F.lit(term)) if literal else F.col("_form").rlike(term)
-        return F.when(matches, F.lit(term))
-
-    return (
-        formed.withColumn("search_name", F.explode(F.array_compact(F.array(*[hit(t) for t in wanted]))))
-        .drop("_form")
-    )
+    if not isinstance(terms, DataFrame):
+
+        def hit(term: str):
+            matches = F.contains("_form", F.lit(term)) if literal else F.col("_form").rlike(term)
+            return F.when(matches, F.lit(term))
+
+        hits = F.array_compact(F.array(*[hit(t.replace("_", " ").lower()) for t in terms]))
+        return formed.withColumn("search_name", F.explode(hits)).drop("_form")
+    asked = terms.select(F.lower(F.translate("term", "_", " ")).alias("term"))
+    found = matching(formed.select(F.col("_form").alias("text")), asked, literal)
+    named = found.select(F.col("text").alias("_form"), F.col("term").alias("search_name"))
+    return formed.join(named, "_form").select(*artists.columns, "search_name")
 
 
 def selection_to_guests(selection: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -34,11 +34,11 @@ def _listed(credits: Column, role: Column | None = None) -> Column:
     return F.coalesce(F.transform(credits, one), empty)
 
 
-def release_credits(releases: DataFrame, allowed_roles: list[str]) -> DataFrame:
+def release_credits(releases: DataFrame, allowed_roles: list[str] | DataFrame) -> DataFrame:
     """Release rows of the XML shape -> one row per release and credited artist.
 
-    ``allowed_roles`` are the words a role must contain one of, for instance a
-    list of instruments or ``credits.instrument_words``.
+    ``allowed_roles`` are the words a role must contain one of: a list, or a table
+    such as ``credits.instrument_words`` makes.
     """
     per_track = F.coalesce(F.col("tracklist.track"), F.array())
     every = F.concat(
@@ -72,7 +72,7 @@ def release_credits(releases: DataFrame, allowed_roles: list[str]) -> DataFrame:
     return described.join(merged, "id_release")
 
 
-def ingest_releases(spark: SparkSession, xml: str, out: str, allowed_roles: list[str]) -> DataFrame:
+def ingest_releases(spark: SparkSession, xml: str, out: str, allowed_roles: list[str] | DataFrame) -> DataFrame:
     """Release XML -> credit table."""
     parsed = files.read_xml(spark, xml, "release", schemas.RELEASE_XML)
     sinks.write_table(release_credits(parsed, allowed_roles), out)
@@ -465,7 +465,7 @@ def export_tree(ranked: DataFrame, graph: gr.Graph, releases: DataFrame, out: st
 # ---------------------------------------------------------------- search and update
 
 
-def search_artists(artists: DataFrame, source: str, terms: list[str], literal: bool = False) -> DataFrame:
+def search_artists(artists: DataFrame, source: str, terms: list[str] | DataFrame, literal: bool = False) -> DataFrame:
     """Candidates of one source for every term (E19); ``source`` is primary, mb or kb."""
     if source == "primary":
         found = lookup.search_names(artists, terms, "name", literal)

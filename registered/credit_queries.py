@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from collabnet import schemas
 from collabnet.functions.arrays import or_empty, split_roles
 from collabnet.operators import credits as cr
 from collabnet.operators import pairs as pr
+from collabnet.operators.containment import contained
+from collabnet.plans import jobs
 from registered import bindings as b
 
 ALLOWED = ["a", "o"]
 DENIED = ["r"]
 WORDS = ["urgent"]
+ROLE_WORDS = ["Performer", "A", "o"]
 VARIOUS = 1
 
 
@@ -46,6 +51,35 @@ def credit_merge(spark, sf):
     )
 
 
+def contained_words(spark, sf):
+    """Starts of part names in the names of all parts."""
+    names = b.table(spark, sf, "part").select(F.col("p_name").alias("text"))
+    return contained(names, names.select(F.substring("text", 1, 5).alias("word")))
+
+
+def release_credits(spark, sf):
+    """Orders as releases of the XML shape: the first line is the main artist, the others are extra artists."""
+    line = b.table(spark, sf, "lineitem").join(b.table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    role = F.when(F.col("l_linenumber") > 1, F.concat_ws(", ", "l_returnflag", "l_linestatus"))
+    credit = F.struct(
+        F.lit(None).cast("string").alias("anv"), F.col("l_partkey").alias("id"), F.lit(None).cast("string").alias("join"),
+        F.col("p_name").alias("name"), role.alias("role"), F.lit(None).cast("string").alias("tracks"),
+    )
+    listed = lambda c: F.struct(F.collect_list(F.when(c, credit)).alias("artist"))
+    first = F.col("l_linenumber") == 1
+    people = line.groupBy(F.col("l_orderkey").alias("_id")).agg(listed(first).alias("artists"), listed(~first).alias("extraartists"))
+    orders = b.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("_id"), F.struct(F.col("o_custkey").alias("_VALUE")).alias("master_id"), F.col("o_orderpriority").alias("title")
+    )
+    empty = {f.name: F.lit(None).cast(f.dataType) for f in T.StructType.fromDDL(schemas.RELEASE_XML) if f.name not in ("_id", "master_id", "title", "artists", "extraartists")}
+    releases = orders.join(people, "_id").withColumns(empty)
+    got = jobs.release_credits(releases, spark.createDataFrame([(w,) for w in ROLE_WORDS], "word string"))
+    return got.select(
+        "id_release", "id_artist", "master_id", "title",
+        F.array_join("names_artist", "|").alias("names"), F.array_join("roles_artist", "|").alias("roles"),
+    )
+
+
 def solo_filter(spark, sf):
     size, name = F.col("p_size") % 3, F.col("p_name")
     members = F.when(size == 0, F.array().cast("array<string>")).when(size == 1, F.array(name))
@@ -121,6 +155,8 @@ QUERIES = {
     "one_version_filter": one_version_filter,
     "role_filter": role_filter,
     "credit_merge": credit_merge,
+    "contained_words": contained_words,
+    "release_credits": release_credits,
     "solo_filter": solo_filter,
     "name_filter": name_filter,
     "version_collapse": version_collapse,
@@ -156,6 +192,17 @@ facts as (select id_release, id_artist, unnest(kept) as r from roles)
 select id_release, id_artist as id, string_agg(distinct p_name, '|' order by p_name) as names,
   string_agg(distinct r, '|' order by r) as roles
 from facts join part on p_partkey = id_artist group by 1, 2""",
+    "contained_words": """select distinct t.p_name as text, w.word
+from part t join (select distinct substr(p_name, 1, 5) as word from part) w on contains(t.p_name, w.word)""",
+    "release_credits": f"""with c as (
+  select l_orderkey as id_release, l_partkey as id_artist, p_name,
+    unnest(case when l_linenumber = 1 then ['{cr.MAIN_ROLE}'] else [l_returnflag, l_linestatus] end) as role
+  from lineitem join part on p_partkey = l_partkey),
+kept as (select * from c where regexp_matches(lower(role), '{"|".join(w.lower() for w in ROLE_WORDS)}')
+  and not regexp_matches(lower(role), '{"|".join(cr.DENIED_ROLES)}'))
+select id_release, id_artist, o_custkey as master_id, o_orderpriority as title,
+  string_agg(distinct p_name, '|' order by p_name) as names, string_agg(distinct role, '|' order by role) as roles
+from kept join orders on o_orderkey = id_release group by all""",
     "solo_filter": "select p_partkey, p_name as name from part where p_size % 3 < 2",
     "name_filter": f"""select * from (
   select 'documents' as kind, doc_id as id, text as name from documents

@@ -17,6 +17,20 @@ def name_search(spark, sf):
     return lookup.search_names(docs, TERMS, "text").select("doc_id", "search_name")
 
 
+def pattern_search(spark, sf):
+    """Part names by a table of patterns, one from every name."""
+    part = b.table(spark, sf, "part").select("p_partkey", "p_name")
+    terms = part.select(F.concat(F.lit("^"), F.substring("p_name", 1, 3), F.lit(".*"), F.right("p_name", F.lit(2)), F.lit("$")).alias("term"))
+    return lookup.search_names(part, terms, "p_name").select("p_partkey", "search_name")
+
+
+def literal_search(spark, sf):
+    """Page addresses by a table of plain texts, the languages of the documents."""
+    pages = b.table(spark, sf, "pages").select("page_id", "url")
+    terms = b.table(spark, sf, "documents").select(F.col("lang").alias("term"))
+    return lookup.search_names(pages, terms, "url", literal=True).select("page_id", "search_name")
+
+
 def _target(spark, sf):
     key = F.col("c_custkey").cast("string")
     lists = F.when(F.col("c_acctbal") > 5000, F.array("c_mktsegment")).otherwise(F.array().cast("array<string>"))
@@ -264,6 +278,8 @@ def graph_import_credited(spark, sf):
 
 QUERIES = {
     "name_search": name_search,
+    "pattern_search": pattern_search,
+    "literal_search": literal_search,
     "check_updates": check_updates,
     "update_log": update_log,
     "update_target": update_target,
@@ -318,6 +334,12 @@ colabs as (select discogs_id, title, released, country, p_name as colab_name,
 mains as (select discogs_id, lower(p_brand) as artist_name, regexp_extract(p_brand, '([0-9]+)', 1)::bigint as aid from rels)"""
 
 SQL = {
+    "pattern_search": r"""with f as (select p_partkey, lower(regexp_replace(p_name, '[[:punct:]]', '', 'g')) as form, p_name from part),
+t as (select distinct lower(replace('^' || substr(p_name, 1, 3) || '.*' || right(p_name, 2) || '$', '_', ' ')) as term from part)
+select p_partkey, term as search_name from f join t on regexp_matches(form, term)""",
+    "literal_search": r"""with f as (select page_id, lower(regexp_replace(url, '[[:punct:]]', '', 'g')) as form from pages),
+t as (select distinct lang as term from documents where lang is not null)
+select page_id, term as search_name from f join t on contains(form, term)""",
     "name_search": f"""select doc_id, t as search_name from documents, (values {", ".join(f"('{t.replace('_', ' ').lower()}')" for t in TERMS)}) v(t)
 where regexp_matches({_FORM}, '(?-s)' || t)""",
     "check_updates": f"""with {_TARGET} select name, id as discogs_id, m as musicbrainz_id, k as wikidata_id,

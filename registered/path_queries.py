@@ -16,7 +16,7 @@ from collabnet.operators.graph import Graph
 from collabnet.plans import jobs
 from collabnet.session import cut_lineage
 from registered import bindings as b
-from registered.graph_queries import INFLUENCE, paths_sql
+from registered.graph_queries import INFLUENCE, levels_sql, paths_sql
 
 MAX_RANK = 2
 N_FLAT = 6  # digits kept of float results
@@ -131,6 +131,34 @@ def described_paths(spark, sf):
     )
 
 
+def wide_paths(spark, sf):
+    """Paths with one vertex between, a column for each place."""
+    r = _parts(spark, sf)
+    names = b.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_name")
+    wide = sp.wide_paths(sp.described_paths(r.dag.paths(), names, r.net.edges), 1)
+    return wide.select(
+        F.col("from.id").alias("guest"), F.col("e0.n_common").alias("e0"), F.col("v1.id").alias("v1"), F.col("v1.p_name").alias("v1_name"),
+        F.col("e1.n_common").alias("e1"), F.col("to.id").alias("relevant"),
+    )
+
+
+def short_paths(spark, sf):
+    """The search with a bound of two edges."""
+    net = b.PartNetwork(b.part_edges(spark, sf, 2))
+    paths = sp.all_shortest_paths(net.links, net.guests, net.relevants, max_len=2)
+    return b.longs(paths, "key").select("guest", "relevant", "key", _path_text())
+
+
+def separation_lists(spark, sf):
+    """Every guest's distances to the relevants as one list."""
+    net = b.PartNetwork(b.part_edges(spark, sf, 2))
+    names = b.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    graph = Graph(names, net.edges)
+    lists = jobs.separation_lists(jobs.path_sizes(graph, names, net.relevants.join(names, "id")))
+    shown = F.transform("grado_de_separacion", lambda x: F.concat_ws(":", x.name_relevant, x.distancia.cast("string")))
+    return lists.select("guest", "guest_name", F.array_join(shown, "|").alias("distances"))
+
+
 def create_graph(spark, sf):
     """Artists, pairs and releases to scored vertices with their component."""
     met = pr.pair_events(b.table(spark, sf, "lineitem"), "l_partkey", "l_orderkey")
@@ -177,6 +205,28 @@ def subgraph_edges(spark, sf):
     )
 
 
+def subgraph_edges_by_guest(spark, sf):
+    """Every guest's graph with weights on a scale of its own."""
+    r = _parts(spark, sf)
+    rows = sg.relative_weight(sg.edge_rows(r.best(), r.net.edges, ["guest"]), ["guest"])
+    return b.longs(rows, "rank").select("guest", "src", "dst", "rank", "n_common", F.round(F.col("weight").cast("double"), 4).alias("weight"))
+
+
+def release_details(spark, sf):
+    """The orders behind the edges of the best paths."""
+    r = _parts(spark, sf)
+    none = F.lit(None).cast("string")
+    orders = b.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id_release"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("released"),
+        none.alias("country"), F.array("o_orderstatus").alias("genres"), F.array(none).alias("labels"), none.alias("notes"),
+        F.array("o_custkey").alias("primary_artists"), F.array(none).alias("primary_artist_names"),
+    )
+    used = sp.path_edges(r.best(max_rank=1)).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    links = b.edge_orders(spark, sf, r.net.edges).join(used, ["src", "dst"], "left_semi").withColumnRenamed("event", "id_release")
+    got = jobs.release_details(links, orders, ["src", "dst"])
+    return got.select("src", "dst", "id_release", "title", "image", "released", F.array_join("genres", "|").alias("genres"))
+
+
 def subgraph_degree(spark, sf):
     r = _parts(spark, sf)
     return sg.subgraph_degree(sg.edge_rows(r.best(), r.net.edges))
@@ -237,6 +287,11 @@ QUERIES = {
     "links_by_relevant": links_by_relevant,
     "tree_rows": tree_rows,
     "tree_order": tree_order,
+    "wide_paths": wide_paths,
+    "short_paths": short_paths,
+    "separation_lists": separation_lists,
+    "subgraph_edges_by_guest": subgraph_edges_by_guest,
+    "release_details": release_details,
     "paths_through": paths_through,
     "score_ranks": score_ranks,
     "best_paths": best_paths,
@@ -354,4 +409,21 @@ from best group by all""",
 from best""",
     "best_paths_by_overlap": _RANKED + f"""select guest, relevant, cast(key as bigint) as key, {_TEXT}, rank_cb as rank,
   cast(cb as bigint) as score from ranked where rank_cb <= {MAX_RANK}""",
+    "wide_paths": _RANKED + """select guest, a.n_common as e0, vertices[2] as v1, p_name as v1_name, c.n_common as e1, relevant
+from ranked join part on p_partkey = vertices[2]
+join edges a on a.src = least(vertices[1], vertices[2]) and a.dst = greatest(vertices[1], vertices[2])
+join edges c on c.src = least(vertices[2], vertices[3]) and c.dst = greatest(vertices[2], vertices[3]) where key = 1""",
+    "short_paths": f"""with recursive {b.edges_sql()}, {b.relevants_sql()}, {paths_sql('edges')}
+select guest, relevant, cast(key as bigint) as key, {_TEXT} from paths where key <= 1""",
+    "separation_lists": f"""with recursive {b.edges_sql()}, {b.relevants_sql()}, {levels_sql('edges')}
+select d.id as guest, g.p_name as guest_name,
+  string_agg(r.p_name || ':' || dist, '|' order by r.p_name, dist) as distances
+from dist d join part g on g.p_partkey = d.id join part r on r.p_partkey = d.landmark group by 1, 2""",
+    "subgraph_edges_by_guest": _RANKED + """, d as (select distinct src, dst, rank, guest from hops),
+w as (select d.*, n_common from d join edges e on e.src = least(d.src, d.dst) and e.dst = greatest(d.src, d.dst))
+select guest, src, dst, rank, n_common, round(n_common / (max(n_common) over (partition by guest)), 4) as weight from w""",
+    "release_details": _RANKED + """, u as (select distinct least(src, dst) as src, greatest(src, dst) as dst from hops where rank = 1),
+m as (select u.src, u.dst, x.e from u join edges_p x on x.v = u.src join edges_p y on y.v = u.dst and y.e = x.e)
+select src, dst, e as id_release, o_orderpriority as title, e || '.jpg' as image, o_orderstatus as released, o_orderstatus as genres
+from m join orders on o_orderkey = e""",
 }

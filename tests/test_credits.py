@@ -1,7 +1,11 @@
+import random
+import re
+
 from helpers import rows
 from pyspark.sql import functions as F
 
 from collabnet.operators import credits as cr
+from collabnet.operators.containment import contained, matching
 
 C = "id_release bigint, id_artist bigint, master_id bigint"
 
@@ -72,3 +76,26 @@ def test_instrument_words(spark):
     entities = spark.createDataFrame([(["Q1", "Q2"],), (["Q1"],)], "instrument_ids array<string>")
     labels = spark.createDataFrame([("Q1", "Piano"), ("Q2", ""), ("Q3", "House")], "id string, label string")
     assert rows(cr.instrument_words(entities, labels)) == [("piano",)]
+
+
+def test_containment_against_plain_python(spark):
+    rng = random.Random(3)
+    texts = sorted({"".join(rng.choice("abc ") for _ in range(rng.randint(0, 12))) for _ in range(200)})
+    words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(0, 5))) for _ in range(60)} | {""})
+    frame = lambda rows_, name: spark.createDataFrame([(x,) for x in rows_], f"{name} string")
+    got = rows(contained(frame([*texts, None, texts[0]], "text"), frame([*words, None], "word")), "text", "word")
+    assert got == sorted(((t, w) for t in texts for w in words if w in t), key=repr)
+    assert contained(frame(texts, "text"), frame([], "word")).count() == contained(frame([], "text"), frame(words, "word")).count() == 0
+    patterns = ["ab", "^a.*c$", "a[bc]a", "ab?c", "(ab|ca)c", "b+c", "a{2}", r"\\w b", "cc|bb", "x*", "", "^$"]
+    got = rows(matching(frame(texts, "text"), frame(patterns, "term")), "text", "term")
+    assert got == sorted(((t, p) for t in texts for p in patterns if re.search(p, t)), key=repr)
+    got = rows(matching(frame(texts, "text"), frame(["a.", "ab", "b c"], "term"), literal=True), "text", "term")
+    assert got == sorted(((t, p) for t in texts for p in ["a.", "ab", "b c"] if p in t), key=repr)
+
+
+def test_role_words_as_tables(spark):
+    listed = [(1, 5, "A", "Guitar, Guitar [Producer]"), (1, 5, "B", "Lead GUITAR"), (1, None, "C", "Guitar"), (2, 6, "D", "Mixed By"), (2, 7, "E", None)]
+    df = spark.createDataFrame(listed, "id_release int, id int, name string, role string")
+    words = spark.createDataFrame([("Guitar",), ("mixed",), (None,)], "word string")
+    want = [(1, 5, ["A", "B"], ["Guitar", "Lead GUITAR"])]
+    assert rows(cr.merge_credits(df, "id_release", words)) == rows(cr.merge_credits(df, "id_release", ["guitar", "mixed"])) == want

@@ -166,3 +166,13 @@ def test_url_columns(spark):
     )
     got = rows(resolve.url_columns(links, u), "id", "discogs_id", "wikidata_id", "other_urls")
     assert got == [(1, "77", None, ["http://z"]), (2, None, "Q3", [])]
+
+
+def test_hierarchy_of_a_thousand_levels_and_a_cycle(spark):
+    areas = [(i, f"a{i}", 1 if i == 1000 else 3) for i in range(1001)] + [(2000 + i, f"c{i}", 3) for i in range(5)] + [(3000, "two", 3), (3001, "other", 1)]
+    links = [(i, i + 1) for i in range(1000)] + [(2000 + i, 2000 + (i + 1) % 5) for i in range(5)] + [(3000, 998), (3000, 3001), (1000, 3001), (2004, 4000)]
+    got = resolve.area_countries(
+        spark.createDataFrame(areas, "areaID bigint, area_name string, area_type int"), spark.createDataFrame(links, "areaID bigint, area2ID bigint")
+    )
+    want = [(i, "a1000") for i in range(1001)] + [(3000, "a1000"), (3000, "other"), (3001, "other")]
+    assert rows(got, "areaID", "country") == sorted(want, key=repr)
