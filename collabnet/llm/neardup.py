@@ -229,7 +229,7 @@ def open_links(apart: DataFrame, sets: DataFrame, percent: int, miss: float) ->
 
     A bucket is cut into blocks of ``BLOCK`` members, and a unit is a pair of blocks.
     """
-    table, width = least_matches(percent, miss), HASHES // BANDS
+    table = least_matches(percent, miss)
     blocks = apart.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("own")
     placed = apart.join(blocks, "key").select("key", "band", "class", "root", "blocks", own)
@@ -242,51 +242,55 @@ def open_links(apart: DataFrame, sets: DataFrame, percent: int, miss: float) ->
     crosses = (F.col("unit.low") != F.col("unit.high")).alias("crosses")
     rows = each.select(unit, crosses, "band", "own", "class", "root").join(sets.select("class", "sig"), "class")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, rows in _grouped(batches):
-            sigs = np.frombuffer(b"".join(r["sig"] for r in rows), "<u4").reshape(-1, HASHES)
-            root = np.unique([r["root"] for r in rows], return_inverse=True)[1]
-            own = np.array([r["own"] for r in rows])
-            band = rows[0]["band"]
-            for at in range(0, len(rows), ROWS):
-                x, y, matches = agreeing(sigs[at : at + ROWS], sigs, table)
-                x = x + at
-                kept = (x < y) & (root[x] != root[y])
-                if rows[0]["crosses"]:
-                    kept &= own[x] != own[y]
-                x, y, matches = x[kept], y[kept], matches[kept]
-                shared = (sigs[x] == sigs[y]).reshape(-1, BANDS, width).all(axis=2)
-                first = shared.argmax(axis=1) == band if len(x) else np.empty(0, bool)
-                x, y, matches = x[first], y[first], matches[first]
-                if len(x):
-                    columns = [np.full(len(x), name), [rows[i]["class"] for i in x], [rows[i]["class"] for i in y], [rows[i]["root"] for i in x], [rows[i]["root"] for i in y], matches]
-                    types = (pa.int64(), *[pa.binary()] * 4, pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["unit", "a", "b", "root_a", "root_b", "matches"])
-
-    dealt = rows.select("unit", "crosses", "band", "own", "class", "root", "sig").repartition("unit").sortWithinPartitions("unit")
-    alive = stored(dealt.mapInArrow(compare, "unit bigint, a binary, b binary, root_a binary, root_b binary, matches bigint"))
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Members of a unit that some other is not ruled out for."""
+        for _, rows in _grouped(batches):
+            x, y, _ = _open_pairs(rows, table)
+            kept = [rows[i] for i in np.unique(np.concatenate([x, y]))]
+            if kept:
+                yield pa.RecordBatch.from_pylist(kept, schema=arrow)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches):
-            known = {r["a"]: np.frombuffer(r["hashes"], np.uint64) for r in rows if r["hashes"] is not None}
+            x, y, matches = _open_pairs(rows, table)
+            sets_ = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
             root: dict[bytes, bytes] = {}
             linked = []
-            for r in rows:
-                if r["hashes"] is None:
-                    x, y = _found(root, r["root_a"]), _found(root, r["root_b"])
-                    if x != y and similar(known[r["a"]], known[r["b"]], percent):
-                        root[x] = y
-                        linked.append((r["a"], r["b"]))
+            for at in np.argsort(-matches, kind="stable"):
+                i, j = x[at], y[at]
+                a, b = _found(root, rows[i]["root"]), _found(root, rows[j]["root"])
+                if a != b and similar(sets_[i], sets_[j], percent):
+                    root[a] = b
+                    linked.append((rows[i]["class"], rows[j]["class"]))
             if linked:
                 yield _pairs(linked)
 
-    ends = alive.select("unit", F.explode(F.array("a", "b")).alias("class")).distinct()
-    none = F.lit(None).cast("binary")
-    given = ends.join(sets.select("class", "hashes"), "class").select(
-        "unit", F.col("class").alias("a"), none.alias("b"), none.alias("root_a"), none.alias("root_b"), F.lit(HASHES + 1).cast("bigint").alias("matches"), "hashes"
-    )
-    both = given.unionByName(alive.withColumn("hashes", none)).repartition("unit").sortWithinPartitions("unit", F.desc("matches"))
-    return both.mapInArrow(confirm, "src binary, dst binary")
+    columns = ["unit", "crosses", "band", "own", "class", "root", "sig"]
+    kinds = "unit bigint, crosses boolean, band int, own int, class binary, root binary, sig binary"
+    types = (pa.int64(), pa.bool_(), pa.int32(), pa.int32(), *[pa.binary()] * 3)
+    arrow = pa.schema(list(zip(columns, types, strict=True)))
+    dealt = rows.select(*columns).repartition("unit").sortWithinPartitions("unit")
+    found = stored(dealt.mapInArrow(near, kinds)).join(sets.select("class", "hashes"), "class").select(*columns, "hashes")
+    return found.repartition("unit").sortWithinPartitions("unit").mapInArrow(confirm, "src binary, dst binary")
+
+
+def _open_pairs(rows: list[dict], table: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a unit's members, by place, that lie in different components, share no earlier band and are not ruled out; their matches."""
+    sigs = np.frombuffer(b"".join(r["sig"] for r in rows), "<u4").reshape(-1, HASHES)
+    root = np.unique([r["root"] for r in rows], return_inverse=True)[1]
+    own = np.array([r["own"] for r in rows])
+    found = []
+    for at in range(0, len(rows), ROWS):
+        x, y, matches = agreeing(sigs[at : at + ROWS], sigs, table)
+        x = x + at
+        kept = (x < y) & (root[x] != root[y])
+        if rows[0]["crosses"]:
+            kept &= own[x] != own[y]
+        x, y, matches = x[kept], y[kept], matches[kept]
+        shared = (sigs[x] == sigs[y]).reshape(-1, BANDS, HASHES // BANDS).all(axis=2)
+        first = shared.argmax(axis=1) == rows[0]["band"]
+        found.append((x[first], y[first], matches[first]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def links(signed: DataFrame, docs: DataFrame, k: int, percent: int, miss: float, id: str, text: str) -> DataFrame:
