@@ -1,5 +1,6 @@
 """Every registered query against its SQL and the plan rules it keeps; results under heavy skew."""
 
+import re
 from pathlib import Path
 
 import duckdb
@@ -45,7 +46,7 @@ def test_query_keeps_the_rules_and_equals_its_sql(spark, duck, name):
     assert plans
     for plan in plans:  # of every job on the way, not only what follows the last stored table
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-        assert "Python" not in plan and "Arrow" not in plan
+        assert not re.search("EvalPython|PythonUDF|MapIn|InPandas|InArrow", plan)
     assert len(df.columns) == len(set(df.columns))
     cur = duck.execute(SQL[name])
     columns, want = [d[0] for d in cur.description], cur.fetchall()
