@@ -1,4 +1,5 @@
 import datetime
+import unicodedata
 
 from helpers import rows
 from pyspark.sql import functions as F
@@ -151,3 +152,12 @@ def test_claims_of_odd_entities(spark):
     ]
     births = df.select(claims.birth_dates("e").alias("b")).first().b
     assert [(x.time, x.calendar) for x in births] == [("t", "Q1")]
+
+
+def test_accents_of_every_character(spark):
+    """The table of letters against decomposition, for all characters outside the surrogates."""
+    points = [chr(p) for p in range(1, 0x30000) if not 0xD800 <= p < 0xE000]
+    texts = ["".join(points[at : at + 500]) for at in range(0, len(points), 500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    got = dict(df.select("i", text.strip_accents(F.col("s"))).collect())
+    assert got == {i: unicodedata.normalize("NFD", t).encode("ascii", "ignore").decode() for i, t in enumerate(texts)}
