@@ -38,7 +38,7 @@ BATCH = 32
 MISS = 1e-9
 CELL = 4096  # members compared with one centre in one place
 BLOCK = 512  # members of a bucket compared with each other in one place
-ROWS = 64  # of a block at a time
+ROWS = 16  # of a block at a time
 _CHUNK = 4096
 _REMEMBERED = 300_000
 
@@ -207,12 +207,13 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list[d
     name, held = None, []
     for batch in batches:
         column = batch.schema.names[0]
-        for row in batch.to_pylist():
-            if held and row[column] != name:
-                yield name, held
-                held = []
-            name = row[column]
-            held.append(row)
+        for at in range(0, batch.num_rows, 256):
+            for row in batch.slice(at, 256).to_pylist():
+                if held and row[column] != name:
+                    yield name, held
+                    held = []
+                name = row[column]
+                held.append(row)
     if held:
         yield name, held
 

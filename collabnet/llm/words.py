@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 
-MEMORY = 400_000
+MEMORY = 300_000
 LONGEST = 64
 
 _PAIR = re.compile(r"\s\s")
