@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from collabnet.session import cut_lineage
+from collabnet.session import cut_lineage, spread
 
 BLOCK = 512
 
@@ -26,9 +26,11 @@ def _named(credits: DataFrame, entity: str, event: str) -> DataFrame:
     )
 
 
-def _has_large_events(rows: DataFrame, block: int) -> bool:
-    """True if some event has more than ``block`` rows; one narrow pass with map-side combine."""
-    return not rows.groupBy("event").count().where(F.col("count") > block).isEmpty()
+def _load(rows: DataFrame) -> tuple[int, float]:
+    """Rows of the largest event, and the rows and pairs of all; one narrow pass with map-side combine."""
+    n = F.col("count").cast("double")
+    found = rows.groupBy("event").count().agg(F.max("count").alias("largest"), F.sum(n * (n + 1) / 2).alias("load")).first()
+    return found.largest or 0, found.load or 0.0
 
 
 def _block_cells(parts: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
@@ -55,19 +57,20 @@ def _block_cells(parts: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     return left, right
 
 
-def _meetings(parts: DataFrame, block: int) -> DataFrame:
+def _meetings(parts: DataFrame, block: int, load: float) -> DataFrame:
     """One row (src, dst, event) per event and unordered pair of its participants, ``src < dst``."""
-    left, right = _block_cells(parts, block)
+    cell = ["event", "lo", "hi"]
+    left, right = (spread(side, load, *cell) for side in _block_cells(parts, block))
     # The cells repeat rows, which size estimates do not see: never broadcast them.
-    met = left.join(right.hint("merge"), ["event", "lo", "hi"]).where(
+    met = left.join(right.hint("merge"), cell).where(
         ((F.col("lo") < F.col("hi")) & (F.col("a") != F.col("b"))) | (F.col("a") < F.col("b"))
     )
     return met.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "event")
 
 
-def _small_meetings(rows: DataFrame) -> DataFrame:
+def _small_meetings(rows: DataFrame, load: float) -> DataFrame:
     """The same where no event is large: one shuffle by event serves the distinct and the join."""
-    parts = rows.repartition("event").distinct()
+    parts = spread(rows, load, "event").distinct()
     return (
         parts.withColumnRenamed("entity", "src")
         .join(parts.withColumnRenamed("entity", "dst"), "event")
@@ -78,10 +81,21 @@ def _small_meetings(rows: DataFrame) -> DataFrame:
 
 def pair_events(credits: DataFrame, entity: str, event: str, block: int = BLOCK) -> DataFrame:
     """Long form of the played-with relation: (src, dst, event), ``src < dst``."""
-    rows = _named(credits, entity, event)
-    if _has_large_events(rows, block):
-        return _meetings(rows.distinct(), block)
-    return _small_meetings(rows)
+    return _pair_events(_named(credits, entity, event), block)[0]
+
+
+def _pair_events(rows: DataFrame, block: int) -> tuple[DataFrame, float]:
+    """Long form of the relation and about how many rows it has."""
+    largest, load = _load(rows)
+    if largest > block:
+        return _meetings(rows.distinct(), block, load), load
+    return _small_meetings(rows, load), load
+
+
+def pair_summary(credits: DataFrame, entity: str, event: str, *summary: Column, block: int = BLOCK) -> DataFrame:
+    """(src, dst) with aggregates over ``event``, the common events of every pair."""
+    met, load = _pair_events(_named(credits, entity, event), block)
+    return spread(met, load, "src", "dst").groupBy("src", "dst").agg(*summary)
 
 
 def pair_counts(
@@ -96,16 +110,15 @@ def pair_counts(
     expanded and the counts stay exact.
     """
     rows = _named(credits, entity, event)
-    if not _has_large_events(rows, block):
-        met = _small_meetings(rows).groupBy("src", "dst").agg(F.count("*").alias("n_common"))
-        return met.where(F.col("n_common") >= min_common)
-    parts = rows.distinct()
-    if min_common <= 1:
-        return _meetings(parts, block).groupBy("src", "dst").agg(F.count("*").alias("n_common"))
-
-    parts = cut_lineage(parts)
+    largest, load = _load(rows)
+    if largest <= block or min_common <= 1:
+        met = _small_meetings(rows, load) if largest <= block else _meetings(rows.distinct(), block, load)
+        return _counted(met, load).where(F.col("n_common") >= min_common)
+
+    parts = cut_lineage(rows.distinct())
     kept, left_out = _split_crowded(parts, min_common - 1)
-    met = cut_lineage(_meetings(kept, block).groupBy("src", "dst").agg(F.count("*").alias("n_common")))
+    _, load = _load(kept)
+    met = cut_lineage(_counted(_meetings(kept, block, load), load))
     # At most min_common - 1 rows per entity are probed here.
     a_out = left_out.select(F.col("entity").alias("src"), "event")
     b_out = left_out.select(F.col("entity").alias("dst"), "event")
@@ -125,6 +138,10 @@ def pair_counts(
     )
 
 
+def _counted(met: DataFrame, load: float) -> DataFrame:
+    return spread(met, load, "src", "dst").groupBy("src", "dst").agg(F.count("*").alias("n_common"))
+
+
 def _split_crowded(parts: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """Split (event, entity) rows into all but, and only, the ``k`` most crowded events per entity.
 
@@ -148,11 +165,7 @@ def pair_lists(credits: DataFrame, entity: str, event: str, out: str = "id_relea
 
     A view for readers of the array form; the operators work on the long form.
     """
-    return (
-        pair_events(credits, entity, event)
-        .groupBy("src", "dst")
-        .agg(F.array_sort(F.collect_list("event")).alias(out))
-    )
+    return pair_summary(credits, entity, event, F.array_sort(F.collect_list("event")).alias(out))
 
 
 def pair_titles(pairs: DataFrame, titles: DataFrame, event: str = "event", title: str = "title") -> DataFrame:

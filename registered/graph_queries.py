@@ -21,10 +21,10 @@ def _line(spark, sf):
 
 
 def pairs(spark, sf):
-    met = pr.pair_events(_line(spark, sf), "l_partkey", "l_orderkey")
-    return met.groupBy("src", "dst").agg(
-        F.count("*").alias("n_common"), F.min("event").alias("first_event"), F.max("event").alias("last_event")
-    )
+    return pr.pair_summary(
+        _line(spark, sf), "l_partkey", "l_orderkey",
+        F.count("*").alias("n_common"), F.min("event").alias("first_event"), F.max("event").alias("last_event"),
+    )
 
 
 def pairs_min_common(spark, sf):

@@ -3,6 +3,7 @@ import random
 import pytest
 from brute import pair_counts
 from helpers import rows
+from pyspark.sql import functions as F
 
 from collabnet.operators import pairs as pr
 
@@ -53,3 +54,20 @@ def test_lists_and_titles(spark):
 def test_threshold_is_inclusive(spark):
     df = spark.createDataFrame([(1, 2, 1), (1, 3, 2), (2, 3, 3)], "src int, dst int, n_common int")
     assert rows(df.where(pr.at_least(2)), "src", "dst") == [(1, 3), (2, 3)]
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_rows_of_a_task_do_not_grow_with_the_input(spark, monkeypatch, block):
+    monkeypatch.setattr("collabnet.session.ROWS_PER_TASK", 100)
+
+    def largest(df):
+        return df.groupBy(F.spark_partition_id()).count().agg({"count": "max"}).first()[0]
+
+    for n_events in (200, 2000):
+        data = [(e, (7 * e + k * k) % 5003) for e in range(n_events) for k in range(6)]
+        df = spark.createDataFrame(data, SCHEMA)
+        assert largest(pr.pair_events(df, "entity", "event", block)) <= 600
+        assert largest(pr.pair_counts(df, "entity", "event", 1, block)) <= 600
+        lists = pr.pair_lists(df, "entity", "event")
+        assert largest(lists) <= 600
+        assert lists.agg(F.sum(F.size("id_releases"))).first()[0] == 15 * n_events
