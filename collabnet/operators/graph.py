@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from collabnet.session import cut_lineage
+
 _FACTOR, _PRODUCT = "decimal(20,0)", "decimal(38,0)"  # degrees; sums and products of them
 
 
@@ -58,7 +60,7 @@ def neighbor_sum(edges: DataFrame, attributes: DataFrame, **sums) -> DataFrame:
     """
     links = both_ways(edges.select("src", "dst")).select(F.col("src").alias("to"), F.col("dst").alias("id"))
     return (
-        links.join(attributes, "id")
+        links.join(attributes.hint("shuffle_hash"), "id")  # the links need no sort
         .groupBy("to")
         .agg(*[F.sum(c).alias(n) for n, c in sums.items()])
         .withColumnRenamed("to", "id")
@@ -86,7 +88,7 @@ def influence(edges: DataFrame, relevants: DataFrame | None = None, alpha: float
     is the first plus ``a M`` times the summed weights. Sums and products are
     decimals of 38 digits, those with a fractional ``alpha`` doubles.
     """
-    deg = degree(edges)
+    deg = cut_lineage(degree(edges))
     less_one = _wide(F.col("degree") - 1)
     ci = (less_one * F.col("sum_neighbor_degree")).cast(_PRODUCT)
     if relevants is None:

@@ -16,8 +16,8 @@ from collabnet.operators import graph as gr
 from collabnet.operators import importcsv as ic
 from collabnet.operators import lookup, pairs, pathcounts, paths, ranking, resolve, subgraph, tree
 from collabnet.operators import update as up
-from collabnet.operators.components import connected_components
-from collabnet.session import cut_lineage
+from collabnet.operators.components import dense_components
+from collabnet.session import cut_lineage, stored
 from collabnet.sources import files, sinks
 
 # ---------------------------------------------------------------- ingest
@@ -210,14 +210,17 @@ def unify(
 def create_graph(
     artists: DataFrame, relations: DataFrame, releases: DataFrame, relevants: DataFrame
 ) -> gr.Graph:
-    """Unified tables -> vertices with degree, component and influence, edges with titles."""
+    """Unified tables -> vertices with degree, component and influence, edges with titles.
+
+    Edges are stored; the titles, a row for every common event, are made when they are read.
+    """
     long = relations.select(
         F.col("id_artist_out").alias("src"), F.col("id_artist_in").alias("dst"), F.col("id_release").alias("event")
     )
-    titles = cut_lineage(pairs.pair_titles(long, releases, "id_release", "title"))
-    edges = cut_lineage(titles.groupBy("src", "dst").agg(F.count("*").alias("n_common")))
+    titles = pairs.pair_titles(long, releases, "id_release", "title")
+    edges = stored(titles.groupBy("src", "dst").agg(F.count("*").alias("n_common")))
     scores = gr.influence(edges, relevants)
-    components = connected_components(edges)
+    components = dense_components(edges)
     vertices = artists.withColumnRenamed("discogs_id", "id").join(scores, "id").join(components, "id")
     return gr.Graph(vertices, edges, titles)
 

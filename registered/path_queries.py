@@ -167,7 +167,7 @@ def create_graph(spark, sf):
     )
     artists = b.table(spark, sf, "part").select(F.col("p_partkey").alias("discogs_id"), F.col("p_name").alias("name"))
     releases = b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id_release"), F.col("o_orderpriority").alias("title"))
-    r = b.relevants(b.part_edges(spark, sf, 1))
+    r = cut_lineage(b.relevants(b.part_edges(spark, sf, 1)))
     return b.longs(jobs.create_graph(artists, relations, releases, r).vertices, *INFLUENCE)
 
 

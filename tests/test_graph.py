@@ -5,9 +5,10 @@ from brute import components, distances, neighbors, random_edges, shortest_paths
 from helpers import rows
 from pyspark.sql import functions as F
 
+from collabnet.operators import components as cc
 from collabnet.operators import graph as g
 from collabnet.operators import paths as sp
-from collabnet.operators.components import connected_components
+from collabnet.operators.components import connected_components, dense_components
 from collabnet.operators.index import dense_index
 
 EDGE = "src bigint, dst bigint"
@@ -141,3 +142,27 @@ def test_dense_index(spark):
         ids = sorted(i * 7 for i in range(1000) if i % 3 == grp)
         got = {r["id"]: r["index"] for r in grouped.where(F.col("grp") == grp).collect()}
         assert got == {v: i for i, v in enumerate(ids)}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_dense_components_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    data = random_edges(rng, 60, 45) + [(70 + i, 71 + i) for i in range(25)]  # local minima, a long chain
+    data += [(90, 150), (150, 70), (100, 100), (120, 110), (110, 120)]  # a loop, an edge both ways
+    vertices = {v for e in data for v in e}
+    got = rows(dense_components(spark.createDataFrame(data, EDGE)), "id", "component")
+    assert got == sorted(components(data, vertices).items(), key=repr)
+
+
+def test_dense_components_without_edges_between_trees(spark):
+    assert rows(dense_components(spark.createDataFrame([(1, 2), (4, 3), (5, 5)], EDGE))) == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 5)]
+    assert rows(dense_components(spark.createDataFrame([], EDGE))) == []
+
+
+def test_dense_components_run_their_rounds_on_an_edge_per_vertex(spark, monkeypatch):
+    seen = []
+    labelled = cc._labelled
+    monkeypatch.setattr(cc, "_labelled", lambda edges: (seen.append(edges.count()), labelled(edges))[1])
+    data = [(a, b) for a in range(40) for b in range(a + 1, 40)]
+    assert {c for _, c in rows(dense_components(spark.createDataFrame(data, EDGE)))} == {0}
+    assert seen == [39, 0]  # 780 edges
