@@ -148,6 +148,20 @@ def test_search_of_odd_rows(spark, odd_docs, no_docs):
     assert topk.search(odd_docs, asked.limit(0)).count() == 0
 
 
+def test_search_numbers_similar_documents_together(spark):
+    """Blocks of like documents are what their maxima can leave out; the answers stay those of brute force."""
+    words = [[f"{tongue}{i}" for i in range(60)] for tongue in ("a", "b")]
+    rows = [(i, " ".join(words[i % 2][(i * 7 + j * j) % 60] for j in range(5 + i % 11))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    (shard,) = topk.build(docs, "doc_id", "text").collect()
+    order = np.frombuffer(shard.shard_docs, "<i8")
+    assert sorted(order) == list(range(600))
+    assert np.count_nonzero(np.diff(order % 2)) < topk.GROUPS
+    asked = docs.where("doc_id % 50 < 2").withColumnRenamed("doc_id", "query_id")
+    want = plain_search(rows, [tuple(r) for r in asked.select("query_id", "text").collect()], 10)
+    same_ranking(topk.search(docs, asked).collect(), want)
+
+
 def folded(text):
     return re.sub(r"[\W_]+", " ", (text or "").lower()).strip()
 
