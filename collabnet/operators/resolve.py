@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from collabnet.functions import urls as u
@@ -15,9 +15,10 @@ from collabnet.functions.arrays import (
     tagged,
     tail,
 )
-from collabnet.session import cut_lineage, left_join
+from collabnet.session import cut_lineage, left_join, stored
 
 COUNTRY_TYPE = 1  # fixed value: area type of a country
+LOOKED_UP = 1_000_000  # labels that every task holds
 
 
 def area_countries(areas: DataFrame, links: DataFrame, country_type: int = COUNTRY_TYPE) -> DataFrame:
@@ -90,24 +91,38 @@ def mb_artists(
 def regroup_labels(entities: DataFrame, labels: DataFrame, key: str, lists: dict[str, str]) -> DataFrame:
     """Replace lists of ids by sorted lists of their labels (J7); ``lists`` maps output to id column.
 
-    All lists go through one join. Only labels in use take part, so the label
-    table shrinks before it meets the ids.
+    The labels of the ids that are listed most are sent to all tasks and looked up in
+    place, as many as ``LOOKED_UP`` bounds; only the other ids are dealt out with their
+    key to meet their labels, and the labels found come back as rows of their own.
     """
-    spread = tagged({out: F.col(ids) for out, ids in lists.items()})
-    used = entities.select(key, F.explode(spread).alias("t")).select(key, "t.list", F.col("t.value").alias("id"))
-    known = labels.select("id", "label").join(used.select("id").distinct(), "id", "left_semi")
-    return (
-        used.join(known, "id", "left")
-        .groupBy(key)
-        .agg(
-            *[
-                F.array_sort(F.collect_list(F.when(F.col("list") == out, F.col("label")))).alias(out)
-                for out in lists
-            ]
-        )
+    listed = [or_empty(F.col(ids)) for ids in lists.values()]
+    ends = [sum((F.size(c) for c in listed[1:i]), F.size(listed[0])) for i in range(1, len(listed))]
+    used = entities.select(key, F.array(*ends).cast("array<int>").alias("ends"), F.posexplode(F.concat(*listed)).alias("place", "id"))
+    number = sum(((F.col("place") >= F.get("ends", F.lit(i))).cast("int") for i in range(len(ends))), F.lit(0))
+    used = used.select(key, number.alias("list"), "id")
+    counts = entities.select(F.explode(F.concat(*listed)).alias("id")).where(F.col("id").isNotNull())
+    counts = counts.groupBy("id").agg(F.count("*").alias("n"))
+    known = stored(counts.join(labels.select("id", "label"), "id", "left"))
+    least = _least_of_most(known, "n", LOOKED_UP)
+    here = known.where(F.col("n") >= least).select("id", "label", F.lit(True).alias("here"))
+    looked = used.join(F.broadcast(here), "id", "left")  # bounded by LOOKED_UP
+    found = looked.select(key, "list", "label")
+    rest = known.where((F.col("n") < least) & F.col("label").isNotNull()).select("id", "label")
+    if not rest.isEmpty():
+        away = looked.where(F.col("here").isNull()).select(key, "list", "id")
+        found = found.unionByName(away.join(rest.hint("merge"), "id").select(key, "list", "label"))
+    return found.groupBy(key).agg(
+        *[F.array_sort(F.collect_list(F.when(F.col("list") == i, F.col("label")))).alias(out) for i, out in enumerate(lists)]
     )
 
 
+def _least_of_most(rows: DataFrame, n: str, most: int) -> int:
+    """The least number so that at most ``most`` rows have an ``n`` of it or more."""
+    ahead = F.sum("rows").over(Window.orderBy(F.col(n).desc()))  # a row for each number there is
+    found = rows.groupBy(n).agg(F.count("*").alias("rows")).select(n, ahead.alias("ahead")).where(F.col("ahead") <= most)
+    return found.agg(F.coalesce(F.min(n), F.lit(1 << 62))).first()[0]
+
+
 def kb_artists(entities: DataFrame, labels: DataFrame, strict_ids: bool = False) -> DataFrame:
     """Knowledge-base artists with labels in place of ids.
 

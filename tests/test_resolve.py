@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from helpers import rows
 
 from collabnet.functions import urls
@@ -176,3 +179,39 @@ def test_hierarchy_of_a_thousand_levels_and_a_cycle(spark):
     )
     want = [(i, "a1000") for i in range(1001)] + [(3000, "a1000"), (3000, "other"), (3001, "other")]
     assert rows(got, "areaID", "country") == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("most", [0, 1, 4, 1000])
+def test_labels_listed_most_are_looked_up_in_place(spark, monkeypatch, most):
+    monkeypatch.setattr(resolve, "LOOKED_UP", most)
+    rng = random.Random(most)
+    ids = lambda n: [rng.choice(["a", "a", "a", "b", "b", "c", "d", "none", None]) for _ in range(rng.randrange(n))]
+    data = [(rng.choice(["k1", "k2", f"k{i}", None]), ids(4), ids(3), rng.choice([[], None, ["a"]])) for i in range(60)]
+    names = [("a", "A"), ("b", "B2"), ("b", "B1"), ("c", "C"), ("d", None), ("unused", "U"), (None, "N")]
+    entities = spark.createDataFrame(data, "key string, x array<string>, y array<string>, z array<string>")
+    labels = spark.createDataFrame(names, "id string, label string")
+    want = {}
+    for key, *lists in data:
+        if any(lists):
+            mine = want.setdefault(key, ([], [], []))
+            for i, found in enumerate(lists):
+                mine[i].extend(n for x in found or [] for k, n in names if k == x and x is not None and n is not None)
+    named = resolve.regroup_labels(entities, labels, "key", {"xs": "x", "ys": "y", "zs": "z"})
+    got = {r.key: (r.xs, r.ys, r.zs) for r in named.collect()}
+    assert got == {k: tuple(sorted(x) for x in v) for k, v in want.items()}
+
+
+def test_labels_sent_to_all_tasks_are_bounded(spark, monkeypatch):
+    listed = spark.createDataFrame([(n,) for n in [9, 9, 7, 7, 7, 1]], "n bigint")
+    assert [resolve._least_of_most(listed, "n", most) for most in (1, 2, 4, 5, 6)] == [1 << 62, 9, 9, 7, 1]
+    monkeypatch.setattr(resolve, "LOOKED_UP", 1)
+    entities = spark.createDataFrame([(i, ["hot", f"id{i % 5}"]) for i in range(50)], "key int, x array<string>")
+    labels = spark.createDataFrame([("hot", "H"), *((f"id{i}", f"L{i}") for i in range(5))], "id string, label string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        named = resolve.regroup_labels(entities, labels, "key", {"xs": "x"})
+        plan = named._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan
+    assert named.where("size(xs) = 2 and array_contains(xs, 'H')").count() == 50
