@@ -23,16 +23,24 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def credits(spark: SparkSession, sf: str) -> DataFrame:
-    """Release x artist credits: orders are releases, parts are artists, customers are masters."""
-    line = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
+def credits(spark: SparkSession, sf: str, deal_parts: bool = False) -> DataFrame:
+    """Release x artist credits: orders are releases, parts are artists, customers are masters.
+
+    Lines and orders meet by the id of the release, so what follows by release needs no
+    other shuffle. ``deal_parts`` deals parts out however small their files are.
+    """
+    line = table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") + 1).alias("id_release"), "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"
+    )
+    orders = table(spark, sf, "orders").select(
+        (F.col("o_orderkey") + 1).alias("id_release"), "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate"
+    )
     part = table(spark, sf, "part").select("p_partkey", "p_type", "p_brand")
     return (
-        line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        line.join(orders, "id_release")
+        .join(part.hint("merge") if deal_parts else part, F.col("l_partkey") == F.col("p_partkey"))
         .select(
-            (F.col("l_orderkey") + 1).alias("id_release"),
+            "id_release",
             F.col("l_partkey").alias("id_artist"),
             F.when(F.col("o_orderstatus") != "P", F.col("o_custkey") + 1).alias("master_id"),
             F.col("o_orderpriority").alias("title"),
