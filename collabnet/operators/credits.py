@@ -131,6 +131,14 @@ def plain_names(artists: DataFrame, name: str = "name") -> DataFrame:
     return artists.where(~has_special_characters(F.col(name)))
 
 
+def compilations(words: list[str] = COMPILATION_WORDS, various: int = VARIOUS_ARTISTS) -> Column:
+    """Whether a credit is on a compilation or by various artists."""
+    pattern = any_word(words)
+    compiled = F.exists(or_empty(F.col("formats")), lambda f: F.lower(f).rlike(pattern))
+    by_various = F.array_contains(or_empty(F.col("primary_artists"), "bigint"), F.lit(various).cast("bigint"))
+    return F.coalesce(compiled | by_various, F.lit(False))
+
+
 def version_collapse(
     credits: DataFrame,
     entity: str = "id_artist",
@@ -138,23 +146,18 @@ def version_collapse(
     version: str = "master_id",
     compilation_words: list[str] = COMPILATION_WORDS,
     various: int = VARIOUS_ARTISTS,
+    dropped: str | None = None,
 ) -> DataFrame:
     """Versions of one release by one artist as their smallest release id.
 
     A credit without master is its own group, keyed by the negated release id.
     Whether any version is a compilation or by various artists is aggregated as
-    a flag, so no list of all versions is ever collected.
+    a flag, so no list of all versions is ever collected. ``dropped`` names a column
+    that holds the flag already (``compilations``), made before credits were dealt out.
     """
-    pattern = any_word(compilation_words)
-    compiled = F.exists(or_empty(F.col("formats")), lambda f: F.lower(f).rlike(pattern))
-    by_various = F.array_contains(or_empty(F.col("primary_artists"), "bigint"), F.lit(various).cast("bigint"))
+    flag = F.col(dropped) if dropped else compilations(compilation_words, various)
     return (
-        credits.select(
-            entity,
-            event,
-            F.coalesce(F.col(version), -F.col(event)).alias(version),
-            F.coalesce(compiled | by_various, F.lit(False)).alias("_dropped"),
-        )
+        credits.select(entity, event, F.coalesce(F.col(version), -F.col(event)).alias(version), flag.alias("_dropped"))
         .groupBy(entity, version)
         .agg(F.min(event).alias(event), F.max("_dropped").alias("_dropped"))
         .where(~F.col("_dropped"))

@@ -11,6 +11,7 @@ from collabnet.operators import credits as cr
 from collabnet.operators import pairs as pr
 from collabnet.operators.containment import contained
 from collabnet.plans import jobs
+from collabnet.session import stored
 from registered import bindings as b
 
 ALLOWED = ["a", "o"]
@@ -119,7 +120,12 @@ def compilation_filter(spark, sf):
 
 
 def played_with(spark, sf):
-    collapsed = cr.version_collapse(_kept(spark, sf), compilation_words=WORDS, various=VARIOUS)
+    """Only what the steps need is dealt out, and what several of them read is made once."""
+    marked = b.credits(spark, sf).select(
+        "id_artist", "id_release", "master_id", cr.compilations(WORDS, VARIOUS).alias("dropped")
+    )
+    kept = cr.one_version(stored(cr.multi_party(marked)))
+    collapsed = stored(cr.version_collapse(kept, dropped="dropped").select("id_artist", "id_release"))
     lists = pr.pair_lists(collapsed, "id_artist", "id_release")
     return lists.select(
         F.col("src").alias("id_artist_out"),
