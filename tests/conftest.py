@@ -16,6 +16,8 @@ def spark(tmp_path_factory):
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.ui.retainedExecutions", "20000")  # the plan tests read what ran; by default the list is cut at 1,000
+        .config("spark.driver.memory", "2g")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
