@@ -310,6 +310,8 @@ def search(
     n, total = lengths(index)
     found = []
     for ids, starts, which, terms in query_blocks(queries, query, query_text):
+        if not len(ids):  # no query fell into this block
+            continue
         weights = np.array([term_weight(n, df) for df in document_counts(index, terms).tolist()], np.int64)
         found.append(_search_block(spark, index, Queries(ids, starts, which, terms, weights), n, total, k))
     if not found:
